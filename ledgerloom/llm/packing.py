@@ -64,6 +64,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """The plan with the fewest sequences of those that consume exact threes, pairs or single lengths at most."""
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: p[1])
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> tuple[np.ndarray, int]:
     """Segments (length, first rank, per sequence, first sequence, offset) and the number of sequences.
 
     Lengths that fill a sequence alone, in pairs and in threes are looked up by their complement
@@ -93,12 +98,12 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
     if left[capacity]:
         fill((capacity,), int(left[capacity]))
-    for a in range(capacity - 1, capacity // 2, -1):
+    for a in range(capacity - 1, capacity // 2 if most > 1 else capacity, -1):
         if n := int(min(left[a], left[capacity - a])):
             fill((a, capacity - a), n)
-    if capacity % 2 == 0 and (n := int(left[capacity // 2] // 2)):
+    if most > 1 and capacity % 2 == 0 and (n := int(left[capacity // 2] // 2)):
         fill((capacity // 2, capacity // 2), n)
-    for a in range(capacity - 2, 0, -1):
+    for a in range(capacity - 2, 0 if most > 2 else capacity, -1):
         rest = capacity - a
         low = np.arange(1, min(a, rest - 1) + 1)
         low = low[(rest - low <= low) & (left[low] > 0) & (left[rest - low] > 0)] if left[a] else low[:0]
