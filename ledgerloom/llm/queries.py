@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ledgerloom.llm.minhash import op3_minhash_near_dedup
 from ledgerloom.llm.packing import op2_best_fit_packing
+from ledgerloom.llm.sepscan import op6_separator_scan
+from ledgerloom.llm.sstable import op10_sstable_output
+from ledgerloom.llm.warc import op8_content_addressed_warc
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op6_separator_scan, op8_content_addressed_warc, op10_sstable_output)}
 
 ORACLES: dict[str, str] = {}
