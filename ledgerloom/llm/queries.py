@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from ledgerloom.llm.minhash import op3_minhash_near_dedup
 from ledgerloom.llm.packing import op2_best_fit_packing
+from ledgerloom.llm.quotes import OP1_SQL, op1_quotation_linking
 from ledgerloom.llm.sepscan import op6_separator_scan
 from ledgerloom.llm.sstable import op10_sstable_output
 from ledgerloom.llm.warc import op8_content_addressed_warc
+from ledgerloom.llm.winnowing import OP7_SQL, op7_winnowing_decontamination
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op6_separator_scan, op8_content_addressed_warc, op10_sstable_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quotation_linking,
+        op2_best_fit_packing,
+        op3_minhash_near_dedup,
+        op6_separator_scan,
+        op7_winnowing_decontamination,
+        op8_content_addressed_warc,
+        op10_sstable_output,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quotation_linking": OP1_SQL, "op7_winnowing_decontamination": OP7_SQL}
