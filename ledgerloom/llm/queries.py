@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.language import op4_language_id
 from ledgerloom.llm.minhash import op3_minhash_near_dedup
 from ledgerloom.llm.packing import op2_best_fit_packing
+from ledgerloom.llm.quality import op5_risk_controlled_rules
 from ledgerloom.llm.quotes import OP1_SQL, op1_quotation_linking
 from ledgerloom.llm.sepscan import op6_separator_scan
 from ledgerloom.llm.sstable import op10_sstable_output
+from ledgerloom.llm.toxicity import op9_subsequence_kernel_toxicity
 from ledgerloom.llm.warc import op8_content_addressed_warc
 from ledgerloom.llm.winnowing import OP7_SQL, op7_winnowing_decontamination
 
@@ -16,9 +19,12 @@ QUERIES = {
         op1_quotation_linking,
         op2_best_fit_packing,
         op3_minhash_near_dedup,
+        op4_language_id,
+        op5_risk_controlled_rules,
         op6_separator_scan,
         op7_winnowing_decontamination,
         op8_content_addressed_warc,
+        op9_subsequence_kernel_toxicity,
         op10_sstable_output,
     )
 }
