@@ -25,7 +25,7 @@ LEAST_EQUAL = 86
 #: Ids sent to all executors at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task compares with one another.
-BLOCK = 512
+BLOCK = 1024
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -154,9 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, seed:
     comps = components(edges)
     label = crowded.join(comps, "node", "left").select("bucket", "node", "members", F.coalesce("comp", "node").alias("comp"))
     mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    left = stage(label.join(stage(mixed, "mixed"), "bucket").join(size, "node"), "left")
-    more = _cross(left, percent).join(tested, ["a", "b"], "left_anti")
-    more = stage(_verified(docs, stage(more, "pairs"), percent, shingle), "links")
+    left = stage(label.join(stage(mixed, "mixed"), "bucket"), "left")
+    more = stage(_cross(docs, left, classes, percent, shingle), "links")
     if not more.limit(1).isEmpty():
         comps = components(edges.union(more))
     member = filled.join(first, "digest", "left").select("doc_id", "n", "node")
@@ -180,26 +179,55 @@ def _plausible(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of members of a bucket that are in different components.
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and its shingle set, for the nodes given."""
+    nodes = stage(nodes.distinct().toDF("doc_id"), "wanted")
+    few = nodes.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+
+    def sets(batches):
+        for t in batches:
+            for at in range(0, t.num_rows, 1024):
+                part = t.slice(at, 1024)
+                held = pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), held], names=["node", "held"])
+
+    return stage(texts.mapInArrow(sets, "node long, held binary"), "sets")
+
 
-    A bucket's members are dealt to blocks and each pair of blocks is a task's work of its own.
+def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links between members of a bucket that are in different components.
+
+    A bucket's members are dealt to blocks and each pair of blocks is a task's work of its own. A
+    task compares signatures first and full sets where they agree, leaves a pair that shares an
+    earlier band to that one, and skips pairs that its own links have joined, so what it returns is
+    linear in its members.
     """
+    held = _sets(docs, members.select("node"), shingle)
+    full = members.join(classes.select("node", "n", "bands", "sketch").dropDuplicates(["node", "n"]), "node").join(held, "node")
+    full = full.where(F.octet_length("held") == 8 * F.col("n"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bands", "sketch", "held")
 
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
-        own, node, comp, n = (t.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
+        own, node, comp, n = (t.column(c).to_numpy().copy() for c in ("own", "node", "comp", "n"))
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        band = int((bands[0] == key[0].as_py()).argmax())
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("held")]
+        right = np.flatnonzero(own == j)
         found = []
-        for x in left:
+        for x in np.flatnonzero(own == i):
             y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            y = y[(s[y] == s[x]).sum(axis=1) >= LEAST_EQUAL]
-            found += [(min(node[x], v), max(node[x], v)) for v in node[y]]
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+            same = (s[y] == s[x]).sum(axis=1)
+            for k in y[np.argsort(-same, kind="stable")][: int((same >= LEAST_EQUAL).sum())]:
+                if comp[k] != comp[x] and shared_enough(sets[x], sets[k], percent):
+                    found.append((node[x], node[k]))
+                    comp[comp == comp[k]] = comp[x]
         return pa.table({c: pa.array([int(p[k]) for p in found], pa.int64()) for k, c in enumerate("ab")})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -207,18 +235,7 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = stage(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "wanted")
-    few = nodes.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
-
-    def sets(batches):
-        for t in batches:
-            for at in range(0, t.num_rows, 1024):
-                part = t.slice(at, 1024)
-                held = pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), held], names=["node", "held"])
-
-    held = stage(texts.mapInArrow(sets, "node long, held binary"), "sets")
+    held = _sets(docs, pairs.select("a").union(pairs.select("b")), shingle)
     a, b = (held.select(F.col("node").alias(c), F.col("held").alias(f"h_{c}")) for c in "ab")
 
     def run(batches):
