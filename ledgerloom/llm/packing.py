@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = enc.encode(text.as_py()) + end
+            for doc_id, ids in enc.encode_rows(zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))):
+                data = ids + end
                 n = len(data) // 4
                 at = 0
                 for k, length in enumerate(([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)):

@@ -31,8 +31,8 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             out = out or AtomicFile(path)
             sizes = []
-            for text in batch.column(1):
-                out.write(enc.encode(text.as_py()) + end)
+            for (ids,) in enc.encode_rows((t.as_py(),) for t in batch.column(1)):
+                out.write(ids + end)
                 sizes.append(out.size)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

@@ -167,10 +167,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end, path, out, low, high = struct.pack("<I", end_id), f"{folder}/shard-{shard:06d}.sst", None, None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in enc.encode_rows(zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))):
                 if out is None:
                     out, low = Writer(path, 2 if max(enc.vocabulary, end_id + 1) <= 65536 else 4), doc_id
-                out.add(doc_id, enc.encode(text.as_py()) + end)
+                out.add(doc_id, ids + end)
                 high = doc_id
         if out:
             out.close()

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import functools
-import struct
+import os
+from collections.abc import Iterable, Iterator
 
-#: Pieces remembered by a Python worker before it starts anew.
-MEMO_PIECES = 400_000
+import numpy as np
+
+#: Pieces remembered by a Python worker before those not used since are forgotten, and characters encoded together.
+MEMO_PIECES, TOGETHER = 150_000, 1 << 20
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     A byte-level BPE with the usual pattern never merges over a blank that stands between two
-    characters other than white space, so a text is cut there and each distinct piece is encoded
-    once. Texts with other white space at such a cut, or with an added token's string, go to the
-    library whole.
+    characters other than white space, so texts are cut there and pieces are remembered. Pieces not
+    known yet are encoded as one text, a blank before each: a token that starts with the blank's
+    byte starts a piece. A comma or full stop after a letter is a token of its own. Texts with other white space at a cut, or with an added token's string, go
+    to the library whole.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -26,41 +31,91 @@ class Encoder:
             self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = np.zeros(self.vocabulary, bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops = {c: self._whole(c) for c in ",."}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of text; a null or empty text has none."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not rest:
-            return self._whole([text])[0]
-        if not first or first[-1].isspace() or any(a in text for a in self.added):
-            return self._whole([text])[0]
-        memo = self.memo
-        try:
-            tail = b"".join([memo[p] for p in rest])
-        except KeyError:
-            new = [p for p in dict.fromkeys(rest) if p not in memo]
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                return self._whole([text])[0]
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
-                new = list(dict.fromkeys(rest))
+    def _whole(self, text: str) -> bytes:
+        return next(self._ids([text])).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of each piece after a blank."""
+        memo, old, stops = self.memo, self.old, self.stops
+        new, stopped = [], []
+        for p in pieces:
+            if p in old:
+                memo[p] = old[p]
+            elif p[-1] in stops and p[-2:-1].isalpha():
+                stopped.append(p)
+            else:
+                new.append(p)
+        bare = dict.fromkeys(p[:-1] for p in stopped)
+        bare = [p for p in bare if p not in memo]
+        new += [p for p in bare if p not in old]
+        memo.update((p, old[p]) for p in bare if p in old)
+        new = list(dict.fromkeys(new))
+        parts = [new[k : k + 500] for k in range(0, len(new), 500)]
+        for part, ids in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(part):
+                data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                memo.update(zip(part, [data[x:y] for x, y in zip(at, at[1:])]))
+            else:
+                memo.update((p, self._whole(" " + p)) for p in part)
+        memo.update([(p, memo[p[:-1]] + stops[p[-1]]) for p in stopped])
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null or empty text has none."""
+        if len(self.memo) > MEMO_PIECES:
+            self.old, self.memo = self.memo, {}
+        memo, out, open_, missing = self.memo, [b""] * len(texts), [], set()
+        get = memo.get
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            first, *rest = text.split(" ")
+            if not first or first[-1].isspace() or any(a in text for a in self.added):
+                out[k] = self._whole(text)
+                continue
+            held = list(map(get, rest))
+            if None in held:
+                new = [p for p, x in zip(rest, held) if x is None]
                 if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                    return self._whole([text])[0]
-            memo.update(zip(new, self._whole([" " + p for p in new])))
-            tail = b"".join([memo[p] for p in rest])
-        return self._whole([first])[0] + tail
+                    out[k] = self._whole(text)
+                    continue
+                missing.update(new)
+            open_.append((k, first, rest, held))
+        if missing:
+            self._learn(list(missing))
+        for k, first, rest, held in open_:
+            if missing and None in held:
+                held = [memo[p] if x is None else x for p, x in zip(rest, held)]
+            out[k] = self._whole(first) + b"".join(held)
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+    def encode_rows(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Rows whose last field is a text, with its ids in place of it, in order."""
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[-1] or "")
+            if size > TOGETHER or len(held) >= 4096:
+                yield from ((*r[:-1], x) for r, x in zip(held, self.encode_many([r[-1] for r in held])))
+                held, size = [], 0
+        if held:
+            yield from ((*r[:-1], x) for r, x in zip(held, self.encode_many([r[-1] for r in held])))
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder a Python worker."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path, special_as_text)

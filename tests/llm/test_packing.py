@@ -76,7 +76,7 @@ def test_query_against_the_library(spark):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 1
 
 
-ODD = ["", "a", " a  b ", "a\n b \tc", "x <|endoftext|> y", "é  ü", "don't 12 %% it's", " lead", "trail ", "a  b", "a\x1c b", "\U0001f600 \U0001f600", "a b　 c"]
+ODD = ["", "a", "b word, word. word x, x. 1, é. , . ,, w's, don't. ʼn, Ⅷ, ².", " a  b ", "a\n b \tc", "x <|endoftext|> y", "é  ü", "don't 12 %% it's", " lead", "trail ", "a  b", "a\x1c b", "\U0001f600 \U0001f600", "a b　 c"]
 
 
 def test_memo_gives_the_same_ids():
@@ -84,6 +84,8 @@ def test_memo_gives_the_same_ids():
     for text in ODD + ODD[::-1]:
         ids = t.encode(text, add_special_tokens=False).ids
         assert e.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    many = [*ODD, None, *ODD]
+    assert [x[1] for x in e.encode_rows(enumerate(many))] == [e.encode(x) for x in many] == tokens.Encoder(PATH).encode_many(many)
 
 
 def test_nulls_repeats_and_empty_tables(spark):
