@@ -70,9 +70,12 @@ def write_archive(pages: DataFrame, least: int = 0) -> str:
     )
     heads = known.select("page_id", header.alias("header"), http.alias("http"), "address", "revisit")
     heads.write.option("compression", "zstd").parquet(f"{folder}/headers")
-    # the row of the largest page_id holds the payload; rows that repeat it are dropped by address
-    holders = rows.join(first, "address").where(F.col("holder").eqNullSafe(F.col("page_id")))
-    once = holders.select("address", "payload").dropDuplicates(["address"])
+    # the row of the largest page_id holds the payload; only where rows repeat it need payloads be compared
+    held = F.col("holder").eqNullSafe(F.col("page_id"))
+    once = rows.join(first, "address").where(held).select("address", "payload")
+    heads = spark.read.schema(heads.schema).parquet(f"{folder}/headers")
+    repeated = heads.where("NOT revisit").groupBy("address").count().where("count > 1")
+    once = once if repeated.isEmpty() else once.dropDuplicates(["address"])
     once.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
