@@ -16,10 +16,10 @@ from ledgerloom.llm.tokens import encoder
 BLOCK_BYTES = 4 << 20
 
 
-def write_flat(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def write_flat(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) -> DataFrame:
     """Write the documents' ids, each document closed by end_id, to a flat file a partition.
 
-    Files hold little-endian unsigned 32-bit ids and nothing else. Returns the staged keys: doc_id,
+    Files hold little-endian unsigned ids of width bytes, 2 or 4, and nothing else. Returns the staged keys: doc_id,
     path, ordinal (the document's place in its file), size (of the file so far, in bytes). The
     string of an added token in a text is ordinary text, so end_id stands for ends alone.
     """
@@ -27,12 +27,15 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         enc, end = encoder(tokenizer, True), struct.pack("<I", end_id)
-        path, out, ordinal = f"{folder}/part-{TaskContext.get().partitionId():06d}.u32", None, 0
+        if width == 2 and max(enc.vocabulary - 1, end_id) >= 1 << 16:
+            raise ValueError("the vocabulary needs four bytes an id")
+        path, out, ordinal = f"{folder}/part-{TaskContext.get().partitionId():06d}.ids", None, 0
         for batch in batches:
             out = out or AtomicFile(path)
             sizes = []
             for (ids,) in enc.encode_rows((t.as_py(),) for t in batch.column(1)):
-                out.write(ids + end)
+                ids += end
+                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
                 sizes.append(out.size)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -46,7 +49,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return stage(rows.mapInArrow(run, "doc_id long, path string, ordinal long, size long"), "keys")
 
 
-def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES, width: int = 4) -> DataFrame:
     """One row a document of files(path, size): path, ordinal, n_tokens (with its end), ended.
 
     Each block of a file is a task's row of its own: numpy finds the ends in it, and the places of
@@ -62,9 +65,9 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
             for path, size, block, at in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, local = filesystem(path)
                 with fs.open_input_file(local) as f:
-                    ids = np.frombuffer(f.read_at(min(block_bytes, size - at), at), "<u4")
-                ends = np.flatnonzero(ids == end_id) + at // 4
-                values = ([path], [block], [size // 4], [len(ends)], [int(ends[0]) if len(ends) else None], [int(ends[-1]) if len(ends) else None], [np.diff(ends)])
+                    ids = np.frombuffer(f.read_at(min(block_bytes, size - at), at), f"<u{width}")
+                ends = np.flatnonzero(ids == end_id) + at // width
+                values = ([path], [block], [size // width], [len(ends)], [int(ends[0]) if len(ends) else None], [int(ends[-1]) if len(ends) else None], [np.diff(ends)])
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["path", "block", "total", "n", "first", "last", "inner"])
 
@@ -78,17 +81,17 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
     return docs.union(rest.where("n_tokens > 0").select("path", "ordinal", "n_tokens", F.lit(False)))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int = BLOCK_BYTES, width: int = 4) -> DataFrame:
     """doc_id, n_tokens (with the end id) as scanned from flat files of the documents.
 
     Null and empty texts count 1; null identifiers and repeated rows are kept.
     """
-    keys = write_flat(docs, tokenizer, end_id)
-    found = scan_flat(keys.groupBy("path").agg(F.max("size").alias("size")), end_id, block_bytes)
+    keys = write_flat(docs, tokenizer, end_id, width)
+    found = scan_flat(keys.groupBy("path").agg(F.max("size").alias("size")), end_id, block_bytes, width)
     return keys.join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 50256, width=2)

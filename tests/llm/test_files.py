@@ -69,6 +69,7 @@ def test_separator_scan_counts(spark, library, block):
     want = sorted(((i, len(ids_of(library, t)) + 1) for i, t in rows), key=str)
     library.encode_special_tokens = False
     assert sorted((tuple(r) for r in sepscan.token_counts(docs, PATH, 50256, block).collect()), key=str) == want
+    assert sorted((tuple(r) for r in sepscan.token_counts(docs, PATH, 50256, block, 2).collect()), key=str) == want
     assert sepscan.token_counts(docs.where("false"), PATH, 50256).count() == 0
 
 
