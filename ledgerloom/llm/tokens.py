@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces remembered by a Python worker before those not used since are forgotten, and characters encoded together.
-MEMO_PIECES, TOGETHER = 150_000, 1 << 20
+MEMO_PIECES, TOGETHER = 400_000, 1 << 20
 
 
 class Encoder:
@@ -86,7 +86,7 @@ class Encoder:
             held = list(map(get, rest))
             if None in held:
                 new = [p for p, x in zip(rest, held) if x is None]
-                if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                if any(not p or p.strip() != p for p in new):
                     out[k] = self._whole(text)
                     continue
                 missing.update(new)
