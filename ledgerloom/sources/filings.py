@@ -18,7 +18,7 @@ def section_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
     field = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
     rows = raw.select(*[field(v).alias(k) for k, v in HEADER.items()], F.regexp_extract("value", r"(?s)\A.*?\r?\n\r?\n(.*)\z", 1).alias("body"), "source_file")
-    rows = rows.where("cik IS NOT NULL AND accession_number IS NOT NULL").withColumn("filing_date", F.try_to_date("filing_date", F.lit("yyyy-MM-dd")))
+    rows = rows.where("cik IS NOT NULL AND accession_number IS NOT NULL").withColumn("filing_date", F.try_to_date("filing_date", "yyyy-MM-dd"))
     return rows.withColumn("fiscal_year", fiscal_year(F.col("filing_date")))
 
 
@@ -30,7 +30,7 @@ def event_files(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(F.regexp_extract(first, r"<TYPE>([^\s<]+)", 1).startswith("8-K"), F.regexp_extract(first, r"(?s)<TEXT>(.*?)(?:</TEXT>|\z)", 1)).otherwise("")
     return raw.select(
         field(r"ACCESSION NUMBER:\s*(\S+)").alias("accession"),
-        F.try_to_date(field(r"FILED AS OF DATE:\s*(\d{8})"), F.lit("yyyyMMdd")).alias("filing_date"),
+        F.try_to_date(field(r"FILED AS OF DATE:\s*(\d{8})"), "yyyyMMdd").alias("filing_date"),
         field(r"COMPANY CONFORMED NAME:[ \t]*(.*)").alias("company_name"),
         field(r"CENTRAL INDEX KEY:\s*0*(\d+)").alias("cik"),
         F.transform(F.regexp_extract_all("value", F.lit(r"ITEM INFORMATION:[ \t]*(.*)"), F.lit(1)), F.trim).alias("items"),
@@ -58,7 +58,7 @@ def item_events(rows: DataFrame, categories: dict[str, str]) -> DataFrame:
     """Events with a date: event_id, cik, accession, date, code and category (other if unknown)."""
     code = item_code(F.col("item_name"))
     lookup = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])
-    out = rows.withColumns({"date": F.try_to_date("date", F.lit("yyyy-MM-dd")), "cik": F.regexp_replace("cik", "^0+", ""), "code": code}).where("date IS NOT NULL")
+    out = rows.withColumns({"date": F.try_to_date("date", "yyyy-MM-dd"), "cik": F.regexp_replace("cik", "^0+", ""), "code": code}).where("date IS NOT NULL")
     key = F.concat_ws("_", F.lit("8k"), "cik", F.regexp_replace("accession", "[^A-Za-z0-9]", ""), F.regexp_replace(F.coalesce("code", "item_name"), "[^A-Za-z0-9]+", "_"))
     return out.select(key.alias("event_id"), "cik", "accession", "date", "code", F.coalesce(lookup[F.col("code")], F.lit("other")).alias("category"))
 
