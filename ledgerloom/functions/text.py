@@ -20,16 +20,19 @@ def whole_word(word: str) -> str:
 
 
 def indicators(text: Column, patterns: list[str]) -> Column:
-    """The patterns that the lower-cased text matches, in their order."""
+    """The patterns that the lower-cased text matches, in their order; one pattern of them all rules most texts out."""
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in patterns]))
+    each = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in patterns]))
+    return F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), each).otherwise(F.array().cast("array<string>"))
 
 
 def tags(text: Column) -> Column:
     """has_company_coref, is_forward_looking and the indicators of a sentence."""
-    found = indicators(text, [whole_word(w) for w in FORWARD_LOOKING])
-    company = F.lower(text).rlike("|".join(whole_word(w) for w in COMPANY_REFERENCES))
-    return F.struct(company.alias("has_company_coref"), (F.size(found) > 0).alias("is_forward_looking"), found.alias("fl_indicators"))
+    low = F.lower(text)
+    forward, company = (whole_word(f"(?:{'|'.join(words)})") for words in (FORWARD_LOOKING, COMPANY_REFERENCES))
+    each = F.array_compact(F.array(*[F.when(low.rlike(whole_word(w)), F.lit(w)) for w in FORWARD_LOOKING]))
+    found = F.when(low.rlike(forward), each).otherwise(F.array().cast("array<string>"))
+    return F.struct(low.rlike(company).alias("has_company_coref"), low.rlike(forward).alias("is_forward_looking"), found.alias("fl_indicators"))
 
 
 def normalise_whitespace(text: Column) -> Column:
@@ -61,18 +64,14 @@ def word_count(text: Column) -> Column:
 
 def sentences(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
     """key, seq, paragraph_index, sentence_index, text, word_count and tags of each sentence of least words or more."""
-    paras = df.select(key, F.posexplode(paragraphs(F.col(text))).alias("paragraph_index", "p"))
-    parts = F.filter(F.transform(F.split("p", SENTENCE_END), F.trim), lambda s: s != "")
-    rows = paras.select(key, "paragraph_index", F.posexplode(parts).alias("sentence_index", "text"))
-    rows = rows.withColumn("word_count", word_count(F.col("text"))).where(F.col("word_count") >= least)
-    seq = F.row_number().over(_by(key)) - 1
-    return rows.select(key, seq.alias("seq"), "paragraph_index", "sentence_index", "text", "word_count", tags(F.col("text")).alias("tags"))
-
+    trimmed = lambda p: F.filter(F.transform(F.split(p, SENTENCE_END), F.trim), lambda s: s != "")
 
-def _by(key: str):
-    from pyspark.sql import Window
+    def numbered(p: Column, i: Column) -> Column:
+        return F.transform(trimmed(p), lambda s, j: F.struct(i.alias("paragraph_index"), j.alias("sentence_index"), s.alias("text"), word_count(s).alias("word_count")))
 
-    return Window.partitionBy(key).orderBy("paragraph_index", "sentence_index")
+    found = F.filter(F.flatten(F.transform(paragraphs(F.col(text)), numbered)), lambda s: s["word_count"] >= least)
+    rows = df.select(key, F.posexplode(found).alias("seq", "s"))
+    return rows.select(key, "seq", "s.*").withColumn("tags", tags(F.col("text")))
 
 
 def slugify(text: Column, most: int = 60) -> Column:
