@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces remembered by a Python worker before those not used since are forgotten, and characters encoded together.
-MEMO_PIECES, TOGETHER = 400_000, 1 << 20
+MEMO_PIECES, TOGETHER = 100_000, 1 << 20
 
 
 class Encoder:
