@@ -8,6 +8,7 @@ decision rests on the full shingle sets.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import stage
 
-BANDS, ROWS = 26, 5
-K = BANDS * ROWS
+#: Coordinates of a band.
+ROWS = 5
 UNIVERSE = 1 << 22
-#: A pair of similarity 0.85 agrees in fewer of the 130 coordinates with a chance of about 1e-9.
-LEAST_EQUAL = 86
+#: Chances at most that a pair of just the similarity asked for shares no band, and agrees in too few coordinates.
+MISSED_BANDS, MISSED_EQUAL = 2.5e-7, 2.5e-8
 #: Ids sent to all executors at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task compares with one another.
@@ -29,6 +30,22 @@ BLOCK = 1024
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+@functools.lru_cache
+def banding(percent: int) -> tuple[int, int]:
+    """The least number of bands, and of equal coordinates, at which pairs of this similarity aren't missed."""
+    s = percent / 100
+    if s >= 1:
+        return 1, ROWS
+    bands = math.ceil(math.log(MISSED_BANDS) / math.log1p(-(s**ROWS)))
+    k, below = bands * ROWS, 0.0
+    for least in range(k + 1):
+        log = math.lgamma(k + 1) - math.lgamma(least + 1) - math.lgamma(k - least + 1) + least * math.log(s) + (k - least) * math.log1p(-s)
+        below += math.exp(log)
+        if below > MISSED_EQUAL:
+            break
+    return bands, least
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * P2
     x = (x ^ (x >> np.uint64(32))) * P2
@@ -53,41 +70,43 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def circulant(seed: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+def circulant(seed: int, k: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
     """Rows of pi's circular windows, and the two numbers of sigma."""
     rng = np.random.default_rng(seed)
     pi = rng.permutation(UNIVERSE).astype(np.uint32)
     odd, add = (rng.integers(UNIVERSE, size=2) | 1).astype(np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: K - 1]]), K), odd, add
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k), odd, add
 
 
-def signature(shingles: np.ndarray, seed: int) -> np.ndarray:
-    """K coordinates: the least pi at each circular shift of the places of the shingles."""
-    windows, odd, add = circulant(seed)
+def signature(shingles: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """k coordinates: the least pi at each circular shift of the places of the shingles."""
+    windows, odd, add = circulant(seed, k)
     x = shingles >> np.uint64(64 - 22)
     x = (x * odd + add) & np.uint64(UNIVERSE - 1)
     x ^= x >> np.uint64(11)
-    out = np.full(K, UNIVERSE, np.uint32)
+    out = np.full(k, UNIVERSE, np.uint32)
     for at in range(0, len(x), 4096):
         np.minimum(out, windows[x[at : at + 4096]].min(axis=0), out=out)
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, seed: int, bands: int) -> DataFrame:
     """doc_id, set size, digest of the set, band hashes and a byte of each coordinate."""
 
+    k = bands * ROWS
+
     def rows(ids, texts):
         sets = [shingle_set(t, shingle) for t in texts]
-        sigs = np.array([signature(s, seed) for s in sets], np.uint32).reshape(-1, K)
-        h = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        sigs = np.array([signature(s, seed, k) for s in sets], np.uint32).reshape(-1, k)
+        h = np.zeros((len(sets), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
         for r in range(ROWS):
-            h = mix(h * P1 + sigs.reshape(-1, BANDS, ROWS)[:, :, r].astype(np.uint64) + np.uint64(1))
+            h = mix(h * P1 + sigs.reshape(-1, bands, ROWS)[:, :, r].astype(np.uint64) + np.uint64(1))
         return pa.RecordBatch.from_arrays(
             [
                 ids,
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.FixedSizeListArray.from_arrays(pa.array(h.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                pa.FixedSizeListArray.from_arrays(pa.array(h.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
                 pa.array([x.tobytes() for x in sigs.astype(np.uint8)], pa.binary()),
             ],
             names=["doc_id", "n", "digest", "bands", "sketch"],
@@ -125,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 7) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked. Exact
@@ -138,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, seed:
     repeat a doc_id are one node.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sigs = stage(signatures(docs, shingle, seed), "signatures")
+    sigs = stage(signatures(docs, shingle, seed, banding(percent)[0]), "signatures")
     filled = sigs.where("n > 0")
     first = stage(filled.groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
     classes = stage(
@@ -170,10 +189,13 @@ def _plausible(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     a, b = (size.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     near = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
+    bands, least = banding(percent)
+    width = bands * ROWS
+
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("s_a", "s_b"))
-            ok = (x == y).sum(axis=1) >= LEAST_EQUAL
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("s_a", "s_b"))
+            ok = (x == y).sum(axis=1) >= least
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return near.mapInArrow(run, "a long, b long").distinct()
@@ -211,11 +233,14 @@ def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bands", "sketch", "held")
 
+    n_bands, least = banding(percent)
+    width = n_bands * ROWS
+
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
         own, node, comp, n = (t.column(c).to_numpy().copy() for c in ("own", "node", "comp", "n"))
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
-        bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width)
+        bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, n_bands)
         band = int((bands[0] == key[0].as_py()).argmax())
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("held")]
         right = np.flatnonzero(own == j)
@@ -224,7 +249,7 @@ def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int
             y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
             same = (s[y] == s[x]).sum(axis=1)
-            for k in y[np.argsort(-same, kind="stable")][: int((same >= LEAST_EQUAL).sum())]:
+            for k in y[np.argsort(-same, kind="stable")][: int((same >= least).sum())]:
                 if comp[k] != comp[x] and shared_enough(sets[x], sets[k], percent):
                     found.append((node[x], node[k]))
                     comp[comp == comp[k]] = comp[x]
@@ -248,4 +273,4 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) ->
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from ledgerloom.llm.minhash import near_duplicates, op3_minhash_near_dedup
+from ledgerloom.llm.minhash import banding, near_duplicates, op3_minhash_near_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,3 +58,20 @@ def test_chains_short_texts_and_nulls(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similarity_of_80_is_the_default(spark):
+    words = [f"w{i}" for i in range(104)]
+    rows = [(k, " ".join(f"{k % 10}{w}" for w in words[: 104 if k < 10 else n])) for k, n in [*((k, 104) for k in range(10)), *((10 + k, 84 + k // 5) for k in range(10))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {len(shingles(t)) for _, t in rows}
+    assert sizes == {100, 80, 81}
+    assert sum(r["kept"] for r in near_duplicates(docs).collect()) == 10
+    assert sum(r["kept"] for r in near_duplicates(docs, percent=85).collect()) == 20
+
+
+def test_banding_follows_the_similarity():
+    assert banding(85) == (26, 86)
+    for percent in (50, 80, 85, 95):
+        bands, least = banding(percent)
+        assert (1 - (percent / 100) ** 5) ** bands <= 2.5e-7 and least < 5 * bands * percent / 100
