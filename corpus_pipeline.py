@@ -8,46 +8,73 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import language, minhash, packing, quality, winnowing
 from ledgerloom.llm.shared import stage
 
-#: Ids of dropped documents sent to all executors at most; beyond it the join shuffles.
+#: Keys of dropped rows sent to all executors at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+KEY = "_row"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped(doc_id); a null doc_id is matched by a null."""
-    dropped = stage(dropped.select("doc_id").distinct(), "dropped")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's own: doc_id, or where any is null or repeated a number written with the rows."""
+    of = docs.select(F.col("doc_id").cast("long").alias(KEY))
+    odd = of.groupBy(KEY).count().where(f"{KEY} IS NULL OR count > 1")
+    if odd.limit(1).isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    return stage(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """Rows of keyed with the key in place of doc_id, for operators that give their verdicts by doc_id."""
+    return keyed.withColumn("doc_id", F.col(KEY)).drop(KEY)
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows whose key is in dropped(doc_id), and without the key."""
+    dropped = stage(dropped.select(F.col("doc_id").alias(KEY)), "dropped")
     small = dropped.count() <= BROADCAST_IDS
-    dropped = dropped.withColumnRenamed("doc_id", "_dropped")
-    gone = docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped"))
-    return docs.join(F.broadcast(dropped) if small else dropped, gone, "left_anti")
+    return keyed.join(F.broadcast(dropped) if small else dropped, KEY, "left_anti").drop(KEY)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; null texts and those without letters go.
 
-    The model learns from the documents of this stage's input.
+    The model learns from the documents of this stage's input. Each row is told by its own text.
     """
-    found = language.identified(docs, language.train(docs))
-    return _without(docs, found.where("rejected"))
+    keyed = _keyed(docs)
+    found = language.identified(_by_key(keyed), language.train(docs))
+    return _without(keyed, found.where("rejected"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the risk-controlled cutoff keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.judged(docs, labels).where("NOT kept"))
+    """Documents that the base rule and the risk-controlled cutoff keep, each row judged by its own text.
+
+    Rows have the label of their doc_id; those with a null one have none.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    labels = labels.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.min("quality").alias("quality"))
+    keyed = _keyed(docs)
+    marks = keyed.join(labels, keyed["doc_id"].cast("long") == labels["of"]).select(F.col(KEY).alias("doc_id"), "quality")
+    return _without(keyed, quality.judged(_by_key(keyed), marks).where("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, once."""
-    found = stage(minhash.near_duplicates(docs), "groups")
-    twice = found.groupBy("doc_id").count().where("count > 1")
-    left = _without(docs, found.where("NOT kept"))
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: that with the smallest doc_id, a null one last.
+
+    Rows that share a doc_id are documents of their own; of those in one group the one with the
+    smallest hash of the text stays. Rows without words are no duplicates of each other.
+    """
+    keyed = _keyed(docs)
+    found = minhash.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias(KEY), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col(KEY)).alias("place")
+    found = stage(found.join(keyed.select(KEY, order), KEY), "groups")
+    first = found.groupBy("component_id").agg(F.min("place")[KEY].alias(KEY))
+    return _without(keyed, found.join(first, KEY, "left_anti").select(F.col(KEY).alias("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
+    """Documents without any window of the benchmark, each row searched for itself."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, winnowing.contamination(docs, items).where("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, winnowing.contamination(_by_key(keyed), items).where("contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
