@@ -11,6 +11,8 @@ from ledgerloom.streaming import windows
 
 WORDS = ["the", "that", "with", "from", "this"]
 HIGH, MED = [r"\bidiot\b", r"\bwith\b"], [r"\bfrom\b", r"\bthis\b"]
+#: The same words between explicit classes, which both engines read alike in any language.
+WHOLE_HIGH, WHOLE_MED = ([text.whole_word(w) for w in words] for words in (("idiot", "with"), ("from", "this")))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +31,7 @@ FORWARD_SQL = f"""SELECT source, count(*) AS docs, CAST(count(*) FILTER (WHERE {
 
 
 def severity_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", text.severity(F.col("text"), HIGH, MED).alias("severity"))
+    return _docs(spark, sf).select("doc_id", text.severity(F.col("text"), WHOLE_HIGH, WHOLE_MED).alias("severity"))
 
 
 SEVERITY_SQL = """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\bidiot\\b|\\bwith\\b') THEN 'HIGH'
@@ -48,6 +50,11 @@ def overall_severity(spark: SparkSession, sf: str) -> DataFrame:
 OVERALL_SQL = f"SELECT source, CASE min(CASE severity WHEN 'HIGH' THEN 0 WHEN 'MED' THEN 1 ELSE 2 END) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MED' ELSE 'LOW' END AS severity FROM ({SEVERITY_SQL.replace('doc_id,', 'source,')}) GROUP BY 1"
 
 
+def overall_severity_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).select("source", text.severity(F.col("text"), WHOLE_HIGH, WHOLE_MED).alias("severity"))
+    return rows.groupBy("source").agg(text.overall(F.col("severity")).alias("severity"))
+
+
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.md5(text.normalise_whitespace(F.col("text"))).alias("digest"))
 
@@ -132,9 +139,9 @@ SELECT vec_id, round(s, 3) AS score FROM (SELECT vec_id, list_cosine_similarity(
 
 
 def sentence_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks between each source's two latest English documents."""
+    """Blocks between each source's two latest documents, whatever their language."""
     rank = F.row_number().over(graph.ordered("source", F.col("doc_id").desc()))
-    latest = _docs(spark, sf).where("lang = 'en'").withColumn("rn", rank).where("rn <= 2")
+    latest = _docs(spark, sf).withColumn("rn", rank).where("rn <= 2")
     pairs = latest.groupBy("source").agg(F.max(F.when(F.col("rn") == 2, F.col("text"))).alias("previous"), F.max(F.when(F.col("rn") == 1, F.col("text"))).alias("latest"))
     lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: x != "")
     return diff.blocks(pairs.select("source", lines(F.col("previous")).alias("previous"), lines(F.col("latest")).alias("latest")), "source")
@@ -163,6 +170,7 @@ TEXT = {
     "severity_scoring": (severity_english, SEVERITY_SQL),
     "severity_all_languages": (severity_scoring, None),
     "overall_severity": (overall_severity, OVERALL_SQL),
+    "overall_severity_all_languages": (overall_severity_all, None),
     "clean_text": (clean_text, CLEAN_SQL),
     "html_strip": (html_strip, None),
     "sentence_segmentation": (sentence_segmentation, None),
