@@ -1,6 +1,10 @@
 """Queries over all rows, against brute force."""
 
+import random
 import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.diff import block_rows
 from ledgerloom.plans import catalog
@@ -38,3 +42,34 @@ def test_sentence_diff_takes_the_latest_of_any_language(spark):
         by.setdefault(r["source"], []).append([x.strip(" ") for x in (r["text"] or "").split("\n") if x.strip(" ")])
     want = {(k, i, *b) for k, v in by.items() for i, b in enumerate(block_rows(v[1] if len(v) > 1 else [], v[0]))}
     assert {tuple(r) for r in catalog.QUERIES["sentence_diff"](spark, SF).collect()} == want
+
+
+def edges(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    found = orders.join(spark.read.parquet(f"{SF}/lineitem.parquet"), orders.o_orderkey == F.col("l_orderkey"))
+    return {tuple(r) for r in found.select("o_custkey", "l_suppkey").distinct().collect()}
+
+
+def sharing(pairs):
+    of, near = defaultdict(set), defaultdict(set)
+    for cik, rival in pairs:
+        of[rival].add(cik)
+    for cik, rival in pairs:
+        near[cik] |= {b for b in of[rival] if b > cik}
+    return {k: len(v) for k, v in near.items() if v}
+
+
+def test_shared_competitors_over_all_edges(spark):
+    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitors_all"](spark, SF).collect()}
+    assert got == sharing(edges(spark))
+
+
+def test_shared_competitors_across_buckets_of_bits(spark, tmp_path):
+    rng = random.Random(5)
+    ciks = [1, 7, 8, 9, 16, 32767, 32768, 32769, 32776, 65536, 65537, 100_000]
+    pairs = {(c, rng.randrange(9)) for c in ciks for _ in range(2)}
+    rows = list(enumerate(sorted(pairs)))
+    spark.createDataFrame([(k, c) for k, (c, _) in rows], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, r) for k, (_, r) in rows], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitors_all"](spark, str(tmp_path)).collect()}
+    assert got == sharing(pairs)
