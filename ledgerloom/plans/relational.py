@@ -70,6 +70,8 @@ STATS = {
       SELECT canonical, count(DISTINCT cik) AS companies, count(*) AS edges_before FROM canon GROUP BY 1""",
     "competitor_prune": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
       SELECT comp.cik, comp.rival FROM comp JOIN deg ON comp.rival = deg.rival WHERE degree > 1 AND comp.rival % 10 <> 0""",
+    "competitor_prune_by_degree": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
+      SELECT comp.cik, comp.rival FROM comp JOIN deg ON comp.rival = deg.rival WHERE degree > 1""",
     "competitor_degree_buckets": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
       SELECT CASE WHEN degree = 1 THEN '1' WHEN degree <= 10 THEN '2-10' WHEN degree <= 100 THEN '11-100' ELSE '>100' END AS bucket, count(*) AS competitors FROM deg GROUP BY 1""",
     "parallel_edge_check": "SELECT o_custkey AS cik, l_suppkey AS rival, count(*) AS edges FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING count(*) > 1",

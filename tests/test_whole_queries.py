@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -73,3 +73,10 @@ def test_shared_competitors_across_buckets_of_bits(spark, tmp_path):
     spark.createDataFrame([(k, r) for k, (_, r) in rows], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitors_all"](spark, str(tmp_path)).collect()}
     assert got == sharing(pairs)
+
+
+def test_prune_keeps_rivals_of_any_number(spark):
+    pairs = edges(spark)
+    degree = Counter(r for _, r in pairs)
+    got = {tuple(r) for r in catalog.QUERIES["competitor_prune_by_degree"](spark, SF).select("cik", "rival").collect()}
+    assert got == {(c, r) for c, r in pairs if degree[r] > 1} and any(r % 10 == 0 for _, r in got)
