@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import stage
-from ledgerloom.llm.tokens import encoder
+from ledgerloom.llm.tokens import encoder, ranges
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, chunk int, nth long"
 
@@ -27,37 +26,35 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def run(batches):
         enc, chunk, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = struct.pack("<I", end_id)
-        columns: list[list] = [[] for _ in range(6)]
-        size = 0
-
-        def flush():
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            doc, piece, start, length, ids, nth = (pa.array(c, k) for c, k in zip(columns, kinds))
-            out = pa.RecordBatch.from_arrays(
-                [doc, piece, start, length, ids, pa.array(np.full(len(doc), chunk, np.int32)), nth],
-                names=["doc_id", "piece", "start", "length", "ids", "chunk", "nth"],
-            )
-            for c in columns:
-                c.clear()
-            return out
-
         for batch in batches:
-            for doc_id, ids in enc.encode_rows(zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))):
-                data = ids + end
-                n = len(data) // 4
-                at = 0
-                for k, length in enumerate(([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)):
-                    for c, v in zip(columns, (doc_id, k, at, length, data[4 * at : 4 * (at + length)], int(seen[length]))):
-                        c.append(v)
-                    seen[length] += 1
-                    at += length
-                size += len(data)
-                if size > 4 << 20:
-                    yield flush()
-                    size = 0
-        if columns[0]:
-            yield flush()
+            at = 0
+            for n, ids, begin in enc.encode_array(batch.column(1)):
+                yield cut(batch.column(0).slice(at, n), ids, begin, chunk, seen)
+                at += n
+
+    def cut(doc_ids, ids, begin, chunk, seen):
+        """The pieces of the documents whose ids lie end to end in ids."""
+        total = np.diff(begin) + 1
+        data = np.insert(ids, begin[1:], end_id).astype("<u4")
+        first = np.where(total % capacity, total % capacity, capacity)
+        n = (total - first) // capacity + 1
+        doc, piece = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
+        length = np.where(piece == 0, first[doc], capacity)
+        start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+        # number within the pieces of one length
+        order = np.argsort(length, kind="stable")
+        nth, sizes = np.empty(len(order), np.int64), np.bincount(length, minlength=capacity + 1)
+        nth[order] = ranges(seen, sizes)
+        seen += sizes
+        ends = np.append(0, np.cumsum(length * 4)).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)),
+                held, pa.array(np.full(len(doc), chunk, np.int32)), pa.array(nth),
+            ],
+            names=["doc_id", "piece", "start", "length", "ids", "chunk", "nth"],
+        )
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
     return stage(found, "pieces")

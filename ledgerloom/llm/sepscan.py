@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,27 +21,30 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) ->
     path, ordinal (the document's place in its file), size (of the file so far, in bytes). The
     string of an added token in a text is ordinary text, so end_id stands for ends alone.
     """
+    if width not in (2, 4):
+        raise ValueError("ids have 2 or 4 bytes")
     folder = new_path(docs.sparkSession, "flat")
 
     def run(batches):
-        enc, end = encoder(tokenizer, True), struct.pack("<I", end_id)
+        enc = encoder(tokenizer, True)
         if width == 2 and max(enc.vocabulary - 1, end_id) >= 1 << 16:
             raise ValueError("the vocabulary needs four bytes an id")
-        path, out, ordinal = f"{folder}/part-{TaskContext.get().partitionId():06d}.ids", None, 0
-        for batch in batches:
-            out = out or AtomicFile(path)
-            sizes = []
-            for (ids,) in enc.encode_rows((t.as_py(),) for t in batch.column(1)):
-                ids += end
-                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
-                sizes.append(out.size)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([path] * n), pa.array(np.arange(ordinal, ordinal + n)), pa.array(sizes, pa.int64())], names=["doc_id", "path", "ordinal", "size"]
-            )
-            ordinal += n
-        if out:
-            out.commit()
+        path, ordinal, batch = f"{folder}/part-{TaskContext.get().partitionId():06d}.ids", 0, next(batches, None)
+        if batch is None:
+            return
+        with AtomicFile(path) as out:
+            while batch is not None:
+                sizes = []
+                for _, ids, begin in enc.encode_array(batch.column(1)):
+                    sizes.append(out.size + (begin[1:] + np.arange(1, len(begin))) * width)
+                    out.write(np.insert(ids, begin[1:], end_id).astype(f"<u{width}").tobytes())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([path] * n), pa.array(np.arange(ordinal, ordinal + n)), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))],
+                    names=["doc_id", "path", "ordinal", "size"],
+                )
+                ordinal += n
+                batch = next(batches, None)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stage(rows.mapInArrow(run, "doc_id long, path string, ordinal long, size long"), "keys")
@@ -55,7 +56,10 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES, wid
     Each block of a file is a task's row of its own: numpy finds the ends in it, and the places of
     the last end and the number of ends before a block follow by a prefix scan over the blocks of a
     file. Ids after the last end are a document with ended false; an empty file has none.
+    block_bytes is a multiple of width.
     """
+    if block_bytes <= 0 or block_bytes % width:
+        raise ValueError("a block holds a whole number of ids")
     blocks = files.where("size > 0").select("path", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_bytes).cast("long"))).alias("block", "at"))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks.repartition(n, "path", "block")

@@ -48,12 +48,18 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class AtomicFile:
-    """A file that appears under its name only once it is whole, so that a retried task is harmless."""
+    """A file that appears under its name only once it is whole, so that a retried task is harmless.
+
+    Object stores show a file once its stream is closed; elsewhere a temporary name is used until
+    then. As a context it is closed at the end, or removed after an error.
+    """
 
     def __init__(self, uri: str):
         self.fs, self.path = filesystem(uri)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.direct = self.fs.type_name in ("s3", "gcs", "abfs")
+        self.temporary = self.path if self.direct else f"{self.path}.{uuid.uuid4().hex}.tmp"
+        if not self.direct:
+            self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.temporary)
         self.size = 0
 
@@ -63,8 +69,19 @@ class AtomicFile:
 
     def commit(self) -> None:
         self.out.close()
-        self.fs.move(self.temporary, self.path)
+        if not self.direct:
+            self.fs.move(self.temporary, self.path)
 
     def abort(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temporary)
+        if not self.direct:
+            self.out.close()
+            self.fs.delete_file(self.temporary)
+
+    def __enter__(self) -> AtomicFile:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.commit()
+        else:
+            self.abort()

@@ -28,6 +28,8 @@ ENTRY = struct.Struct("<BBI")  # bytes shared with the key before, bytes of its
 INDEX = struct.Struct("<9sQIII")  # last key, place, stored bytes, plain bytes, entries
 FOOTER = struct.Struct("<QIQIQQBBI8s")  # index place, entries; filter place, bytes; documents, ids; id width, hashes; crc; magic
 BLOCK_BYTES, BITS_A_KEY, HASHES = 256 << 10, 10, 7
+#: Bytes of ids after which a task begins another shard.
+SHARD_BYTES = 512 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -45,14 +47,13 @@ def bloom_bits(keys: list[bytes], bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Writes entries that come in key order; memory is a block and eight bytes or so a key."""
+    """Writes entries that come in key order; memory is a block, and nine bytes and a few bits a key."""
 
     def __init__(self, uri: str, width: int):
         self.file, self.width = AtomicFile(uri), width
         self.index: list[bytes] = []
         self.block, self.size, self.entries, self.last = [], 0, 0, b""
-        self.keys: list[bytes] = []
-        self.ids = 0
+        self.keys, self.documents, self.ids = bytearray(), 0, 0
         self.file.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -68,7 +69,8 @@ class Writer:
         self.size += len(ids)
         self.entries += 1
         self.last = key
-        self.keys.append(key)
+        self.keys += key
+        self.documents += 1
         self.ids += n
         if self.size >= BLOCK_BYTES:
             self._flush()
@@ -85,16 +87,25 @@ class Writer:
         self._flush()
         at = self.file.size
         self.file.write(b"".join(self.index))
-        bits = max(64, -(-len(self.keys) * BITS_A_KEY // 64) * 64)
+        bits = max(64, -(-self.documents * BITS_A_KEY // 64) * 64)
         words = np.zeros(bits, bool)
-        for i in range(0, len(self.keys), 65536):
-            words[bloom_bits(self.keys[i : i + 65536], bits)] = True
+        for i in range(0, len(self.keys), 9 << 16):
+            words[bloom_bits([bytes(self.keys[k : k + 9]) for k in range(i, min(len(self.keys), i + (9 << 16)), 9)], bits)] = True
         bloom = np.packbits(words, bitorder="little").tobytes()
         self.file.write(bloom)
         crc = zlib.crc32(bloom, zlib.crc32(b"".join(self.index)))
-        self.file.write(FOOTER.pack(at, len(self.index), at + len(self.index) * INDEX.size, len(bloom), len(self.keys), self.ids, self.width, HASHES, crc, MAGIC))
+        self.file.write(FOOTER.pack(at, len(self.index), at + len(self.index) * INDEX.size, len(bloom), self.documents, self.ids, self.width, HASHES, crc, MAGIC))
         self.file.commit()
 
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
+        else:
+            self.file.abort()
+
 
 class Reader:
     """Reads a shard: whole, block by block, or the documents of one identifier."""
@@ -153,34 +164,36 @@ class Reader:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
-    """Encode the documents and write one shard for each range of identifiers.
+    """Encode the documents and write shards, one or more for each range of identifiers.
 
     Returns the staged manifest: shard, path, n_docs, n_ids, low, high. Ranges take the hash of the
-    text as a second key, so an identifier with very many rows is spread over shards. Null and empty
-    texts have the end id alone; null identifiers come first; repeated rows are kept.
+    text as a second key, so an identifier with very many rows is spread over shards, and a task
+    begins another shard after SHARD_BYTES. Null and empty texts have the end id alone; null
+    identifiers come first; repeated rows are kept.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "sstable")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4)
 
     def run(batches):
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end, path, out, low, high = struct.pack("<I", end_id), f"{folder}/shard-{shard:06d}.sst", None, None, None
-        for batch in batches:
-            for doc_id, ids in enc.encode_rows(zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))):
-                if out is None:
-                    out, low = Writer(path, 2 if max(enc.vocabulary, end_id + 1) <= 65536 else 4), doc_id
-                out.add(doc_id, ids + end)
-                high = doc_id
-        if out:
-            out.close()
-            values = ([shard], [path], [len(out.keys)], [out.ids], [low], [high])
-            kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4)
+        enc, task = encoder(tokenizer), TaskContext.get().partitionId()
+        end, width = struct.pack("<I", end_id), 2 if max(enc.vocabulary, end_id + 1) <= 65536 else 4
+        rows = ((k, ids + end) for batch in batches for k, ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))))
+        row, nth = next(rows, None), 0
+        while row:
+            path, low = f"{folder}/shard-{task:06d}-{nth:06d}.sst", row[0]
+            with Writer(path, width) as out:
+                while row and out.ids * width < SHARD_BYTES:
+                    out.add(*row)
+                    high, row = row[0], next(rows, None)
+            values = ([task << 24 | nth], [path], [out.documents], [out.ids], [low], [high])
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["shard", "path", "n_docs", "n_ids", "low", "high"])
+            nth += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return stage(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_ids long, low long, high long"), "manifest")
+    return stage(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, low long, high long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

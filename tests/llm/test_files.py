@@ -47,6 +47,29 @@ def test_lookup_nulls_repeats_and_empty_tables(spark, library, monkeypatch):
     assert sstable.digests(docs.where("false")).count() == 0
 
 
+def test_tasks_begin_another_shard_by_bytes(spark, library, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 3000)
+    rows = [(i, f"text number {i} " * 30) for i in range(200)] + [(500, "long " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = sstable.write_shards(docs, PATH, partitions=3)
+    assert manifest.count() > 9
+    at = 0
+    for r, (i, text) in zip(sstable.read_shards(manifest).orderBy("doc_id").collect(), rows, strict=True):
+        ids = ids_of(library, text) + [0]
+        assert (r["doc_id"], r["start"], bytes(r["ids"])) == (i, at, struct.pack(f"<{len(ids)}I", *ids))
+        at += len(ids)
+    keys = spark.createDataFrame([(i,) for i in range(0, 600, 7)], "doc_id long")
+    assert {r["doc_id"] for r in sstable.lookup(manifest, keys).collect()} == {i for i, _ in rows if i % 7 == 0}
+
+
+def test_a_failed_writer_leaves_no_file(tmp_path):
+    with pytest.raises(KeyError):
+        with sstable.Writer(str(tmp_path / "x.sst"), 4) as w:
+            w.add(1, b"\0" * 4)
+            raise KeyError
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_a_damaged_block_is_noticed(tmp_path):
     w = sstable.Writer(str(tmp_path / "x.sst"), 4)
     for i in range(1000):
@@ -73,6 +96,11 @@ def test_separator_scan_counts(spark, library, block):
     assert sepscan.token_counts(docs.where("false"), PATH, 50256).count() == 0
 
 
+def test_blocks_hold_whole_ids(spark):
+    with pytest.raises(ValueError):
+        sepscan.scan_flat(spark.createDataFrame([], "path string, size long"), 0, 6)
+
+
 def test_separator_scan_of_foreign_files(spark, tmp_path):
     rows = []
     for k, ids in enumerate(([5, 5, 0, 0, 7], [0], [3], [])):

@@ -3,7 +3,9 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -85,7 +87,64 @@ def test_memo_gives_the_same_ids():
         ids = t.encode(text, add_special_tokens=False).ids
         assert e.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
     many = [*ODD, None, *ODD]
-    assert [x[1] for x in e.encode_rows(enumerate(many))] == [e.encode(x) for x in many] == tokens.Encoder(PATH).encode_many(many)
+    assert list(e.encode_column(pa.array(many))) == [e.encode(x) for x in many] == tokens.Encoder(PATH).encode_many(many)
+
+
+ATOMS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "b", "the", "é", "x", "1", "23", "'s", "'", ",", "...", "!!", "\u3000", "\xa0", "\u2028", "\x85", "\x1c", "\x00", "×", "÷", "²", "Ⅷ", "“", "—", "😀", "中", "ʼn", "ö", "ß", "<|endoftext|>", "ٱ", "ा", "À", " The", "\x7f"]
+
+
+@pytest.mark.parametrize("slots,together,longest", [(256, 2 << 20, 14), (1024, 64, 300), (2048, 500, 2000)])
+def test_any_text_has_the_library_ids(monkeypatch, slots, together, longest):
+    """Pieces forgotten at every turn, texts of one batch side by side, and long texts in parts."""
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    t, e, rng = Tokenizer.from_file(PATH), tokens.Encoder(PATH, slots=slots), random.Random(slots)
+    for _ in range(120):
+        many = ["".join(rng.choice(ATOMS[: rng.choice([20, 41])]) for _ in range(rng.randint(0, longest))) for _ in range(rng.randint(1, 9))]
+        many = [x.replace("<|endoftext|>", "") if rng.random() < 0.9 else x for x in many]
+        for x, got in zip(many, e.encode_many(many), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def exact(lengths, cap):
+    """The least number of sequences, by trying all places of each length."""
+    best = len(lengths)
+
+    def go(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(lengths):
+            best = len(free)
+            return
+        for i in {x: i for i, x in enumerate(free) if x >= lengths[k]}.values():
+            go(k + 1, [*free[:i], free[i] - lengths[k], *free[i + 1 :]])
+        go(k + 1, [*free, cap - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_is_the_least_on_small_instances():
+    rng = random.Random(3)
+    over = 0
+    for _ in range(300):
+        cap = rng.randint(8, 30)
+        lengths = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 9))), reverse=True)
+        n, least = packing.plan({x: lengths.count(x) for x in lengths}, cap)[1], exact(lengths, cap)
+        assert least <= n <= least + 1
+        over += n > least
+    assert over <= 3
+
+
+def test_very_long_text_is_cut_into_whole_pieces(spark):
+    docs = spark.createDataFrame([(1, "many words of a long text, é " * 60_000), (2, "x" * 100_000)], "doc_id long, text string")
+    rows = packing.packed(docs).collect()
+    t = Tokenizer.from_file(PATH)
+    for i, text in docs.collect():
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        parts = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [r["ids_crc32"] for r in parts] == [zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["start"] : r["start"] + r["length"]])) for r in parts]
+        assert sum(r["length"] for r in parts) == len(ids)
 
 
 def test_nulls_repeats_and_empty_tables(spark):
