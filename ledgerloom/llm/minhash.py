@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stage
+from ledgerloom.llm.shared import drop, stage
 
 #: Coordinates of a band.
 ROWS = 5
@@ -25,8 +25,8 @@ UNIVERSE = 1 << 22
 MISSED_BANDS, MISSED_EQUAL = 2.5e-7, 2.5e-8
 #: Ids sent to all executors at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that one task compares with one another.
-BLOCK = 1024
+#: Members of a bucket on either side of what one task compares.
+BLOCK = 512
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -134,14 +134,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("least"))
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("jumped"))
         new = lower.join(jump, "to", "left").select("node", "old", F.least("to", "jumped").alias("comp"))
         new = stage(new, "labels")
-        labels = new.select("node", "comp")
         if new.where("old <> comp").limit(1).isEmpty():
+            drop(both, new)
             return labels
+        drop(labels)
+        labels = new
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 7) -> DataFrame:
@@ -169,14 +171,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed:
     tested = crowded.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     size = classes.select("node", "n", "sketch").dropDuplicates(["node", "n"])
     tested = stage(_plausible(tested, size, percent), "stars")
-    edges = stage(_verified(docs, tested, percent, shingle), "links")
+    edges = _verified(docs, tested, percent, shingle)
     comps = components(edges)
-    label = crowded.join(comps, "node", "left").select("bucket", "node", "members", F.coalesce("comp", "node").alias("comp"))
+    label = crowded.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    left = stage(label.join(stage(mixed, "mixed"), "bucket"), "left")
-    more = stage(_cross(docs, left, classes, percent, shingle), "links")
+    mixed = stage(mixed, "mixed")
+    left = stage(label.join(mixed, "bucket"), "left")
+    more = _cross(docs, left, classes, percent, shingle)
     if not more.limit(1).isEmpty():
-        comps = components(edges.union(more))
+        before, comps = comps, components(edges.union(more))
+        drop(before)
+    drop(centers, crowded, tested, edges, mixed, left, more)
     member = filled.join(first, "digest", "left").select("doc_id", "n", "node")
     member = member.join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("component_id"))
     alone = sigs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -202,7 +207,7 @@ def _plausible(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node and its shingle set, for the nodes given."""
+    """node and its shingle set, for the nodes given; a staged table."""
     nodes = stage(nodes.distinct().toDF("doc_id"), "wanted")
     few = nodes.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
@@ -214,23 +219,32 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 held = pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in part.column(1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), held], names=["node", "held"])
 
-    return stage(texts.mapInArrow(sets, "node long, held binary"), "sets")
+    out = stage(texts.mapInArrow(sets, "node long, held binary"), "sets")
+    drop(nodes)
+    return out
 
 
 def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Links between members of a bucket that are in different components.
+    """Links between members of a bucket that are in different components, as a staged table.
 
-    A bucket's members are dealt to blocks and each pair of blocks is a task's work of its own. A
+    Members of a bucket's largest component need no comparison with one another: they are dealt to
+    blocks, once each, and the others, in blocks too, go to each of those and to one another. A
     task compares signatures first and full sets where they agree, leaves a pair that shares an
     earlier band to that one, and skips pairs that its own links have joined, so what it returns is
     linear in its members.
     """
     held = _sets(docs, members.select("node"), shingle)
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("own"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = sizes.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.own")).alias("main"), blocks(F.col("all") - F.col("top.own")).alias("rest"))
     full = members.join(classes.select("node", "n", "bands", "sketch").dropDuplicates(["node", "n"]), "node").join(held, "node")
-    full = full.where(F.octet_length("held") == 8 * F.col("n"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.where(F.octet_length("held") == 8 * F.col("n")).join(sizes, "bucket")
+    # sides are numbered: blocks of the rest from 0, those of the largest component after them
+    inside = F.col("comp") == F.col("top")
+    own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("main")).otherwise(F.col("rest"))).cast("int") + F.when(inside, F.col("rest")).otherwise(0)
+    last = F.col("rest") + F.when(inside, 0).otherwise(F.col("main")) - 1
+    dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bands", "sketch", "held")
 
     n_bands, least = banding(percent)
@@ -255,11 +269,13 @@ def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int
                     comp[comp == comp[k]] = comp[x]
         return pa.table({c: pa.array([int(p[k]) for p in found], pa.int64()) for k, c in enumerate("ab")})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    out = stage(dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+    drop(held)
+    return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
+    """Pairs (a, b) whose full shingle sets are similar enough, as a staged table."""
     held = _sets(docs, pairs.select("a").union(pairs.select("b")), shingle)
     a, b = (held.select(F.col("node").alias(c), F.col("held").alias(f"h_{c}")) for c in "ab")
 
@@ -269,7 +285,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) ->
             ok = [shared_enough(*(np.frombuffer(v.as_buffer(), np.uint64) for v in xy), percent) for xy in zip(x, y)]
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long").distinct()
+    out = stage(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long").distinct(), "links")
+    drop(held)
+    return out
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

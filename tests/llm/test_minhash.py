@@ -1,6 +1,11 @@
+import os
+import random
 import re
 from collections import defaultdict
 
+import pytest
+
+from ledgerloom.llm import minhash, shared
 from ledgerloom.llm.minhash import banding, near_duplicates, op3_minhash_near_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -12,7 +17,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     by = defaultdict(list)
     for i, s in sets.items():
@@ -28,7 +33,7 @@ def brute(rows):
     for i, s in sets.items():
         for j in {j for x in s for j in by[x] if j < i}:
             both = len(s & sets[j])
-            if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
@@ -75,3 +80,50 @@ def test_banding_follows_the_similarity():
     for percent in (50, 80, 85, 95):
         bands, least = banding(percent)
         assert (1 - (percent / 100) ** 5) ** bands <= 2.5e-7 and least < 5 * bands * percent / 100
+
+
+def varied(seed, groups=12, each=10):
+    """Texts in groups whose members lie at all similarities from each other."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(rng.choice([9, 40, 150]))]
+        for _ in range(each):
+            own = [w if rng.random() > rng.choice([0, 0.004, 0.01, 0.03, 0.06]) else f"x{rng.randrange(10**6)}" for w in base]
+            rows.append((len(rows), " ".join(own[rng.choice([0, 0, 1, 4]) :])))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [50, 65, 80, 95, 100])
+def test_recall_at_other_similarities(spark, percent):
+    rows = varied(percent)
+    want = brute(rows, percent)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)) == want
+    assert len({w[1] for w in want.values()}) < len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = varied(7, 4, 30)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)) == brute(rows, 80)
+
+
+def test_ids_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    rows = varied(3)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)) == brute(rows, 80)
+
+
+def test_repeated_ids_of_unlike_texts_and_a_very_long_text(spark):
+    long = " ".join(f"w{k % 5000}x{k // 7}" for k in range(150_000))
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, long), (4, long + " end")]
+    found = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r[0] for r in found] == [1, 1, 2, 3, 4]
+    assert [r[2] for r in found] == [1, 1, 1, 3, 3]
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = near_duplicates(spark.createDataFrame(varied(5), "doc_id long, text string"))
+    left = {x.rpartition("-")[0] for x in os.listdir(tmp_path)}
+    assert left <= {"signatures", "classes", "nodes", "labels"} and out.count() == 120
