@@ -238,8 +238,9 @@ def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all"))
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     sizes = sizes.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.own")).alias("main"), blocks(F.col("all") - F.col("top.own")).alias("rest"))
-    full = members.join(classes.select("node", "n", "bands", "sketch").dropDuplicates(["node", "n"]), "node").join(held, "node")
-    full = full.where(F.octet_length("held") == 8 * F.col("n")).join(sizes, "bucket")
+    # sizes join first, while rows are narrow: a bucket's wide rows are then dealt by blocks and never by the bucket alone
+    full = members.join(sizes, "bucket").join(classes.select("node", "n", "bands", "sketch").dropDuplicates(["node", "n"]), "node").join(held, "node")
+    full = full.where(F.octet_length("held") == 8 * F.col("n"))
     # sides are numbered: blocks of the rest from 0, those of the largest component after them
     inside = F.col("comp") == F.col("top")
     own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("main")).otherwise(F.col("rest"))).cast("int") + F.when(inside, F.col("rest")).otherwise(0)
