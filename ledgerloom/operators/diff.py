@@ -1,4 +1,4 @@
-"""Diff of two sentence sequences into context, collapsed, removed and added blocks."""
+"""Diffs of two sentence sequences: blocks of context, collapsed, removed and added sentences, and what they amount to."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-KEEP = 3
+from ledgerloom.functions import text
+
+KEEP, TOP, SHOWN = 3, 5, 600
 SCHEMA = "block_idx int, type string, text string, count int"
 
 
@@ -27,12 +30,91 @@ def block_rows(previous: list[str], latest: list[str]) -> Iterator[tuple]:
             yield from (("context", s, None) for s in latest[b1 - KEEP : b1])
 
 
-def blocks(pairs: DataFrame, key: str) -> DataFrame:
-    """Blocks of each row of pairs(key, previous, latest); a row is a pair of filings, so rows are independent."""
+def blocks(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Blocks of each row of pairs(keys, previous, latest); a row is a pair of filings, so rows are independent.
+
+    A task holds the blocks of some pairs at a time. The comparison takes time quadratic in the
+    sentences of one pair in the worst case.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, *r) for k, a, b in zip(pdf[key], pdf["previous"], pdf["latest"]) for i, r in enumerate(block_rows(list(a), list(b)))]
-            yield pd.DataFrame(rows, columns=[key, "block_idx", "type", "text", "count"]).astype({"count": "Int32", "block_idx": "int32"})
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                given = zip(*[part[k] for k in keys], part["previous"], part["latest"])
+                rows = [(*k, i, *r) for *k, a, b in given for i, r in enumerate(block_rows(list(a), list(b)))]
+                yield pd.DataFrame(rows, columns=[*keys, "block_idx", "type", "text", "count"]).astype({"count": "Int32", "block_idx": "int32"})
+
+    types = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    return pairs.select(*keys, "previous", "latest").mapInPandas(run, f"{types}, {SCHEMA}")
+
+
+def adjacent(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """group, latest and previous for each row and the one before it in its group.
+
+    Rows are ordered over all groups by ranges, so that a group of any size is spread over tasks;
+    the last row of each range is carried to the next range. Rows without a predecessor have none.
+    """
+    dealt = rows.select(group, order).repartitionByRange(group, order).withColumn("_p", F.spark_partition_id())
+    within = Window.partitionBy("_p").orderBy(group, order)
+    own = F.struct(group, order)
+    near = dealt.withColumn("_before", F.lag(own).over(within))
+    # one row a range: the last row of all ranges before
+    last = dealt.groupBy("_p").agg(F.max(own).alias("_last"))
+    last = last.select("_p", F.max("_last").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    near = near.join(F.broadcast(last), "_p").withColumn("_before", F.coalesce("_before", "_carried"))
+    return near.where(F.col("_before")[group] == F.col(group)).select(group, F.col(order).alias("latest"), F.col("_before")[order].alias("previous"))
+
+
+def with_severity(found: DataFrame) -> DataFrame:
+    """Blocks with the severity of those that changed."""
+    return found.withColumn("severity", F.when(F.col("type").isin("added", "removed"), text.severity(F.col("text"))))
+
+
+def stats(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, added, removed and unchanged sentences (shown ones alone), total changes and the overall severity of blocks."""
+    n = lambda kind: F.count_if(F.col("type") == kind)
+    return found.groupBy(*keys).agg(
+        n("added").alias("added_sentences"), n("removed").alias("removed_sentences"), n("context").alias("unchanged_sentences"),
+        (n("added") + n("removed")).alias("total_changes"), text.overall(F.col("severity")).alias("severity_score"),
+    )
+
+
+def top_changes(found: DataFrame, *keys: str, most: int = TOP) -> DataFrame:
+    """The gravest changed blocks of each pair, earlier ones first among equals: keys, rank, severity, type, text, why."""
+    changed = found.where("severity IS NOT NULL")
+    place = Window.partitionBy(*keys).orderBy(text.severity_rank(F.col("severity")), "block_idx")
+    ranked = changed.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most)
+    return ranked.select(*keys, "rank", "severity", "type", F.substring("text", 1, SHOWN).alias("text"), text.reason(F.col("text"), F.col("type")).alias("why"))
+
+
+def payload(pairs: DataFrame, filings: DataFrame, sentences: DataFrame) -> DataFrame:
+    """One row a pair of accessions (latest, previous): both filings, severity, stats, top changes and all blocks.
 
-    return pairs.select(key, "previous", "latest").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, {SCHEMA}")
+    filings(accession, cik, ticker, company_name, form_type, filing_date, fiscal_year);
+    sentences(accession, seq, text), blank ones left out. A pair with an unknown filing has no row; a
+    filing without sentences is empty.
+    """
+    said = sentences.select("accession", "seq", F.trim("text").alias("text")).where("text <> ''")
+    lists = said.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct("seq", "text")))["text"].alias("said"))
+    none = F.array().cast("array<string>")
+    known = pairs.select("latest", "previous").distinct()
+    for side in ("latest", "previous"):
+        f = filings.select(F.col("accession").alias(side), F.struct(*filings.columns).alias(f"{side}_filing"))
+        known = known.join(f, side).join(lists.withColumnsRenamed({"accession": side, "said": f"_{side}"}), side, "left")
+    keyed = known.select("latest", "previous", F.coalesce("_previous", none).alias("b"), F.coalesce("_latest", none).alias("a"))
+    keyed = keyed.select(F.col("latest").alias("l"), F.col("previous").alias("p"), F.col("b").alias("previous"), F.col("a").alias("latest"))
+    found = with_severity(blocks(keyed, "l", "p"))
+    top = top_changes(found, "l", "p").groupBy("l", "p").agg(F.array_sort(F.collect_list(F.struct("rank", "severity", "type", "text", "why"))).alias("top_changes"))
+    every = found.groupBy("l", "p").agg(F.array_sort(F.collect_list(F.struct("block_idx", "type", "text", "count", "severity"))).alias("diff_blocks"))
+    out = known.select(F.col("latest").alias("l"), F.col("previous").alias("p"), "latest_filing", "previous_filing")
+    for part in (stats(found, "l", "p"), top, every):
+        out = out.join(part, ["l", "p"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    counts = [zero(c) for c in ("added_sentences", "removed_sentences", "unchanged_sentences", "total_changes")]
+    return out.select(
+        F.concat_ws("|", "l", "p").alias("id"), F.col("l").alias("latest"), F.col("p").alias("previous"),
+        F.struct(F.col("latest_filing.cik"), F.col("latest_filing.ticker"), F.col("latest_filing.company_name").alias("name")).alias("company"),
+        "latest_filing", "previous_filing", F.lit("risk_factors").alias("section"), F.coalesce("severity_score", F.lit("NONE")).alias("severity_score"),
+        F.struct(*counts).alias("stats"), "top_changes", "diff_blocks",
+    )

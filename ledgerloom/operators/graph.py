@@ -1,19 +1,37 @@
-"""Property-graph operators over node and edge DataFrames."""
+"""Property-graph operators over node and edge DataFrames.
+
+Nodes have node_id and label, edges subject_id, relation_type and object_id; both carry further columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed
+from ledgerloom.functions import text
+from ledgerloom.shared import scratch
+
+EDGE = ["subject_id", "relation_type", "object_id"]
+
 
 def ordered(key: str, *order: Column | str) -> Window:
     return Window.partitionBy(key).orderBy(*order)
 
 
-def merge_nodes(writes: DataFrame, key: str, sequence: str) -> DataFrame:
+# merges
+
+
+NODE = ["label", "node_id"]
+
+
+def merge_nodes(writes: DataFrame, key: str | list[str], sequence: str) -> DataFrame:
     """One node a key: of each property the last value that isn't null, so a null never overwrites."""
-    props = [c for c in writes.columns if c not in (key, sequence)]
-    return writes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(sequence))).alias(c) for c in props])
+    keys = [key] if isinstance(key, str) else key
+    props = [c for c in writes.columns if c not in (*keys, sequence)]
+    return writes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(sequence))).alias(c) for c in props])
 
 
 def merge_edges(writes: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -23,14 +41,45 @@ def merge_edges(writes: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return writes.groupBy(*keys).agg(last.alias("e")).select(*keys, "e.*")
 
 
-def valid_edges(edges: DataFrame, nodes: DataFrame, schema: dict[str, tuple[str, str]]) -> DataFrame:
-    """Edges(subject_id, relation_type, object_id) whose ends exist under the labels that the relation asks for."""
-    rules = edges.sparkSession.createDataFrame([(r, a, b) for r, (a, b) in schema.items()], "relation_type string, subject_label string, object_label string")
-    out = edges.join(F.broadcast(rules), "relation_type")  # a row a relation type
+def replace_rows(writes: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row a key: the whole of its last write, nulls included."""
+    return merge_edges(writes, keys, *order)
+
+
+def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """df, whose use fails if two rows share the keys."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    return df.withColumn("_n", n).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit(f"repeated {keys}"))).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+
+
+def valid_edges(edges: DataFrame, nodes: DataFrame, schema: dict[str, tuple[str, str]] = fixed.RELATIONS) -> DataFrame:
+    """Edges whose ends exist under the labels that the relation asks for."""
+    labels = edges.withColumns({
+        "subject_label": text.lookup({r: a for r, (a, _) in schema.items()})[F.col("relation_type")],
+        "object_label": text.lookup({r: b for r, (_, b) in schema.items()})[F.col("relation_type")],
+    })
     for end in ("subject", "object"):
         known = nodes.select(F.col("node_id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"))
-        out = out.join(known, [f"{end}_id", f"{end}_label"], "left_semi")
-    return out.select(edges.columns)
+        labels = labels.join(known, [f"{end}_id", f"{end}_label"], "left_semi")
+    return labels.select(edges.columns)
+
+
+def years(spark: SparkSession, first: int = fixed.FIRST_YEAR, last: int = fixed.LAST_YEAR) -> tuple[DataFrame, DataFrame]:
+    """FiscalYear nodes and the PRECEDES chain over them."""
+    year = spark.range(first, last + 1).select(F.col("id").alias("year"), F.format_string("fy_%d", "id").alias("node_id"), F.lit("FiscalYear").alias("label"))
+    chain = year.where(F.col("year") < last).select(
+        F.col("node_id").alias("subject_id"), F.lit("PRECEDES").alias("relation_type"), F.format_string("fy_%d", F.col("year") + 1).alias("object_id")
+    )
+    return year, chain
+
+
+def filed_in(filings: DataFrame, first: int = fixed.FIRST_YEAR, last: int = fixed.LAST_YEAR) -> DataFrame:
+    """FILED_IN edges of filings(accession, fiscal_year) whose year is in the chain."""
+    inside = filings.where(F.col("fiscal_year").between(first, last))
+    return inside.select(F.col("accession").cast("string").alias("subject_id"), F.lit("FILED_IN").alias("relation_type"), F.format_string("fy_%d", "fiscal_year").alias("object_id"))
+
+
+# deletions and merges of nodes by rule
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,12 +90,46 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return nodes.join(gone, "node_id", "left_anti"), left.select(edges.columns)
 
 
+def degrees(nodes: DataFrame, edges: DataFrame, label: str, relation: str) -> DataFrame:
+    """node_id and the number of distinct subjects of each node of a label, 0 for those without."""
+    of = edges.where(F.col("relation_type") == relation).select("object_id", "subject_id").distinct().groupBy("object_id").agg(F.count("*").alias("degree"))
+    own = nodes.where(F.col("label") == label).select("node_id")
+    return own.join(of, F.col("node_id") == F.col("object_id"), "left").select("node_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+
+
+def prune_singletons(nodes: DataFrame, edges: DataFrame, label: str = "Competitor", relation: str = "COMPETES_WITH") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the nodes of a label that one subject at most points to."""
+    return detach_delete(nodes, edges, degrees(nodes, edges, label, relation).where("degree <= 1").select("node_id"))
+
+
+def merge_aliases(nodes: DataFrame, edges: DataFrame, aliases: dict[str, str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of nodes that are named by an alias moved to the node of its canonical name, once each, and the aliases deleted.
+
+    nodes has a name. An alias whose canonical node doesn't exist stays. Of nodes with one name the
+    least node_id is the canonical one.
+    """
+    own = nodes.where(F.col("label") == label).select("node_id", "name")
+    canon = own.groupBy("name").agg(F.min("node_id").alias("canonical"))
+    gone = own.withColumn("name", text.lookup(aliases)[F.col("name")]).where("name IS NOT NULL").join(canon, "name")
+    gone = gone.where("node_id <> canonical").select("node_id", "canonical")
+    moved = edges
+    for end in ("subject_id", "object_id"):
+        to = gone.select(F.col("node_id").alias(end), F.col("canonical").alias("_to"))
+        moved = moved.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    rest = [c for c in edges.columns if c not in EDGE]
+    once = moved.groupBy(*EDGE).agg(F.min(F.struct(*rest)).alias("e")).select(*EDGE, "e.*") if rest else moved.select(EDGE).distinct()
+    return nodes.join(gone, "node_id", "left_anti"), once.select(edges.columns)
+
+
+# neighbourhoods
+
+
 def ego(edges: DataFrame, node: str, hops: int = 1) -> DataFrame:
-    """Edges within hops of a node; each hop is a join on the frontier."""
+    """Edges within hops of a node; each hop is two joins on the frontier."""
     frontier = edges.sparkSession.createDataFrame([(node,)], "node_id string")
     found = None
     for _ in range(hops):
-        near = edges.join(frontier, (edges.subject_id == frontier.node_id) | (edges.object_id == frontier.node_id), "left_semi") if hops == 1 else _touching(edges, frontier)
+        near = _touching(edges, frontier)
         found = near if found is None else found.union(near).distinct()
         frontier = near.select(F.explode(F.array("subject_id", "object_id")).alias("node_id")).distinct()
     return found.distinct()
@@ -57,14 +140,65 @@ def _touching(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).distinct()
 
 
+def neighbours(edges: DataFrame, node: str | Column, relation: str, most: int = 20) -> DataFrame:
+    """Objects of a node's edges of one relation with their number, most frequent first."""
+    of = edges.where((F.col("subject_id") == node) & (F.col("relation_type") == relation))
+    return of.groupBy("object_id").agg(F.count("*").alias("edges")).orderBy(F.col("edges").desc(), "object_id").limit(most)
+
+
+def pointing_at(edges: DataFrame, node: str, relation: str, most: int = 50) -> DataFrame:
+    """Subjects whose edges of one relation end at a node, in order."""
+    of = edges.where((F.col("object_id") == node) & (F.col("relation_type") == relation))
+    return of.select("subject_id").distinct().orderBy("subject_id").limit(most)
+
+
+def chain(edges: DataFrame, *relations: str, optional: bool = False) -> DataFrame:
+    """Paths along relations: n0, n1, ...; a relation written <R is followed backwards. Optional ones keep shorter paths."""
+    out = None
+    for k, r in enumerate(relations):
+        back = r.startswith("<")
+        step = edges.where(F.col("relation_type") == r.lstrip("<"))
+        a, b = ("object_id", "subject_id") if back else ("subject_id", "object_id")
+        step = step.select(F.col(a).alias(f"n{k}"), F.col(b).alias(f"n{k + 1}")).distinct()
+        out = step if out is None else out.join(step, f"n{k}", "left" if optional else "inner")
+    return out.select(*[f"n{k}" for k in range(len(relations) + 1)])
+
+
+def branches(edges: DataFrame, base: DataFrame, key: str, **relations: str) -> DataFrame:
+    """base with a sorted array of distinct objects for each relation, each gathered by itself before the join, so branches don't multiply."""
+    for name, r in relations.items():
+        of = edges.where(F.col("relation_type") == r).groupBy(F.col("subject_id").alias(key)).agg(F.array_sort(F.collect_set("object_id")).alias(name))
+        base = base.join(of, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return base
+
+
+def cooccurring(members: DataFrame, group: str, item: str) -> DataFrame:
+    """a, b and the number of groups with both, for items a < b of members; a group's items are distinct first."""
+    d = members.select(F.col(group).alias("g"), F.col(item).alias("a")).distinct()
+    return d.join(d.withColumnRenamed("a", "b"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("groups"))
+
+
+def across_years(items: DataFrame, owner: str, item: str, year: str) -> DataFrame:
+    """owner, item, year and link: EMERGED_IN its first year of a run, PERSISTED_TO the next, RESOLVED_IN the year after the last.
+
+    An item is resolved only where the owner has a later year at all.
+    """
+    d = items.select(F.col(owner).alias("owner"), F.col(item).alias("item"), F.col(year).cast("long").alias("year")).distinct()
+    before = d.select("owner", "item", (F.col("year") + 1).alias("year"), F.lit(True).alias("was"))
+    last = d.groupBy("owner").agg(F.max("year").alias("last"))
+    both = d.withColumn("now", F.lit(True)).join(before, ["owner", "item", "year"], "full").join(last, "owner")
+    link = F.when(F.col("now") & F.col("was"), "PERSISTED_TO").when(F.col("now"), "EMERGED_IN").otherwise("RESOLVED_IN")
+    return both.where("now OR year <= last").select("owner", "item", "year", link.alias("link"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of edges(src, dst) reaches.
 
-    Labels take their neighbours' least and then their label's label; lineage is cut by checkpoint()
-    where the session has a checkpoint folder and by a cache otherwise.
+    Labels take their neighbours' least and then their label's label; each round is written to the
+    shared folder, and what is two rounds old is deleted.
     """
-    cut = lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("a", "b"))
+    cut = scratch(edges.sparkSession, "components")
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("a", "b"), keep=True)
     labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).toDF("node", "component"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("least"))
@@ -74,3 +208,38 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
             return labels
+
+
+# pictures
+
+
+def panel(nodes: DataFrame) -> DataFrame:
+    """node_id, label and caption of each node as a graph panel shows it."""
+    short = lambda c, n: F.substring(F.col(c), 1, n)
+    has = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    rows = nodes.withColumns({c: has(c) for c in ("name", "ticker", "year", "accession_number", "section_type", "description") if c not in nodes.columns})
+    risk = F.when(F.length("description") > 22, F.concat(short("description", 22), F.lit("…"))).otherwise(F.coalesce(F.nullif("description", F.lit("")), F.lit("Risk")))
+    caption = (
+        F.when(F.col("label") == "Company", F.substring(F.coalesce("name", "ticker", F.lit("?")), 1, 25))
+        .when(F.col("label") == "FiscalYear", F.concat(F.lit("FY"), F.coalesce(F.col("year").cast("string"), F.lit("?"))))
+        .when(F.col("label") == "Filing", F.coalesce(F.right("accession_number", F.lit(10)), F.lit("?")))
+        .when(F.col("label").isin("GeographicMarket", "Competitor"), F.coalesce(short("name", 20), F.lit("?")))
+        .when(F.col("label") == "Section", F.coalesce("section_type", F.lit("Section")))
+        .when(F.col("label") == "RiskFactor", risk)
+        .when(F.col("label") == "FinancialMetric", F.coalesce(short("name", 20), F.lit("Metric")))
+        .when(F.col("label") == "ManagementOutlook", "Outlook")
+        .otherwise(F.col("label"))
+    )
+    props = F.to_json(F.struct(*[c for c in nodes.columns if c not in ("node_id", "label")]))
+    return rows.select("node_id", "label", caption.alias("caption"), props.alias("tooltip"))
+
+
+def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of a flow chart, in order: its head, a line a node and a line an edge."""
+    safe = lambda c: F.regexp_replace(F.col(c), "[^A-Za-z0-9_]", "_")
+    parts = [
+        nodes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("graph LR").alias("line")),
+        panel(nodes).select(F.lit(1).alias("part"), F.concat(F.lit("  "), safe("node_id"), F.lit('["'), F.replace("caption", F.lit('"'), F.lit("'")), F.lit('"]')).alias("line")),
+        edges.select(F.lit(2).alias("part"), F.concat(F.lit("  "), safe("subject_id"), F.lit(" -->|"), "relation_type", F.lit("| "), safe("object_id")).alias("line")),
+    ]
+    return reduce(DataFrame.union, parts).orderBy("part", "line").select("line")

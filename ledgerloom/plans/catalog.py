@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.plans.graph_queries import GRAPH_QUERIES
 from ledgerloom.plans.relational import STATS
 from ledgerloom.plans.text_queries import TEXT
 
@@ -20,6 +21,7 @@ def _sql(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = {name: q if isinstance(q, tuple) else (q, q) for name, q in STATS.items()}
 
-QUERIES = {name: functools.partial(_sql, spark_text) for name, (spark_text, _) in _PAIRS.items()} | {name: f for name, (f, _) in TEXT.items()}
+_OWN = TEXT | GRAPH_QUERIES
+QUERIES = {name: functools.partial(_sql, spark_text) for name, (spark_text, _) in _PAIRS.items()} | {name: f for name, (f, _) in _OWN.items()}
 
-ORACLES = {name: re.sub(r"\{(\w+)\}", r"\1", duck) for name, (_, duck) in _PAIRS.items() if duck} | {name: duck for name, (_, duck) in TEXT.items() if duck}
+ORACLES = {name: re.sub(r"\{(\w+)\}", r"\1", duck) for name, (_, duck) in _PAIRS.items() if duck} | {name: duck for name, (_, duck) in _OWN.items() if duck}

@@ -1,6 +1,6 @@
 """Relational analytics over companies, filings, sections and derived edges, as SQL.
 
-Each entry is text for both engines, or a pair where they spell something differently. Tables stand
+Each entry is text for both engines, or a pair where they spell something differently (or the engine has another plan). Tables stand
 in braces. Companies are customers, filings are orders, sections are lineitem rows; a market edge
 joins a company to the nations of its filings' suppliers, a competitor edge to the suppliers.
 """
@@ -44,10 +44,8 @@ STATS = {
     "stats_top_markets": f"WITH {GEO} SELECT market, count(*) AS companies FROM geo GROUP BY 1 ORDER BY companies DESC, market LIMIT 15",
     "stats_top_competitors": f"WITH {COMP} SELECT rival, count(*) AS companies FROM comp GROUP BY 1 ORDER BY companies DESC, rival LIMIT 15",
     "approx_companies_per_market": (f"WITH {GEO} SELECT market, approx_count_distinct(cik) AS companies FROM geo GROUP BY 1", None),
-    "company_list_search": """SELECT c_custkey AS cik, c_name AS name, count(o_orderkey) AS filings FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey
-      WHERE lower(c_name) LIKE '%00%' GROUP BY 1, 2 ORDER BY name, cik LIMIT 50""",
-    "company_filing_history": f"""SELECT c_custkey AS cik, o_orderkey AS accession, o_orderpriority AS form_type, CAST(o_orderdate AS DATE) AS filing_date, {FY} AS fiscal_year
-      FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""",
+    "company_filing_history": f"""SELECT c_custkey AS cik, o_orderkey AS accession, o_orderpriority AS form_type, CAST(o_orderdate AS DATE) AS filing_date, {FY} AS fiscal_year,
+      CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS BIGINT) AS recency FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""",
     "target_list_top1": """SELECT cik, accession, form_type FROM (SELECT o_custkey AS cik, o_orderkey AS accession, o_orderpriority AS form_type,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM {orders}) t WHERE rn = 1""",
     "latest_n_filings": """SELECT cik, accession, CAST(rn AS BIGINT) AS recency FROM (SELECT o_custkey AS cik, o_orderkey AS accession,
@@ -60,20 +58,24 @@ STATS = {
       CASE WHEN count(DISTINCT l_returnflag) = 3 THEN 'Complete' WHEN count(DISTINCT l_returnflag) > 0 THEN 'Partial' ELSE 'Missing' END AS status
       FROM {{orders}} LEFT JOIN {{lineitem}} ON o_orderkey = l_orderkey GROUP BY 1, 2""",
     "collect_markets_per_company": _both(f"WITH {GEO} SELECT cik, @all@ AS markets, count(*) AS n_markets FROM geo GROUP BY 1", all=_joined("market")),
-    "shared_markets": f"WITH {GEO} SELECT market FROM geo WHERE cik = 1 INTERSECT SELECT market FROM geo WHERE cik = 2",
-    "unique_markets": f"WITH {GEO} SELECT market FROM geo WHERE cik = 1 EXCEPT SELECT market FROM geo WHERE cik = 2",
-    "presence_matrix": f"""WITH {GEO} SELECT market, max(CASE WHEN cik % 3 = 0 THEN 1 ELSE 0 END) AS group_a, max(CASE WHEN cik % 3 = 1 THEN 1 ELSE 0 END) AS group_b,
-      max(CASE WHEN cik % 3 = 2 THEN 1 ELSE 0 END) AS group_c FROM geo GROUP BY 1""",
+    # companies of one home and sector are compared with one another
+    "shared_markets": f"""WITH {GEO}, held AS (SELECT c_nationkey AS home, c_mktsegment AS sector, market, count(*) AS n FROM geo JOIN {{customer}} ON c_custkey = cik GROUP BY 1, 2, 3),
+      size AS (SELECT c_nationkey AS home, c_mktsegment AS sector, count(*) AS companies FROM {{customer}} WHERE c_custkey IN (SELECT cik FROM geo) GROUP BY 1, 2)
+      SELECT held.home, held.sector, market, companies FROM held JOIN size ON held.home = size.home AND held.sector = size.sector WHERE n = companies AND companies > 1""",
+    "unique_markets": f"""WITH {GEO}, held AS (SELECT c_nationkey AS home, c_mktsegment AS sector, market, count(*) AS n, min(cik) AS cik FROM geo JOIN {{customer}} ON c_custkey = cik GROUP BY 1, 2, 3)
+      SELECT home, sector, cik, market FROM held WHERE n = 1""",
+    "presence_matrix": f"""WITH {GEO}, s AS (SELECT DISTINCT market, c_mktsegment AS sector FROM geo JOIN {{customer}} ON c_custkey = cik) SELECT market,
+      max(CASE WHEN sector = 'AUTOMOBILE' THEN 'Yes' ELSE '' END) AS automobile, max(CASE WHEN sector = 'BUILDING' THEN 'Yes' ELSE '' END) AS building,
+      max(CASE WHEN sector = 'FURNITURE' THEN 'Yes' ELSE '' END) AS furniture, max(CASE WHEN sector = 'HOUSEHOLD' THEN 'Yes' ELSE '' END) AS household,
+      max(CASE WHEN sector = 'MACHINERY' THEN 'Yes' ELSE '' END) AS machinery FROM s GROUP BY 1""",
     "china_style_alias_union": f"WITH {GEO} SELECT DISTINCT cik FROM geo WHERE market IN ('CHINA', 'NATION_1') UNION SELECT cik FROM geo WHERE market LIKE '%2'",
-    "region_country_split": "SELECT r_name AS name, 'region' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM {region} UNION ALL SELECT n_name, 'country', CAST(n_nationkey AS BIGINT) FROM {nation}",
     "alias_merge": f"""WITH {GEO}, canon AS (SELECT market, min(market) OVER (PARTITION BY regionkey) AS canonical, cik FROM geo)
       SELECT canonical, count(DISTINCT cik) AS companies, count(*) AS edges_before FROM canon GROUP BY 1""",
     "competitor_prune": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
-      SELECT comp.cik, comp.rival FROM comp JOIN deg ON comp.rival = deg.rival WHERE degree > 1 AND comp.rival % 10 <> 0""",
-    "competitor_prune_by_degree": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
       SELECT comp.cik, comp.rival FROM comp JOIN deg ON comp.rival = deg.rival WHERE degree > 1""",
-    "competitor_degree_buckets": f"""WITH {COMP}, deg AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1)
-      SELECT CASE WHEN degree = 1 THEN '1' WHEN degree <= 10 THEN '2-10' WHEN degree <= 100 THEN '11-100' ELSE '>100' END AS bucket, count(*) AS competitors FROM deg GROUP BY 1""",
+    "competitor_degree": f"""WITH {COMP} SELECT s_suppkey AS rival, count(cik) AS degree, count(cik) <= 1 AS pruned FROM {{supplier}} LEFT JOIN comp ON rival = s_suppkey GROUP BY 1""",
+    "competitor_degree_buckets": f"""WITH m AS (SELECT o_custkey AS cik, l_suppkey AS rival, count(*) AS mentions FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey GROUP BY 1, 2)
+      SELECT CASE WHEN mentions = 1 THEN '1' WHEN mentions = 2 THEN '2' WHEN mentions <= 9 THEN '3-9' ELSE '10+' END AS bucket, count(*) AS pairs FROM m GROUP BY 1""",
     "parallel_edge_check": "SELECT o_custkey AS cik, l_suppkey AS rival, count(*) AS edges FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING count(*) > 1",
     "edge_endpoint_semi": """SELECT l_orderkey AS accession, l_suppkey AS rival, count(*) AS n FROM {lineitem} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')
       AND EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey = l_suppkey AND s_acctbal > 0) GROUP BY 1, 2""",
@@ -85,22 +87,21 @@ STATS = {
         """SELECT cik, @last@ AS priority, max(seq) AS last_seq FROM (SELECT o_custkey AS cik, o_orderkey AS seq, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderpriority END AS p FROM {orders}) t GROUP BY 1""",
         last=("max_by(p, seq) FILTER (WHERE p IS NOT NULL)", "arg_max(p, seq) FILTER (WHERE p IS NOT NULL)"),
     ),
-    "shared_competitor_pairs": f"""WITH {COMP}, few AS (SELECT cik, rival FROM comp WHERE rival <= 3)
-      SELECT a.cik AS company, count(DISTINCT b.cik) AS sharing FROM few a JOIN few b ON a.rival = b.rival AND a.cik < b.cik GROUP BY 1""",
     # a bitmap of each rival's companies, united for each company; bits above the company's own are counted
-    "shared_competitors_all": (
+    "shared_competitor_pairs": (
         f"""WITH {COMP}, maps AS (SELECT rival, bitmap_bucket_number(cik) AS bucket, bitmap_construct_agg(bitmap_bit_position(cik)) AS bits FROM comp GROUP BY 1, 2),
       near AS (SELECT cik, bucket, bitmap_or_agg(bits) AS bits FROM comp JOIN maps ON comp.rival = maps.rival WHERE bucket >= bitmap_bucket_number(cik) GROUP BY 1, 2),
       own AS (SELECT *, CAST(bitmap_bit_position(cik) AS INT) AS at, bucket = bitmap_bucket_number(cik) AS here FROM near),
       counted AS (SELECT cik, CASE WHEN here THEN bitmap_count(substring(bits, at DIV 8 + 2)) + bit_count(shiftright(CAST(conv(hex(substring(bits, at DIV 8 + 1, 1)), 16, 10) AS INT), at % 8 + 1))
         ELSE bitmap_count(bits) END AS n FROM own)
       SELECT cik AS company, sum(n) AS sharing FROM counted GROUP BY 1 HAVING sum(n) > 0""",
-        None,
+        f"""WITH {COMP} SELECT a.cik AS company, count(DISTINCT b.cik) AS sharing FROM comp a JOIN comp b ON a.rival = b.rival AND a.cik < b.cik GROUP BY 1""",
     ),
     "reciprocal_edges": f"WITH {COMP} SELECT a.cik, a.rival FROM comp a JOIN comp b ON a.cik = b.rival AND a.rival = b.cik WHERE a.cik < a.rival",
     "consecutive_year_join": f"""WITH y AS (SELECT o_custkey AS cik, {FY} AS fy, count(*) AS n FROM {{orders}} GROUP BY 1, 2)
       SELECT a.cik, a.fy AS year, a.n AS filings, b.n AS next_filings, b.n - a.n AS change FROM y a JOIN y b ON a.cik = b.cik AND b.fy = a.fy + 1""",
-    "year_chain_recursive": "WITH RECURSIVE chain(y, hops) AS (SELECT CAST(1993 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT y + 1, hops + 1 FROM chain WHERE y < 2027) SELECT y AS year, hops FROM chain",
+    "year_chain_recursive": f"""WITH RECURSIVE years AS (SELECT DISTINCT {FY} AS fy FROM {{orders}}),
+      chain(first_year, year, hops) AS (SELECT fy, fy, CAST(0 AS BIGINT) FROM years UNION ALL SELECT first_year, fy, hops + 1 FROM chain JOIN years ON fy = year + 1) SELECT first_year, year, hops FROM chain""",
     "triple_condition_companies": f"""WITH {PROD}, {COMP}, {GEO} SELECT c_custkey AS cik FROM {{customer}} WHERE EXISTS (SELECT 1 FROM prod WHERE prod.cik = c_custkey AND segment = 'Brand#1')
       OR (EXISTS (SELECT 1 FROM geo WHERE geo.cik = c_custkey AND regionkey = 1) AND EXISTS (SELECT 1 FROM comp WHERE comp.cik = c_custkey AND rival = 1))""",
     "first_appearance_year": f"SELECT l_suppkey AS rival, min({FY}) AS first_year, max({FY}) AS last_year FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey GROUP BY 1",
@@ -110,12 +111,15 @@ STATS = {
       UNION ALL SELECT 'COMPETES_WITH', cik, CAST(rival AS VARCHAR(20)) FROM comp WHERE cik = 1""",
     "overview_subgraph": f"""WITH {COMP}, top AS (SELECT rival, count(*) AS degree FROM comp GROUP BY 1 ORDER BY degree DESC, rival LIMIT 10)
       SELECT comp.rival, degree, count(*) AS edges FROM comp JOIN top ON comp.rival = top.rival GROUP BY 1, 2""",
-    "company_resolution": """SELECT c_custkey AS cik, c_name AS name, CASE WHEN lower(c_name) = 'customer#000000042' THEN 3 WHEN lower(c_name) LIKE 'customer%42' THEN 2 ELSE 1 END AS strength
-      FROM {customer} WHERE lower(c_name) LIKE '%42%'""",
-    "trend_summary": f"""WITH y AS (SELECT {FY} AS fy, count(*) AS n FROM {{orders}} GROUP BY 1)
-      SELECT fy AS fiscal_year, n AS filings, n - lag(n) OVER (ORDER BY fy) AS change, first_value(n) OVER (ORDER BY fy) AS baseline FROM y""",
-    "coverage_summary": """SELECT c_mktsegment AS sector, count(DISTINCT c_custkey) AS companies, count(DISTINCT o_custkey) AS with_filings, count(o_orderkey) AS filings
+    "coverage_by_sector": """SELECT c_mktsegment AS sector, count(DISTINCT c_custkey) AS companies, count(DISTINCT o_custkey) AS with_filings, count(o_orderkey) AS filings
       FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY 1""",
+    "union_of_years": f"SELECT {FY} AS year FROM {{orders}} UNION SELECT {FY.replace('o_orderdate', 'l_shipdate')} FROM {{lineitem}}",
+    "yearly_change": f"""WITH y AS (SELECT {FY} AS fy, count(*) AS n FROM {{orders}} GROUP BY 1)
+      SELECT fy AS fiscal_year, n AS filings, n - lag(n) OVER (ORDER BY fy) AS change, first_value(n) OVER (ORDER BY fy) AS baseline FROM y""",
+    "latest_year_card": f"SELECT o_custkey AS cik, CAST(year(max(o_orderdate)) AS BIGINT) AS latest_year, max({FY}) AS latest_fiscal_year FROM {{orders}} GROUP BY 1",
+    "batch_assignment": """SELECT accession, cik, CAST(floor((rn - 1) / 20) AS BIGINT) AS batch FROM (SELECT o_orderkey AS accession, o_custkey AS cik,
+      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM {orders}) t""",
+    "companies_in_market": f"""WITH {GEO} SELECT market, cik, place FROM (SELECT market, cik, CAST(row_number() OVER (PARTITION BY market ORDER BY cik) AS BIGINT) AS place FROM geo) t WHERE place <= 50""",
     "corpus_stats_rollup": f"""SELECT o_orderstatus AS status, {FY} AS fiscal_year, count(*) AS filings FROM {{orders}} GROUP BY ROLLUP (o_orderstatus, {FY})""",
     "category_ranking": f"""WITH {PROD} SELECT category, companies, CAST(rank() OVER (ORDER BY companies DESC) AS BIGINT) AS position FROM
       (SELECT category, count(DISTINCT cik) AS companies FROM prod GROUP BY 1) t""",
@@ -149,13 +153,5 @@ STATS = {
             "last_value(u IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
         ),
     ),
-    "source_routing": """SELECT conv_id, turn, CASE WHEN semantic > graph THEN 'semantic' ELSE 'graph' END AS source FROM (SELECT conv_id, turn,
-      (CASE WHEN lower(text) LIKE '%the %' THEN 1 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%that%' THEN 1 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%this%' THEN 1 ELSE 0 END) AS semantic,
-      (CASE WHEN lower(text) LIKE '%with%' THEN 1 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%from%' THEN 1 ELSE 0 END) AS graph FROM {conversations}) t""",
     "metadata_predicates": "SELECT vec_id FROM {embeddings} JOIN {labels} ON vec_id = doc_id WHERE label IN (1, 2, 3) AND quality = 1 AND toxic = 0",
-    "sentence_set_diff": _both(
-        """WITH s AS (SELECT source, lang, @line@ AS sentence FROM {documents}), d AS (SELECT DISTINCT source, lang, trim(sentence) AS sentence FROM s WHERE length(trim(sentence)) > 0)
-        SELECT source, count(*) AS added FROM d a WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM d b WHERE b.source = a.source AND b.lang = 'fr' AND b.sentence = a.sentence) GROUP BY 1""",
-        line=("explode(split(text, '\\n'))", "unnest(string_split(text, chr(10)))"),
-    ),
 }

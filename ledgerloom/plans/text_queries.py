@@ -1,18 +1,23 @@
-"""Text, glossary, severity, diff and vector queries over the operators, with their SQL where there is one."""
+"""Text, glossary, severity, diff and vector queries over the operators, with their SQL where there is one.
+
+The documents are invented prose without the domain's words, so rules that take word lists are run
+with common words too; SQL then has the same lists.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.operators import diff, graph, vectors
+from ledgerloom.operators import chat, diff, entities, glossary, graph, vectors
+from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.streaming import windows
 
 WORDS = ["the", "that", "with", "from", "this"]
-HIGH, MED = [r"\bidiot\b", r"\bwith\b"], [r"\bfrom\b", r"\bthis\b"]
-#: The same words between explicit classes, which both engines read alike in any language.
-WHOLE_HIGH, WHOLE_MED = ([text.whole_word(w) for w in words] for words in (("idiot", "with"), ("from", "this")))
+#: Common words between explicit classes, which both engines read alike in any language.
+HIGH, MED = ([text.whole_word(w) for w in words] for words in (("idiot", "with"), ("from", "this")))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,46 +25,61 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forward_looking_pct(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = _docs(spark, sf).select("source", F.size(text.indicators(F.col("text"), [text.whole_word(w) for w in WORDS])).alias("n"))
-    pct = F.round(100 * F.sum((F.col("n") > 0).cast("long")) / F.count("*"), 1)
-    return flagged.groupBy("source").agg(F.count("*").alias("docs"), F.sum((F.col("n") > 0).cast("long")).alias("flagged"), pct.alias("pct"))
+    """Share of documents with any of some words, by source; one pattern for all words."""
+    flag = F.lower("text").rlike(text.whole_word(f"({'|'.join(WORDS)})"))
+    n, k = F.count("*"), F.count_if(flag)
+    return _docs(spark, sf).groupBy("source").agg(n.alias("docs"), k.alias("flagged"), F.round(100 * k / n, 1).alias("pct"))
 
 
-_FLAG = " OR ".join(f"regexp_matches(lower(text), '{text.whole_word(w)}')" for w in WORDS)
+_FLAG = f"regexp_matches(lower(text), '{text.whole_word('(' + '|'.join(WORDS) + ')')}')"
 FORWARD_SQL = f"""SELECT source, count(*) AS docs, CAST(count(*) FILTER (WHERE {_FLAG}) AS BIGINT) AS flagged,
   round(100.0 * count(*) FILTER (WHERE {_FLAG}) / count(*), 1) AS pct FROM documents GROUP BY 1"""
 
 
 def severity_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", text.severity(F.col("text"), WHOLE_HIGH, WHOLE_MED).alias("severity"))
-
-
-SEVERITY_SQL = """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\bidiot\\b|\\bwith\\b') THEN 'HIGH'
-  WHEN regexp_matches(lower(text), '\\bfrom\\b|\\bthis\\b') THEN 'MED' ELSE 'LOW' END AS severity FROM documents WHERE lang = 'en'"""
+    return _docs(spark, sf).select("doc_id", text.severity(F.col("text"), HIGH, MED).alias("severity"), text.severity(F.col("text")).alias("fixed_severity"))
 
 
-def severity_english(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", text.severity(F.col("text"), HIGH, MED).alias("severity"))
+_CASE = lambda high, med: f"CASE WHEN {_sql_any('lower(text)', high)} THEN 'HIGH' WHEN {_sql_any('lower(text)', med)} THEN 'MED' ELSE 'LOW' END"
+SEVERITY_SQL = f"SELECT doc_id, {_CASE(HIGH, MED)} AS severity, {_CASE(fixed.HIGH_SEVERITY, fixed.MEDIUM_SEVERITY)} AS fixed_severity FROM documents"
 
 
 def overall_severity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _docs(spark, sf).where("lang = 'en'").select("source", text.severity(F.col("text"), HIGH, MED).alias("severity"))
+    rows = _docs(spark, sf).select("source", text.severity(F.col("text"), HIGH, MED).alias("severity"))
     return rows.groupBy("source").agg(text.overall(F.col("severity")).alias("severity"))
 
 
-OVERALL_SQL = f"SELECT source, CASE min(CASE severity WHEN 'HIGH' THEN 0 WHEN 'MED' THEN 1 ELSE 2 END) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MED' ELSE 'LOW' END AS severity FROM ({SEVERITY_SQL.replace('doc_id,', 'source,')}) GROUP BY 1"
+OVERALL_SQL = f"""SELECT source, CASE min(CASE {_CASE(HIGH, MED)} WHEN 'HIGH' THEN 0 WHEN 'MED' THEN 1 ELSE 2 END) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MED' ELSE 'LOW' END AS severity FROM documents GROUP BY 1"""
 
 
-def overall_severity_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _docs(spark, sf).select("source", text.severity(F.col("text"), WHOLE_HIGH, WHOLE_MED).alias("severity"))
-    return rows.groupBy("source").agg(text.overall(F.col("severity")).alias("severity"))
+def reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Why a document would matter, those with a language code as added, others as removed."""
+    change = F.when(F.col("lang").isNotNull(), "added").otherwise("removed")
+    return _docs(spark, sf).select("doc_id", text.reason(F.col("text"), change).alias("why"), text.direction(F.col("text")).alias("direction"), text.sentiment(F.col("text")).alias("sentiment"))
+
+
+REASONS_SQL = f"""SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{w}'" for p, w in fixed.REASONS)}
+    WHEN lang IS NOT NULL THEN '{fixed.REASON_ADDED}' ELSE '{fixed.REASON_OTHER}' END AS why,
+  CASE WHEN {_sql_in("lower(text)", fixed.INCREASE_WORDS)} THEN 'increase' WHEN {_sql_in("lower(text)", fixed.DECREASE_WORDS)} THEN 'decrease' ELSE 'not_stated' END AS direction,
+  CASE WHEN {_sql_in("lower(text)", fixed.POSITIVE_WORDS)} THEN 'positive' WHEN {_sql_in("lower(text)", fixed.CAUTIOUS_WORDS)} THEN 'cautious' ELSE 'neutral' END AS sentiment FROM documents"""
 
 
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.md5(text.normalise_whitespace(F.col("text"))).alias("digest"))
+    tidy = text.normalise_whitespace(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.md5(tidy).alias("digest"), F.md5(text.clean(F.col("text"))).alias("cleaned"))
 
 
-CLEAN_SQL = r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM documents"""
+_TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"""
+_TIDY_TEXT = _TIDY.replace("{0}", "text")
+
+
+def _boilerplate(value: str) -> str:
+    for p in fixed.BOILERPLATE:
+        value = f"regexp_replace({value}, '{p}', '', 'g')"
+    return value
+
+
+CLEAN_SQL = f"SELECT doc_id, md5({_TIDY_TEXT}) AS digest, md5({_boilerplate(_TIDY_TEXT)}) AS cleaned FROM documents"
 
 
 def html_strip(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,35 +92,59 @@ def sentence_segmentation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = text.sentences(_docs(spark, sf), "doc_id", "text")
-    return rows.select("doc_id", F.format_string("%d_doc_%04d", "doc_id", "seq").alias("sentence_id"), "word_count")
+    docs = _docs(spark, sf)
+    rows = text.sentences(docs, "doc_id", "text").select("doc_id", "seq", "word_count").join(docs.select("doc_id", "lang"), "doc_id")
+    return rows.select("doc_id", text.sentence_id(F.col("doc_id"), F.coalesce("lang", F.lit("none")), F.col("seq")).alias("sentence_id"), "word_count")
 
 
 def slugify_names(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", text.slugify(F.col("p_name")).alias("slug"), text.slugify(F.col("p_brand"), 40).alias("brand"))
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select("p_partkey", text.slugify(F.col("p_name")).alias("slug"), text.slugify(F.col("p_brand"), 40).alias("brand"), text.company_name(F.col("p_name")).alias("upper"), text.accession_clean(F.col("p_brand")).alias("plain"))
 
 
 SLUG_SQL = """SELECT p_partkey, substring(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug,
-  substring(trim(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) AS brand FROM part"""
+  substring(trim(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) AS brand, regexp_replace(upper(p_name), ' {2,}', ' ', 'g') AS upper,
+  regexp_replace(p_brand, '[^0-9a-zA-Z]', '', 'g') AS plain FROM part"""
+
+#: A word before `of` or `de` stands for a term, the word after it for its definition.
+TERM = r"([A-Za-z]{3,30}) (?:of|de|der|the) ([A-Za-z]{2,30})"
 
 
 def glossary_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms before a version number, standing in for expansions before an acronym."""
-    return text.glossary(_docs(spark, sf), "doc_id", "text", r"([A-Za-z]+ [A-Za-z]+), (Version)")
+    return text.glossary(_docs(spark, sf), "doc_id", "text", TERM)
 
 
-GLOSSARY_SQL = """SELECT term, count(*) AS frequency, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(unnest(
-  regexp_extract_all(text, '([A-Za-z]+ [A-Za-z]+), (Version)', 1)))), '^the ', ''), '^a ', ''), '^an ', '') AS term FROM documents) WHERE length(term) >= 3 GROUP BY 1"""
+_NORM = "regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), '^the ', ''), '^a ', ''), '^an ', '')"
+GLOSSARY_SQL = f"""SELECT term, count(*) AS frequency, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {_NORM} AS term
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TERM}', 1)) AS raw FROM documents)) WHERE length(term) >= 3 GROUP BY 1"""
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sentences of their source."""
+    s = _docs(spark, sf).select(F.col("source").alias("cik"), F.col("doc_id").alias("accession"), F.coalesce("lang", F.lit("none")).alias("section_type"), F.col("doc_id").cast("string").alias("sentence_id"), "text")
+    return glossary.mentions(s, TERM, acronym=False)
+
+
+def glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
+    out = glossary.nested(glossary.merged(_mentions(spark, sf), "accession"))
+    return out.select("term", "definition", "frequency", "n_sources", F.array_join("scopes", ",").alias("scopes"), F.array_join("tags", ",").alias("tags"))
+
+
+_TAGS = "CASE WHEN len(t) = 0 THEN 'other' ELSE array_to_string(t, ',') END"
+_TAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_sql_in('term', keys)} THEN '{d}' END" for d, keys in fixed.DOMAINS.items()) + "], lambda x: x IS NOT NULL)"
+MERGE_SQL = f"""WITH raw AS (SELECT doc_id, source, coalesce(lang, 'none') AS lang, unnest(regexp_extract_all(text, '{TERM}', 1)) AS raw, unnest(regexp_extract_all(text, '{TERM}', 2)) AS def,
+    unnest(range(1, len(regexp_extract_all(text, '{TERM}', 1)) + 1)) AS pos FROM documents),
+  m AS (SELECT *, {_NORM} AS term, doc_id * 100000 + pos AS seq FROM raw WHERE length({_NORM}) >= 3),
+  s AS (SELECT term, lang, min(seq) AS first FROM m GROUP BY 1, 2), l AS (SELECT term, string_agg(lang, ',' ORDER BY first) AS scopes FROM s GROUP BY 1),
+  g AS (SELECT term, arg_min(trim(def), seq) AS definition, count(DISTINCT source) AS frequency, count(DISTINCT doc_id) AS n_sources FROM m GROUP BY 1)
+  SELECT g.term, definition, frequency, n_sources, scopes, {_TAGS} AS tags FROM (SELECT *, {_TAG_LIST} AS t FROM g) g JOIN l ON g.term = l.term"""
 
 
 def domain_tags(spark: SparkSession, sf: str) -> DataFrame:
-    tags = text.domain_tags(F.col("text"), {"legal": ["license"], "common": ["the "], "code": ["token"]})
-    return _docs(spark, sf).select("doc_id", F.array_join(tags, ",").alias("tags"))
+    return _docs(spark, sf).select("doc_id", F.array_join(text.domain_tags(F.col("text")), ",").alias("tags"))
 
 
-TAGS_SQL = """SELECT doc_id, CASE WHEN t = '' THEN 'other' ELSE t END AS tags FROM (SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN contains(lower(text), 'license') THEN 'legal' END, CASE WHEN contains(lower(text), 'the ') THEN 'common' END, CASE WHEN contains(lower(text), 'token') THEN 'code' END],
-  lambda x: x IS NOT NULL), ',') AS t FROM documents)"""
+TAGS_SQL = f"SELECT doc_id, {_TAGS} AS tags FROM (SELECT doc_id, {_TAG_LIST.replace('term', 'lower(text)')} AS t FROM documents)"
 
 
 def corpus_trend(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,10 +155,16 @@ TREND_SQL = "SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS char
 
 
 def pct_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).groupBy(F.least(F.floor(F.col("n_chars") / 1000), F.lit(20)).cast("long").alias("bin")).agg(F.count("*").alias("docs"))
+    """Documents by length in 30 bins of one width."""
+    docs = _docs(spark, sf).select("n_chars")
+    span = docs.agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / 30, F.lit(1e-9))
+    at = F.least(F.floor((F.col("n_chars") - F.col("lo")) / width), F.lit(29)).cast("long")
+    return docs.join(F.broadcast(span)).groupBy(at.alias("bin")).agg(F.count("*").alias("docs"))
 
 
-HISTOGRAM_SQL = "SELECT CAST(least(floor(n_chars / 1000), 20) AS BIGINT) AS bin, count(*) AS docs FROM documents GROUP BY 1"
+HISTOGRAM_SQL = """SELECT CAST(least(floor((n_chars - lo) / greatest((hi - lo) / 30, 1e-9)), 29) AS BIGINT) AS bin, count(*) AS docs
+  FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) GROUP BY 1"""
 
 
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,27 +174,88 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 WORDS_SQL = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '')) AS words FROM documents"
 
 
+def metric_stubs(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of amounts, where each line end of a page stands for a dollar amount of its place."""
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.substring("url", 8, 90), F.lit(" rose to $1.5 million, net sales of $20 and $3,000.")).alias("text"))
+    return p.select("page_id", F.array_join(text.metric_names(F.col("text")), ";").alias("names"), F.array_join(text.amounts(F.col("text")), ";").alias("amounts"))
+
+
+def entity_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw records of documents whose gazetteer is the frequent capitalised words of all documents; a record's items as counts."""
+    docs = _docs(spark, sf)
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{4,9})\b"), F.lit(1))).alias("name"))
+    known = words.groupBy("name").agg(F.count("*").alias("n")).where("n >= 50").select("name", F.when(F.length("name") % 2 == 0, "ORG").otherwise("GPE").alias("label"))
+    s = docs.select(F.col("source").alias("cik"), F.col("doc_id").alias("accession"), F.lit("mda").alias("section_type"), F.col("source").alias("company_name"), F.lit(0).alias("seq"), "text", F.lower("text").contains("the").alias("is_forward_looking"))
+    out = entities.extracted(s.where("text IS NOT NULL"), known)
+    kind = lambda t: F.size(F.filter("nodes", lambda n: n["type"] == t)).cast("long")
+    return out.select(F.col("accession").alias("doc_id"), kind("Competitor").alias("competitors"), kind("GeographicMarket").alias("markets"), kind("ManagementOutlook").alias("outlooks"), F.size("relations").cast("long").alias("relations"))
+
+
+def _queries(e: DataFrame) -> DataFrame:
+    """Every row whose number is divisible by 20 is a query."""
+    return e.where("vec_id % 20 = 0")
+
+
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return vectors.top_k(e, vectors.by_id(e, "vec_id", "embedding", 0), "vec_id", "embedding", 10)
+    return vectors.search(e, _queries(e), "vec_id", "embedding", 10).select("query", "vec_id", "score")
 
 
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return vectors.top_k(e, vectors.by_id(e, "vec_id", "embedding", 0), "vec_id", "embedding", 10, where=F.col("label").isin(1, 2))
+    where = vectors.predicate({"$and": [{"label": {"$in": [1, 2, 3]}}, {"label": {"$lte": 2}}]})
+    return vectors.search(e, _queries(e), "vec_id", "embedding", 10, where).select("query", "vec_id", "score")
+
+
+TOPK_SQL = """SELECT query, vec_id, round(s, 3) AS score FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rn
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0{0}) WHERE rn <= 10"""
+
+
+def vector_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 rows under a filter, unranked."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return vectors.fetched(e, {"label": {"$gte": 3, "$lte": 5}}, 50)
+
 
+FETCH_SQL = "SELECT vec_id AS id, label FROM embeddings WHERE label BETWEEN 3 AND 5 ORDER BY vec_id LIMIT 50"
 
-TOPK_SQL = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(s, 3) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q{0}) ORDER BY s DESC, vec_id LIMIT 10"""
+
+def _lines(c):
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentence_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks between each source's two latest documents, whatever their language."""
-    rank = F.row_number().over(graph.ordered("source", F.col("doc_id").desc()))
-    latest = _docs(spark, sf).withColumn("rn", rank).where("rn <= 2")
-    pairs = latest.groupBy("source").agg(F.max(F.when(F.col("rn") == 2, F.col("text"))).alias("previous"), F.max(F.when(F.col("rn") == 1, F.col("text"))).alias("latest"))
-    lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: x != "")
-    return diff.blocks(pairs.select("source", lines(F.col("previous")).alias("previous"), lines(F.col("latest")).alias("latest")), "source")
+    """Blocks between each document and the one before it in its source, over ids first; texts are joined to the pairs."""
+    docs = _docs(spark, sf)
+    pairs = diff.adjacent(docs.select("source", "doc_id"), "source", "doc_id").select("latest", "previous")
+    for side in ("latest", "previous"):
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), _lines(F.col("text")).alias(f"{side}_lines")), side)
+    keyed = pairs.select(F.col("latest").alias("doc_id"), F.col("previous_lines").alias("previous"), F.col("latest_lines").alias("latest"))
+    return diff.with_severity(diff.blocks(keyed, "doc_id"))
+
+
+def delta_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Stats and gravest change of each pair of neighbouring documents."""
+    found = sentence_diff(spark, sf)
+    top = diff.top_changes(found, "doc_id", most=1).select("doc_id", F.col("type").alias("top_type"), "why")
+    return diff.stats(found, "doc_id").join(top, "doc_id", "left")
+
+
+def sentence_set_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines added and removed between neighbouring documents of a source, as sets."""
+    docs = _docs(spark, sf)
+    pairs = diff.adjacent(docs.select("source", "doc_id"), "source", "doc_id").select("latest", "previous")
+    for side in ("latest", "previous"):
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), F.array_distinct(_lines(F.col("text"))).alias(f"{side}_lines")), side)
+    n = lambda a, b: F.size(F.array_except(f"{a}_lines", f"{b}_lines")).cast("long")
+    return pairs.select("latest", "previous", n("latest", "previous").alias("added"), n("previous", "latest").alias("removed"))
+
+
+SET_DIFF_SQL = """WITH p AS (SELECT source, doc_id AS latest, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM documents WHERE source IS NOT NULL),
+  l AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents)
+  SELECT latest, previous, len(list_filter(a.s, lambda x: NOT list_contains(b.s, x))) AS added, len(list_filter(b.s, lambda x: NOT list_contains(a.s, x))) AS removed
+  FROM p JOIN l a ON a.doc_id = latest JOIN l b ON b.doc_id = previous"""
 
 
 def event_windows_sliding(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,34 +267,59 @@ SLIDING_SQL = """SELECT CAST(d AS DATE) AS day, event_type AS category, count(*)
 
 
 def competitor_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers of one nation linked in a chain by account order: connected components over an edge list."""
-    s = spark.read.parquet(f"{sf}/supplier.parquet")
-    return graph.components(s.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") + F.lit(10_000_000)).cast("long").alias("dst")))
+    """Suppliers of one nation, each linked to the next by number: connected components of deep chains."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("dst"), "s_nationkey")
+    chain = s.withColumn("src", F.lag("dst").over(graph.ordered("s_nationkey", "dst")))
+    return graph.components(chain.select(F.coalesce("src", "dst").alias("src"), "dst"))
+
+
+COMPONENTS_SQL = "SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS component FROM supplier"
+
+
+def conversation_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    m = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("text", "content")
+    return chat.markdown(m, "conv_id", "turn").select("conv_id", F.md5("text").alias("digest"))
+
+
+MARKDOWN_SQL = """SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN '**You**' ELSE '**Assistant**' END || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1"""
+
+
+def prompt_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of a conversation in batches of four, as lines of a prompt."""
+    m = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("sentence_id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    out = chat.batches(m, "conv_id", "turn", 4)
+    return out.select("conv_id", F.col("batch").cast("long"), F.md5("lines").alias("digest"))
 
 
-COMPONENTS_SQL = """WITH m AS (SELECT s_nationkey + 10000000 AS k, min(s_suppkey) AS c FROM supplier GROUP BY 1)
-SELECT s_suppkey AS node, c AS component FROM supplier JOIN m ON k = s_nationkey + 10000000 UNION ALL SELECT CAST(k AS BIGINT), c FROM m"""
+BATCHES_SQL = """SELECT conv_id, (rn - 1) // 4 AS batch, md5(string_agg('[' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '] ' || text, chr(10) ORDER BY turn)) AS digest
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY 1, 2"""
 
-_E = "embedding"
 TEXT = {
     "forward_looking_pct": (forward_looking_pct, FORWARD_SQL),
-    "severity_scoring": (severity_english, SEVERITY_SQL),
-    "severity_all_languages": (severity_scoring, None),
+    "severity_scoring": (severity_scoring, SEVERITY_SQL),
     "overall_severity": (overall_severity, OVERALL_SQL),
-    "overall_severity_all_languages": (overall_severity_all, None),
+    "reasons": (reasons, REASONS_SQL),
     "clean_text": (clean_text, CLEAN_SQL),
     "html_strip": (html_strip, None),
     "sentence_segmentation": (sentence_segmentation, None),
     "sentence_ids": (sentence_ids, None),
     "slugify_names": (slugify_names, SLUG_SQL),
     "glossary_extract": (glossary_extract, GLOSSARY_SQL),
+    "glossary_merge": (glossary_merge, MERGE_SQL),
     "domain_tags": (domain_tags, TAGS_SQL),
     "corpus_trend": (corpus_trend, TREND_SQL),
     "pct_histogram": (pct_histogram, HISTOGRAM_SQL),
     "word_counts": (word_counts, WORDS_SQL),
+    "metric_stubs": (metric_stubs, None),
+    "entity_extraction": (entity_extraction, None),
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
-    "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" WHERE label IN (1, 2)")),
+    "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
+    "vector_fetch": (vector_fetch, FETCH_SQL),
     "sentence_diff": (sentence_diff, None),
+    "delta_stats": (delta_stats, None),
+    "sentence_set_diff": (sentence_set_diff, SET_DIFF_SQL),
     "event_windows_sliding": (event_windows_sliding, SLIDING_SQL),
     "competitor_components": (competitor_components, COMPONENTS_SQL),
+    "conversation_markdown": (conversation_markdown, MARKDOWN_SQL),
+    "prompt_batches": (prompt_batches, BATCHES_SQL),
 }

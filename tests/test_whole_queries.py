@@ -1,47 +1,155 @@
-"""Queries over all rows, against brute force."""
+"""Queries without SQL, over whole tables, against brute force."""
 
+import html
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed
 from ledgerloom.operators.diff import block_rows
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, text_queries
 
 SF = "/root/testdata/sf0.001"
 RANK = {"HIGH": 0, "MED": 1, "LOW": 2}
 
 
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+
+def split_sentences(text):
+    """(paragraph, sentence, text, words) of a text."""
+    out, paragraphs = [], [p.strip(" ") for p in re.split(r"\n{2,}", text or "")]
+    for i, p in enumerate(p for p in paragraphs if len(p) >= 10):
+        parts = [s.strip(" ") for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+(?=[A-Z])", p)]
+        out += [(i, j, s, len(re.findall(r"[^ \t\n\r\f]+", s))) for j, s in enumerate(x for x in parts if x)]
+    return [x for x in out if x[3] >= 3]
+
+
+def test_sentence_segmentation(spark):
+    got = defaultdict(list)
+    for r in catalog.QUERIES["sentence_segmentation"](spark, SF).orderBy("doc_id", "seq").collect():
+        t = r["tags"]
+        got[r["doc_id"]].append((r["paragraph_index"], r["sentence_index"], r["text"], r["word_count"]))
+        assert t["is_forward_looking"] == bool(t["fl_indicators"]) and t["fl_indicators"] == [p for p in fixed.FORWARD_LOOKING if re.search(p, r["text"], re.I)]
+        assert t["has_company_coref"] == any(re.search(p, r["text"], re.I) for p in fixed.COMPANY_REFERENCES)
+    assert got == {r["doc_id"]: s for r in documents(spark) if (s := split_sentences(r["text"]))}
+
+
+def test_sentence_ids(spark):
+    got = {(r["doc_id"], r["sentence_id"], r["word_count"]) for r in catalog.QUERIES["sentence_ids"](spark, SF).collect()}
+    want = {(r["doc_id"], f"{r['doc_id']}_{r['lang'] or 'none'}_{k:04d}", s[3]) for r in documents(spark) for k, s in enumerate(split_sentences(r["text"]))}
+    assert got == want
+
+
+class Plain(HTMLParser):
+    """Words of a page outside scripts, styles and head."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "head")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+def test_html_strip(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in catalog.QUERIES["html_strip"](spark, SF).collect():
+        p = Plain()
+        p.feed(pages[r["page_id"]])
+        assert "".join(r["text"].split()) == "".join(p.words), r["page_id"]
+        assert not re.search(r"<[a-z]", pages[r["page_id"]]) or "<p>" not in r["text"]
+
+
 def severity(text):
     words = set(re.findall(r"\w+", (text or "").lower()))
     return "HIGH" if words & {"idiot", "with"} else "MED" if words & {"from", "this"} else "LOW"
 
 
-def test_severity_in_all_languages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    got = {r["doc_id"]: r["severity"] for r in catalog.QUERIES["severity_all_languages"](spark, SF).collect()}
-    assert got == {r["doc_id"]: severity(r["text"]) for r in docs}
+def test_severity_in_all_languages(spark, tmp_path):
+    docs = documents(spark)
+    got = {r["doc_id"]: r["severity"] for r in catalog.QUERIES["severity_scoring"](spark, SF).collect()}
+    assert got == {r["doc_id"]: severity(r["text"]) for r in docs} and len(got) == len(docs)
     want = {}
     for r in docs:
         want[r["source"]] = min(want.get(r["source"], "LOW"), severity(r["text"]), key=RANK.get)
-    got = {r["source"]: r["severity"] for r in catalog.QUERIES["overall_severity_all_languages"](spark, SF).collect()}
-    assert got == want
-
-
-def test_words_beside_accented_letters(spark, tmp_path):
+    assert {r["source"]: r["severity"] for r in catalog.QUERIES["overall_severity"](spark, SF).collect()} == want
     rows = [(0, "fromé", "fr", "a", 5), (1, "été from", None, "b", 8)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["source"]: r["severity"] for r in catalog.QUERIES["overall_severity_all_languages"](spark, str(tmp_path)).collect()}
+    got = {r["source"]: r["severity"] for r in catalog.QUERIES["overall_severity"](spark, str(tmp_path)).collect()}
     assert got == {"a": "LOW", "b": "MED"}
 
 
-def test_sentence_diff_takes_the_latest_of_any_language(spark):
-    by = {}
-    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: -r["doc_id"]):
-        by.setdefault(r["source"], []).append([x.strip(" ") for x in (r["text"] or "").split("\n") if x.strip(" ")])
-    want = {(k, i, *b) for k, v in by.items() for i, b in enumerate(block_rows(v[1] if len(v) > 1 else [], v[0]))}
-    assert {tuple(r) for r in catalog.QUERIES["sentence_diff"](spark, SF).collect()} == want
+def pairs(spark):
+    """(latest, lines of the previous, lines of the latest) of neighbouring documents of a source."""
+    by = defaultdict(list)
+    for r in sorted(documents(spark), key=lambda r: r["doc_id"]):
+        by[r["source"]].append((r["doc_id"], [x.strip(" ") for x in (r["text"] or "").split("\n") if x.strip(" ")]))
+    return [(b[0], a[1], b[1]) for v in by.values() for a, b in zip(v, v[1:])]
+
+
+def test_sentence_diff_of_all_neighbours(spark):
+    want = {(i, k, *b) for i, before, after in pairs(spark) for k, b in enumerate(block_rows(before, after))}
+    got = catalog.QUERIES["sentence_diff"](spark, SF).collect()
+    assert {tuple(r)[:5] for r in got} == want and len(got) == len(want)
+    assert all((r["severity"] is not None) == (r["type"] in ("added", "removed")) for r in got)
+
+
+def test_delta_stats(spark):
+    want = {}
+    for i, before, after in pairs(spark):
+        n = Counter(b[0] for b in block_rows(before, after))
+        if n:
+            want[i] = (n["added"], n["removed"], n["context"], n["added"] + n["removed"])
+    assert {r["doc_id"]: tuple(r)[1:5] for r in catalog.QUERIES["delta_stats"](spark, SF).collect()} == want
+
+
+def test_metric_stubs(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r["page_id"]: (r["names"], r["amounts"]) for r in catalog.QUERIES["metric_stubs"](spark, SF).collect()}
+    for r in pages:
+        text = r["url"][7:97] + " rose to $1.5 million, net sales of $20 and $3,000."
+        names, amounts = [], []
+        for m in re.finditer(fixed.MONEY, text, re.I):
+            context, raw = text[max(0, m.start() - 40) : m.end() + 40], m.group().strip()
+            names.append(" ".join(context[: context.find(raw)].split()[-3:]).strip(".,;:()") or "revenue")
+            amounts.append(raw)
+        assert got[r["page_id"]] == (";".join(names), ";".join(amounts))
+
+
+def test_entity_extraction(spark):
+    docs = [r for r in documents(spark) if r["text"] is not None]
+    n = Counter(w for r in docs for w in re.findall(r"\b([A-Z][a-z]{4,9})\b", r["text"]))
+    known = {w.lower(): "ORG" if len(w) % 2 == 0 else "GPE" for w, k in n.items() if k >= 50}
+    got = {r["doc_id"]: tuple(r)[1:] for r in catalog.QUERIES["entity_extraction"](spark, SF).collect()}
+    for r in docs:
+        found = {}
+        for w in r["text"].split():
+            name = re.sub(r"^[^\w]+|[^\w.]+$|^_+", "", w)
+            if name[:1].isupper() and name.lower() in known:
+                found[name.lower()] = known[name.lower()]
+        company = set(r["source"].lower().split())
+        orgs = sum(v == "ORG" and k not in company and k not in fixed.SELF_REFERENCES for k, v in found.items())
+        geos = sum(v == "GPE" for v in found.values())
+        ahead = int("the" in r["text"].lower())
+        assert got.get(r["doc_id"], (0, 0, 0, 0)) == (orgs, geos, ahead, orgs + geos + ahead)
+
+
+def test_approximate_counts_lie_near(spark):
+    exact = {r["market"]: r["companies"] for r in catalog.QUERIES["stats_top_markets"](spark, SF).collect()}
+    for r in catalog.QUERIES["approx_companies_per_market"](spark, SF).collect():
+        assert r["market"] not in exact or abs(r["companies"] - exact[r["market"]]) <= 0.15 * exact[r["market"]]
 
 
 def edges(spark):
@@ -50,33 +158,43 @@ def edges(spark):
     return {tuple(r) for r in found.select("o_custkey", "l_suppkey").distinct().collect()}
 
 
-def sharing(pairs):
+def sharing(found):
     of, near = defaultdict(set), defaultdict(set)
-    for cik, rival in pairs:
+    for cik, rival in found:
         of[rival].add(cik)
-    for cik, rival in pairs:
+    for cik, rival in found:
         near[cik] |= {b for b in of[rival] if b > cik}
     return {k: len(v) for k, v in near.items() if v}
 
 
 def test_shared_competitors_over_all_edges(spark):
-    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitors_all"](spark, SF).collect()}
+    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitor_pairs"](spark, SF).collect()}
     assert got == sharing(edges(spark))
 
 
 def test_shared_competitors_across_buckets_of_bits(spark, tmp_path):
     rng = random.Random(5)
     ciks = [1, 7, 8, 9, 16, 32767, 32768, 32769, 32776, 65536, 65537, 100_000]
-    pairs = {(c, rng.randrange(9)) for c in ciks for _ in range(2)}
-    rows = list(enumerate(sorted(pairs)))
+    found = {(c, rng.randrange(9)) for c in ciks for _ in range(2)}
+    rows = list(enumerate(sorted(found)))
     spark.createDataFrame([(k, c) for k, (c, _) in rows], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(k, r) for k, (_, r) in rows], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitors_all"](spark, str(tmp_path)).collect()}
-    assert got == sharing(pairs)
+    got = {r["company"]: r["sharing"] for r in catalog.QUERIES["shared_competitor_pairs"](spark, str(tmp_path)).collect()}
+    assert got == sharing(found)
 
 
 def test_prune_keeps_rivals_of_any_number(spark):
-    pairs = edges(spark)
-    degree = Counter(r for _, r in pairs)
-    got = {tuple(r) for r in catalog.QUERIES["competitor_prune_by_degree"](spark, SF).select("cik", "rival").collect()}
-    assert got == {(c, r) for c, r in pairs if degree[r] > 1} and any(r % 10 == 0 for _, r in got)
+    found = edges(spark)
+    degree = Counter(r for _, r in found)
+    got = {tuple(r) for r in catalog.QUERIES["competitor_prune"](spark, SF).select("cik", "rival").collect()}
+    assert got == {(c, r) for c, r in found if degree[r] > 1} and any(r % 10 == 0 for _, r in got)
+
+
+def test_character_references(spark):
+    from ledgerloom.functions import text
+
+    samples = ["&amp;lt; &#65;&#x42; &eacute;&nope; a & b &#0; &#55296; &apos;&nbsp;|", "none", "", "&amp;", "x &lt;y&gt;&#8212;", "&#1114112;", "tail&copy;"]
+    got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string").orderBy("i").select(text.unescape(F.col("t"))).collect()]
+    want = [s if s in ("&#1114112;",) else html.unescape(s) for s in samples]
+    assert got[1:] == want[1:] and got[0] == "&lt; AB é&nope; a & b &#0; &#55296; '\xa0|"
+    assert text_queries.TERM.count("(") == 3
