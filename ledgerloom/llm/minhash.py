@@ -26,7 +26,7 @@ MISSED_BANDS, MISSED_EQUAL = 2.5e-7, 2.5e-8
 #: Ids sent to all executors at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket on either side of what one task compares.
-BLOCK = 512
+BLOCK = 1024
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -237,12 +237,15 @@ def _cross(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("own"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all"))
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    sizes = sizes.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.own")).alias("main"), blocks(F.col("all") - F.col("top.own")).alias("rest"))
+    # a bucket of one block is compared as it is
+    small = F.col("all") <= BLOCK
+    main, rest = F.when(small, 0).otherwise(blocks(F.col("top.own"))), F.when(small, 1).otherwise(blocks(F.col("all") - F.col("top.own")))
+    sizes = sizes.select("bucket", F.when(~small, F.col("top.comp")).alias("top"), main.alias("main"), rest.alias("rest"))
     # sizes join first, while rows are narrow: a bucket's wide rows are then dealt by blocks and never by the bucket alone
     full = members.join(sizes, "bucket").join(classes.select("node", "n", "bands", "sketch").dropDuplicates(["node", "n"]), "node").join(held, "node")
     full = full.where(F.octet_length("held") == 8 * F.col("n"))
     # sides are numbered: blocks of the rest from 0, those of the largest component after them
-    inside = F.col("comp") == F.col("top")
+    inside = F.coalesce(F.col("comp") == F.col("top"), F.lit(False))
     own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("main")).otherwise(F.col("rest"))).cast("int") + F.when(inside, F.col("rest")).otherwise(0)
     last = F.col("rest") + F.when(inside, 0).otherwise(F.col("main")) - 1
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
