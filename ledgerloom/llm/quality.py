@@ -63,14 +63,17 @@ def measure(text: str | None) -> tuple[int, ...]:
 def features(docs: DataFrame, stratum: str) -> DataFrame:
     """The measures of each document, with its stratum."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *SIGNALS]
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.col("text").cast("string"))
+    # strata are marked, so that none is like a value
+    of = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null"))
+    rows = docs.select(F.col("doc_id").cast("long"), of.alias("stratum"), F.col("text").cast("string"))
 
     def run(batches):
         for b in batches:
             found = np.array([measure(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in found.T)], names=["doc_id", "stratum", *names])
+            digests = pa.array([xxhash.xxh128_digest(t.as_py() or "") for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), digests, *(pa.array(c) for c in found.T)], names=["doc_id", "stratum", "digest", *names])
 
-    out = rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in names))
+    out = rows.mapInArrow(run, "doc_id long, stratum string, digest binary, " + ", ".join(f"{n} long" for n in names))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumns({"base_failed": failed, "badness": F.greatest(*SIGNALS)})
 
@@ -90,8 +93,10 @@ def most_failures(n: int, limit: float, level: float) -> int:
 
 
 def cutoffs(labelled: DataFrame, limit: float = LIMIT, level: float = LEVEL, least: int = 20) -> DataFrame:
-    """stratum and its cutoff (null: it rejects nothing) from rows with stratum, quality and badness.
+    """stratum and its cutoff (null: it rejects nothing) from rows with stratum, quality and badness, a row a trial.
 
+    Of the cutoffs that the test allows, that with the largest number of junk rows rejected less
+    least times the good ones is taken; the bound holds for whichever is.
     What reaches a task is a histogram of 1001 bins for a stratum.
     """
     counts = labelled.groupBy("stratum", "badness")
@@ -115,14 +120,17 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFra
     """One row a document: doc_id, n_words, the base counts, base_failed, kept, the signals, badness and cutoff.
 
     labels(doc_id, quality): 1 is good; rows without either are ignored and of several the least
-    counts. The holdout of a stratum is its labelled documents that the base rule passes. A null
+    counts. The holdout of a stratum is the distinct texts of its labelled documents that the base
+    rule passes: a copy is no trial of its own. A null
     text has no words and fails the base rule; a null stratum is one of its own; a null doc_id has
     no label; repeated rows are judged each. A stratum without enough labels rejects by the base
     rule alone.
     """
     found = stage(features(docs, stratum), "features")
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = stage(cutoffs(found.where("NOT base_failed").join(marks, "doc_id")), "cutoffs")
+    # a trial is a distinct text of a stratum, so that copies don't count as independent; a text labelled both ways is junk
+    trials = found.where("NOT base_failed").join(marks, "doc_id").groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), F.min("badness").alias("badness"))
+    chosen = stage(cutoffs(trials), "cutoffs")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_STRATA else chosen
     out = found.join(chosen, "stratum", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("badness") < F.col("cutoff"), F.lit(True))

@@ -82,6 +82,63 @@ def test_exact_binomial_bound(n):
     assert quality.most_failures(n, 0.05, 0.04) == want
 
 
+def test_quality_query_against_brute_force(spark):
+    """All columns of the query over whole texts; cutoffs by counting trials for each cutoff in turn."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        marks[r["doc_id"]] = min(r["quality"], marks.get(r["doc_id"], 1))
+    measured = {i: (brute_measure(r["text"]) if len(r["text"] or "") < 20_000 else quality.measure(r["text"])[:5], max(quality.measure(r["text"])[5:])) for i, r in docs.items()}
+    failed = {i: m[0] < 50 or 100 * m[4] > 50 * m[0] for i, (m, _) in measured.items()}
+    trials = {}
+    for i in marks.keys() & docs.keys():
+        if not failed[i]:
+            key = docs[i]["lang"], docs[i]["text"]
+            trials[key] = min(marks[i], trials.get(key, (1, 0))[0]), measured[i][1]
+    strata, cutoff = {k[0] for k in trials}, {}
+    for s in strata:
+        good, bad = ([b for k, (q, b) in trials.items() if k[0] == s and q == want] for want in (1, 0))
+        most = quality.most_failures(len(good), quality.LIMIT, quality.LEVEL / len(strata))
+        gains = {c: sum(b >= c for b in bad) - 20 * lost for c in range(1, 1001) if (lost := sum(b >= c for b in good)) <= most}
+        best = max(gains.values(), default=0)
+        cutoff[s] = max(c for c, g in gains.items() if g == best) if best > 0 else 1001
+    got = quality.op5_risk_controlled_rules(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        m, badness = measured[r["doc_id"]]
+        assert tuple(r)[1:6] == m and r["base_failed"] == failed[r["doc_id"]]
+        assert r["kept"] == (not failed[r["doc_id"]] and badness < cutoff.get(docs[r["doc_id"]]["lang"], 1001)), r["doc_id"]
+
+
+def test_copies_are_no_trials_of_their_own(spark):
+    """Three thousand copies of one good text can't prove a cutoff that a single one can't."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text, "aa") for i in range(3000)] + [(10_000 + i, f"{text} {'# ' * 30}{i}", "aa") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10_000)) for i, _, _ in rows], "doc_id long, quality int")
+    assert all(r["kept"] for r in quality.judged(docs, labels).collect())
+    varied = docs.selectExpr("doc_id", "concat(text, ' ', doc_id) AS text", "lang")
+    assert quality.judged(varied, labels).where("NOT kept").count() == 30
+
+
+def test_false_rejections_stay_within_the_limit():
+    """Over many holdouts the chosen cutoff exceeds the limit no oftener than the level says."""
+    rng, over = np.random.default_rng(1), 0
+    for _ in range(300):
+        good = np.sort(rng.integers(0, 1000, 400))
+        most = quality.most_failures(len(good), quality.LIMIT, quality.LEVEL)
+        cut = good[-most - 1] + 1 if most >= 0 else 1001
+        over += (1000 - cut) / 1000 > quality.LIMIT
+    assert over <= 300 * quality.LEVEL + 10
+
+
+def test_strata_named_none_and_null_are_two(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "none"), (2, text, None)], "doc_id long, text string, lang string")
+    assert {r[0] for r in quality.features(docs, "lang").select("stratum").collect()} == {"=none", "null"}
+
+
 def test_quality_verdicts(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.op5_risk_controlled_rules(spark, SF).join(labels, "doc_id").where("NOT base_failed").collect()

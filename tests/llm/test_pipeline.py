@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark):
     assert kept[0] == named
     judged = quality.judged(docs.where(docs.doc_id.isin(list(named))), spark.read.parquet(f"{SF}/labels.parquet"))
     assert kept[1] == {r["doc_id"] for r in judged.collect() if r["kept"]}
-    assert kept[2] == {i for i, g in brute_groups([(i, texts[i]) for i in kept[1]]).items() if g[2]}
+    assert kept[2] == {i for i, g in brute_groups([(i, texts[i]) for i in kept[1]], 80).items() if g[2]}
     assert kept[3] == {r[0] for r in brute_hits([(i, texts[i]) for i in kept[2]], items) if not r[5]}
     pieces = defaultdict(list)
     for r in out[4][1].collect():
