@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import new_path
@@ -22,12 +24,12 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def _uri(page: Column, digest: Column) -> Column:
-    """A record's identifier: a UUID-like name made from its page and payload."""
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
+def _uri(page: Column, digest: Column, copy: Column) -> Column:
+    """A record's identifier: a name made from its page, its payload and its number among rows that are alike in both."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, least: int = 0) -> str:
+def write_archive(pages: DataFrame, least: int = 0, date: str | None = None) -> str:
     """Write the archive of pages(page_id, url, html) and return its folder.
 
     payloads/ has each distinct payload once under its SHA-256; headers/ has the exact header block
@@ -35,9 +37,11 @@ def write_archive(pages: DataFrame, least: int = 0) -> str:
     of at least least bytes, that with the largest page_id is the response and the others revisit
     it; below least all are responses. A null html is an empty payload. A null page_id sorts below
     all others; rows that repeat a page_id with the same payload are each a response if it is the
-    largest.
+    largest. Each record has an identifier of its own, and the date of the writing, or that given
+    (UTC, as 2024-01-31T00:00:00Z).
     """
     spark = pages.sparkSession
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = new_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -49,18 +53,23 @@ def write_archive(pages: DataFrame, least: int = 0) -> str:
     known = narrow.join(first, "address")
     revisit = (F.col("size") >= least) & F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id"))
     known = known.withColumn("revisit", revisit)
+    # rows that repeat page and payload are numbered; where no page repeats nothing is sorted
+    alike = rows.groupBy("page_id").count().where("count > 1").isEmpty()
+    copy = F.lit(0) if alike else F.row_number().over(Window.partitionBy("page_id", "address").orderBy("url")) - 1
+    known = known.withColumn("copy", copy)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     length = F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("size"))
     extra = F.when(
         F.col("revisit"),
-        F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", _uri(F.col("holder"), F.col("digest")))),
+        F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", _uri(F.col("holder"), F.col("digest"), F.lit(0)))),
     ).otherwise("")
     header = F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", _uri(F.col("page_id"), F.col("digest"))),
+        line("WARC-Record-ID", _uri(F.col("page_id"), F.col("digest"), F.col("copy"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         extra,
@@ -83,14 +92,17 @@ def write_archive(pages: DataFrame, least: int = 0) -> str:
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """The records as they were: header, http (head), payload (whole, for revisits too), block (as stored in a WARC file).
 
-    A payload that doesn't match its address stops the read.
+    A payload that doesn't match its address, or the SHA-1 in a header, stops the read.
     """
     heads = spark.read.schema("page_id long, header string, http string, address string, revisit boolean").parquet(f"{folder}/headers")
     held = spark.read.schema("address string, payload binary").parquet(f"{folder}/payloads")
     fault = F.raise_error(F.concat(F.lit("a payload doesn't match its address "), F.col("address"))).cast("binary")
     held = held.select("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(fault).alias("payload"))
     block = F.concat(F.col("http").cast("binary"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")))
-    return heads.join(held, "address").select("header", "http", "payload", block.alias("block"))
+    said = F.regexp_extract("header", "(?m)^WARC-Payload-Digest: sha1:(\\w+)", 1)
+    fault = F.raise_error(F.concat(F.lit("a payload doesn't match its header: "), said)).cast("binary")
+    both = heads.join(held, "address").withColumn("payload", F.when(base32_sha1(F.col("payload")) == said, F.col("payload")).otherwise(fault))
+    return both.select("header", "http", "payload", block.alias("block"))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:

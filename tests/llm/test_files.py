@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
 
@@ -140,7 +141,13 @@ def test_archive(spark, least):
     records = warc.read_archive(spark, folder)
     assert sorted((tuple(r) for r in warc.fields(records).collect()), key=str) == brute(rows, least)
     assert spark.read.parquet(f"{folder}/payloads").count() == len({(h or "") for _, h in rows})
-    for r in warc.record_bytes(records).collect():
+    whole = warc.record_bytes(records).collect()
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", bytes(r["record"]))[1] for r in whole]
+    assert len(set(ids)) == len(rows)
+    refers = {m[1] for r in whole if (m := re.search(rb"WARC-Refers-To: (\S+)", bytes(r["record"])))}
+    assert refers and refers <= set(ids)
+    for r in whole:
+        assert re.search(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", bytes(r["record"]))
         head, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
         length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
         assert body[length:] == b"\r\n\r\n" and len(body) == length + 4
