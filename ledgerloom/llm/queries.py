@@ -8,6 +8,7 @@ from ledgerloom.llm.packing import op2_best_fit_packing
 from ledgerloom.llm.quality import op5_risk_controlled_rules
 from ledgerloom.llm.quotes import OP1_SQL, op1_quotation_linking
 from ledgerloom.llm.sepscan import op6_separator_scan
+from ledgerloom.llm.simhash import op11_golay_simhash
 from ledgerloom.llm.sstable import op10_sstable_output
 from ledgerloom.llm.toxicity import op9_subsequence_kernel_toxicity
 from ledgerloom.llm.warc import op8_content_addressed_warc
@@ -26,6 +27,7 @@ QUERIES = {
         op8_content_addressed_warc,
         op9_subsequence_kernel_toxicity,
         op10_sstable_output,
+        op11_golay_simhash,
     )
 }
 
