@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.alignment import op13_tokenizer_alignment
+from ledgerloom.llm.divergence import OP12_SQL, op12_source_divergence
 from ledgerloom.llm.language import op4_language_id
 from ledgerloom.llm.minhash import op3_minhash_near_dedup
 from ledgerloom.llm.packing import op2_best_fit_packing
@@ -28,7 +30,9 @@ QUERIES = {
         op9_subsequence_kernel_toxicity,
         op10_sstable_output,
         op11_golay_simhash,
+        op12_source_divergence,
+        op13_tokenizer_alignment,
     )
 }
 
-ORACLES = {"op1_quotation_linking": OP1_SQL, "op7_winnowing_decontamination": OP7_SQL}
+ORACLES = {"op1_quotation_linking": OP1_SQL, "op7_winnowing_decontamination": OP7_SQL, "op12_source_divergence": OP12_SQL}
