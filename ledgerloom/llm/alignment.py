@@ -17,14 +17,16 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import drop, stage
-from ledgerloom.llm.tokens import cuts, encoder, ranges
+from ledgerloom.llm.tokens import Encoder, cuts, ranges
 
 #: Bytes of text in a block at most, beyond one text; bytes of new runs that are aligned together; runs that a worker remembers.
-BLOCK, PART, SEEN = 8 << 20, 1 << 20, 600_000
+BLOCK, PART, SEEN = 4 << 20, 256 << 10, 400_000
+#: Slots of the encoder's own memory: runs are remembered here already.
+SLOTS = 1 << 17
 DOC, PAIR, LINKS = range(3)
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 #: Rows of three kinds: documents with their distinct runs, id pairs of a block, and its links by run and pair.
@@ -79,7 +81,7 @@ class Pair:
     def __init__(self, a: str, b: str):
         import sentencepiece
 
-        self.a = encoder(a, True)
+        self.a = Encoder(a, True, SLOTS)
         byte, vocabulary = byte_level(), self.a.tokenizer.get_vocab()
         spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -278,12 +280,13 @@ def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = BLOCK) -> Data
     """
     found = stage(blocks(docs, a, b, block_bytes), "aligned")
     pairs = found.where(F.col("kind") == PAIR).select("block", "pair", "a", "b", "n")
-    counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
-    counts = counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
-    own = stage(pairs.join(counts, ["a", "b"]).select("block", "pair", "count", F.col("best").cast("long").alias("best")), "pair_counts")
+    counts = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair_counts")
+    most = F.broadcast(counts.groupBy("b").agg(F.max("count").alias("most")))  # B's vocabulary has no more rows
+    best = (F.col("count") == F.col("most")).cast("long").alias("best")
+    own = stage(pairs.join(counts, ["a", "b"]).join(most, "b").select("block", "pair", "count", best), "block_counts")
     rest = found.where(F.col("kind") != PAIR).select("block", "kind", "doc_id", *COUNTS, "groups_sha256", "runs", "times")
     out = stage(rest.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(scored, OUT), "aligned_documents")
-    drop(found, own)
+    drop(found, counts, own)
     return out
 
 
