@@ -56,3 +56,18 @@ def test_empty_and_odd_documents(spark):
             assert (name == "best_fit_packing") or now.columns == docs.columns
             if name == "near_dedup":
                 assert now.count() <= 1
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["_row", "_Row_", "quality", "of", "key", "place", "row", "component_id", "kept", "stratum", "rejected", "n", "count", "contaminated", "node"]
+    plain, clashing = docs, docs.selectExpr("*", *(f"'{c}' AS `{c}`" for c in names))
+    repeated = clashing.union(clashing.where("doc_id % 7 = 0"))
+    for name, f in corpus_pipeline.STAGES[:4]:
+        plain, clashing, repeated = f(spark, plain, SF), f(spark, clashing, SF), f(spark, repeated, SF)
+        assert clashing.columns == repeated.columns == [*docs.columns, *names]
+        assert sorted(r[0] for r in clashing.select("doc_id").collect()) == sorted(r[0] for r in plain.select("doc_id").collect())
+        assert [tuple(r) for r in clashing.select(*names).distinct().collect()] == [tuple(names)]
+    assert plain.count() and {r[0] for r in repeated.select("doc_id").collect()} >= {r[0] for r in plain.where("doc_id % 7 <> 0").select("doc_id").collect()}
+    packed = corpus_pipeline.STAGES[4][1](spark, clashing, SF)
+    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in plain.select("doc_id").collect()}
