@@ -79,15 +79,16 @@ def progress(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def ingest_8k_events(spark: SparkSession, paths: list[str], target: str, companies: DataFrame) -> DataFrame:
     """Event tables to event nodes and edges, merged into the graph; tables without the needed columns are left out."""
-    store = sinks.GraphStore(spark, target)
+    store, rows = sinks.GraphStore(spark, target), None
     for path in paths:
-        rows = filings.delimited(spark, path)
-        if {"cik", "accession", "item_name", "date"} <= set(rows.columns):
-            nodes, edges = filings.event_graph(filings.item_events(rows), companies)
-            old = store.nodes()
-            store.node_table.write(nodes if old is None else old.join(nodes.select("node_id"), "node_id", "left_anti").unionByName(nodes, allowMissingColumns=True), "label")
-            old = store.edges()
-            store.edge_table.write(edges if old is None else old.join(edges.select(graph.EDGE), graph.EDGE, "left_anti").unionByName(edges, allowMissingColumns=True), "relation_type")
+        table = filings.delimited(spark, path)
+        if {"cik", "accession", "item_name", "date"} <= set(table.columns):
+            own = filings.item_events(table)
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    if rows is not None:
+        nodes, edges = filings.event_graph(rows, companies)
+        store.upsert_nodes(nodes.withColumn("seq", F.lit(0)))
+        store.upsert_edges(edges.withColumns({"filing_ref": F.lit(None).cast("string"), "seq": F.lit(0)}), valid=False)
     return store.nodes()
 
 
@@ -160,11 +161,10 @@ def get_filing(filed: DataFrame, accession: str) -> DataFrame:
 
 def delta(index: sinks.Index, sentences: DataFrame, latest: str, previous: str) -> DataFrame:
     """id and data of the payload between two filings: as kept before, or worked out and kept. Unknown filings have none."""
-    key, kept = f"{latest}|{previous}", index.read("deltas")
-    if kept is not None:
-        found = kept.where(F.col("id") == key)
-        if not found.isEmpty():
-            return found
+    key = f"{latest}|{previous}"
+    found = index.find("deltas", key)
+    if found is not None and not found.isEmpty():
+        return found
     pairs = sentences.sparkSession.createDataFrame([(latest, previous)], "latest string, previous string")
     return sinks.cache_delta(index, diff.payload(pairs, index.read("filings"), sentences)).where(F.col("id") == key)
 

@@ -34,6 +34,29 @@ def merge_nodes(writes: DataFrame, key: str | list[str], sequence: str) -> DataF
     return writes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(sequence))).alias(c) for c in props])
 
 
+#: The sequence of the write that set each property, kept with the row.
+SET_BY = "_set_by"
+
+
+def stamped(writes: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """Writes with the sequence at each property that they set, in place of their own."""
+    props = [c for c in writes.columns if c not in (*keys, sequence)]
+    return writes.select(*keys, *props, F.struct(*[F.when(F.col(c).isNotNull(), F.col(sequence)).alias(c) for c in props]).alias(SET_BY))
+
+
+def merge_stamped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: each property's value of the highest sequence, a null never counting, with that sequence.
+
+    A row made so is the same however often, and in whatever order, its writes are merged.
+    """
+    props = [c for c in rows.columns if c not in (*keys, SET_BY)]
+    # a set property without a sequence comes before all with one, and after those not set
+    by = {c: F.struct(F.col(c).isNotNull(), F.col(f"{SET_BY}.{c}")) for c in props}
+    values = [F.max_by(c, by[c]).alias(c) for c in props]
+    merged = rows.groupBy(*keys).agg(*values, F.struct(*[F.max(f"{SET_BY}.{c}").alias(c) for c in props]).alias(SET_BY))
+    return merged.select(*keys, *props, SET_BY)
+
+
 def merge_edges(writes: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One edge a key triple: the properties of its last write."""
     props = [c for c in writes.columns if c not in keys]

@@ -5,6 +5,8 @@ Companies are customers, filings orders, sections lineitem rows, competitors sup
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from ledgerloom import fixed, jobs
 from ledgerloom.functions import text
 from ledgerloom.operators import chat, diff, graph, noise, normalise
 from ledgerloom.plans.relational import COMP, FY, GEO
-from ledgerloom.sources import filings
+from ledgerloom.shared import shared_dir
+from ledgerloom.sources import filings, sinks
 from ledgerloom.streaming import windows
 
 
@@ -25,7 +28,7 @@ def _s(c: str):
 
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:
-    """cik, ticker (none for a company without a number divisible by three), name."""
+    """cik, ticker, name."""
     c = _t(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("cik"), F.concat(F.substring("c_mktsegment", 1, 2), _s("c_custkey")).alias("ticker"), F.col("c_name").alias("name"))
 
@@ -566,7 +569,28 @@ def json_recovery(spark: SparkSession, sf: str) -> DataFrame:
 
 JSON_RECOVERY = "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events"
 
+def keyed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' last status and price from three batches of orders merged into a keyed table, the first of them twice and the latest orders first.
+
+    An order in process has no status to tell, a small one no price.
+    """
+    o = _t(spark, sf, "orders")
+    writes = o.select(
+        F.lit("Company").alias("label"), _s("o_custkey").alias("node_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"),
+        F.when(F.col("o_totalprice") >= 20_000, F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("seq"), F.pmod("o_orderkey", F.lit(3)).alias("batch"),
+    )
+    store = sinks.GraphStore(spark, f"{shared_dir(spark)}/keyed_merge-{uuid.uuid4().hex}")
+    for batch in (2, 0, 2, 1):
+        store.upsert_nodes(writes.where(F.col("batch") == batch).drop("batch"))
+    return store.nodes().select("node_id", "status", "price")
+
+
+KEYED_MERGE = """SELECT CAST(o_custkey AS VARCHAR) AS node_id, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS status,
+  arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice >= 20000) AS price FROM orders GROUP BY 1"""
+
+
 GRAPH_QUERIES = {
+    "keyed_merge": (keyed_merge, KEYED_MERGE),
     "graph_edge_upsert": (graph_edge_upsert, EDGE_UPSERT),
     "graph_node_upsert": (graph_node_upsert, NODE_UPSERT),
     "graph_valid_edges": (graph_valid_edges, VALID_EDGES),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
 
@@ -69,31 +72,121 @@ def scratch(spark: SparkSession, tag: str, held: int = 2) -> Callable[..., DataF
     return cut
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; fails if there is one."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+#: Buckets that the rows of a keyed table are dealt to.
+BUCKETS = 64
+BUCKET = "_bucket"
+
+
 class Table:
-    """A table of versions under a folder: a write makes a new one, which readers see once it is whole."""
+    """A table of versions under a folder: a write makes a new one, which readers see once it is whole.
+
+    A version is all rows of the table, or a list of buckets, each with the version whose write it
+    is from: a merge by key reads and writes the buckets of its keys only.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def versions(self) -> list[int]:
         found = [int(v[2:]) for v in children(self.spark, self.path) if v.startswith("v=")]
-        return [v for v in found if exists(self.spark, f"{self.path}/v={v}/_SUCCESS")]
-
-    def read(self) -> DataFrame | None:
-        """The newest whole version; None if there is none."""
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v={max(found)}") if found else None
-
-    def write(self, df: DataFrame, *partitions: str, held: int = 2) -> DataFrame:
+        return sorted(v for v in found if exists(self.spark, f"{self.path}/v={v}/_SUCCESS"))
+
+    def _next(self) -> int:
+        return 1 + max((int(v[2:]) for v in children(self.spark, self.path) if v[:2] in ("v=", "d=")), default=0)
+
+    def _list(self, version: int | None) -> dict | None:
+        """Schema and buckets of a version that is a list."""
+        path = f"{self.path}/v={version}/_buckets"
+        return json.loads(get_text(self.spark, path)) if version and exists(self.spark, path) else None
+
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """The rows of a version, by default of the newest whole one, or of some of its buckets; None if there is none."""
+        version = version or max(self.versions(), default=None)
+        if version is None:
+            return None
+        held = self._list(version)
+        if held is None:
+            return self.spark.read.parquet(f"{self.path}/v={version}")
+        schema, some = StructType.fromJson(held["schema"]), None if buckets is None else set(buckets)
+        paths = [f"{self.path}/d={v}/{BUCKET}={b}" for b, v in held["held"].items() if some is None or int(b) in some]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, *partitions: str, held: int | None = 2) -> DataFrame:
         """Put df as the newest version and delete those older than the last held ones."""
-        found = [int(v[2:]) for v in children(self.spark, self.path) if v.startswith("v=")]
-        version = max(found, default=0) + 1
+        version = self._next()
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.path}/v={version}")
-        for v in found:
-            if v <= version - held:
-                delete(self.spark, f"{self.path}/v={v}")
-        return self.read()
+        self._forget(held)
+        return self.read(version)
+
+    def bucket(self, *keys: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def merge(self, rows: DataFrame, keys: list[str], combine: Callable[[DataFrame], DataFrame], held: int | None = 2) -> DataFrame:
+        """Put rows into the buckets of their keys: combine gets those buckets' rows, old and new, and returns what they hold then.
+
+        combine must give the same rows if some of the new ones are old already; then a merge that
+        is run again changes nothing. Buckets without new rows are neither read nor written, and
+        where two merge at once the second fails. A table written whole is dealt to buckets first.
+        """
+        rows = stage(rows.withColumn(BUCKET, self.bucket(*keys)), "writes")
+        last, version = max(self.versions(), default=None), self._next()
+        old = self._list(last)
+        touched = {r[0] for r in rows.select(BUCKET).distinct().collect()}
+        if last is not None and old is None:
+            before, kept = self.read(last), {}
+        else:
+            before, kept = (self.read(last, touched), old["held"]) if old else (None, {})
+        both = rows.drop(BUCKET) if before is None else before.unionByName(rows.drop(BUCKET), allowMissingColumns=True)
+        merged = combine(both)
+        # a bucket's rows go to as many files as they need
+        merged.withColumn(BUCKET, self.bucket(*keys)).hint("rebalance", BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/d={version}")
+        new = {c.rpartition("=")[2]: version for c in children(self.spark, f"{self.path}/d={version}") if c.startswith(BUCKET)}
+        kept = {b: v for b, v in kept.items() if int(b) not in touched} | new
+        put_text(self.spark, f"{self.path}/v={version}/_buckets", json.dumps({"schema": merged.schema.jsonValue(), "held": kept}))
+        put_text(self.spark, f"{self.path}/v={version}/_SUCCESS", "")
+        self._forget(held)
+        return self.read(version)
+
+    def _forget(self, held: int | None) -> None:
+        if held:
+            found = self.versions()
+            self.keep(v for v in found if v > found[-1] - held)
+
+    def keep(self, wanted: Iterable[int]) -> None:
+        """Delete all versions before the newest one that aren't wanted, and the buckets that none left has."""
+        newest = max(self.versions(), default=0)
+        wanted = {*wanted, newest}
+        for v in children(self.spark, self.path):
+            if v.startswith("v=") and int(v[2:]) < newest and int(v[2:]) not in wanted:
+                delete(self.spark, f"{self.path}/{v}")
+        used = {(int(v), b) for w in wanted if (x := self._list(w)) for b, v in x["held"].items()}
+        for d in children(self.spark, self.path):
+            if d.startswith("d=") and int(d[2:]) <= newest:
+                own = [c for c in children(self.spark, f"{self.path}/{d}") if c.startswith(BUCKET)]
+                left = [c for c in own if (int(d[2:]), c.rpartition("=")[2]) in used]
+                for c in own if left else ():
+                    if c not in left:
+                        delete(self.spark, f"{self.path}/{d}/{c}")
+                if not left:
+                    delete(self.spark, f"{self.path}/{d}")
 
     def clear(self) -> None:
         delete(self.spark, self.path)

@@ -41,30 +41,27 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str):
 
 
 def merge_batches(stream: DataFrame, path: str, keys: list[str], *order: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """Merge micro-batches into a table by key, the last row in order counting; merging a batch again changes nothing.
+    """Merge micro-batches into a table by key, the last row in order counting; merging a batch again, or late, changes nothing.
+
+    A batch reads and writes the buckets of its keys only.
 
     One batch is merged at a time, in order, so there is one writer whatever the number of sources;
     a source's maxFilesPerTrigger bounds what a batch holds.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        table = Table(batch.sparkSession, path)
-        rows, old = transform(batch) if transform else batch, table.read()
-        both = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-        table.write(both.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in both.columns if c not in keys]), F.struct(*order)).alias("r")).select(*keys, "r.*"))
+        rows = transform(batch) if transform else batch
+        Table(batch.sparkSession, path).merge(rows, keys, lambda both: graph.replace_rows(both, keys, *order))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge_nodes(stream: DataFrame, path: str, sequence: str, checkpoint: str):
-    """Merge micro-batches of node writes; a null never overwrites, and the sequence says what is later."""
+    """Merge micro-batches of node writes; a null never overwrites, and each property keeps the sequence that says what is later."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        table = Table(batch.sparkSession, path)
-        old = table.read()
-        new = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        last = new.groupBy(*graph.NODE).agg(F.max(sequence).alias(sequence))
-        table.write(graph.merge_nodes(new, graph.NODE, sequence).join(last, graph.NODE))
+        rows = graph.stamped(batch, graph.NODE, sequence)
+        Table(batch.sparkSession, path).merge(rows, graph.NODE, lambda both: graph.merge_stamped(both, graph.NODE))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
