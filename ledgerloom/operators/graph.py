@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.shared import scratch
+from ledgerloom.operators import paths
+from ledgerloom.shared import scratch, stage
 
+#: Nodes sent to all executors at most; beyond it the join shuffles.
+BROADCAST_NODES = 100_000
 EDGE = ["subject_id", "relation_type", "object_id"]
 
 
@@ -148,14 +151,13 @@ def merge_aliases(nodes: DataFrame, edges: DataFrame, aliases: dict[str, str], l
 
 
 def ego(edges: DataFrame, node: str, hops: int = 1) -> DataFrame:
-    """Edges within hops of a node; each hop is two joins on the frontier."""
-    frontier = edges.sparkSession.createDataFrame([(node,)], "node_id string")
-    found = None
-    for _ in range(hops):
-        near = _touching(edges, frontier)
-        found = near if found is None else found.union(near).distinct()
-        frontier = near.select(F.explode(F.array("subject_id", "object_id")).alias("node_id")).distinct()
-    return found.distinct()
+    """Edges within hops of a node: those that touch a node which lies less than that away."""
+    own = stage(edges.distinct(), "edges")
+    start = own.sparkSession.createDataFrame([(node,)], "source string")
+    ends = own.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))
+    near = paths.reached(paths.both_ways(ends), start, hops - 1) if hops > 1 else start.select(F.col("source").alias("node"))
+    near = stage(near.select(F.col("node").alias("node_id")), "near")
+    return _touching(own, F.broadcast(near) if near.count() <= BROADCAST_NODES else near)
 
 
 def _touching(edges: DataFrame, frontier: DataFrame) -> DataFrame:

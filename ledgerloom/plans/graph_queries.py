@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed, jobs
 from ledgerloom.functions import text
-from ledgerloom.operators import chat, diff, graph, noise, normalise
+from ledgerloom.operators import chat, diff, graph, noise, normalise, paths
 from ledgerloom.plans.relational import COMP, FY, GEO
-from ledgerloom.shared import shared_dir
+from ledgerloom.shared import shared_dir, stage
 from ledgerloom.sources import filings, sinks
 from ledgerloom.streaming import windows
 
@@ -167,7 +167,47 @@ def graph_ego(spark: SparkSession, sf: str) -> DataFrame:
     return graph.ego(graph_edges(spark, sf), "c1", 2)
 
 
-EGO = f"""WITH {EDGES}, one AS (SELECT * FROM edges WHERE subject_id = 'c1') SELECT * FROM edges WHERE subject_id = 'c1' OR object_id IN (SELECT object_id FROM one)"""
+EGO = f"""WITH {EDGES}, near AS (SELECT object_id AS node FROM edges WHERE subject_id = 'c1' UNION SELECT 'c1')
+  SELECT edges.* FROM edges JOIN near ON subject_id = node UNION SELECT edges.* FROM edges JOIN near ON object_id = node"""
+
+
+def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The shortest path from each market to every company and competitor, over all edges in either direction, and what it passes."""
+    edges = stage(graph_edges(spark, sf).select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")), "edges")
+    markets = _t(spark, sf, "nation").select(F.concat(F.lit("n"), _s("n_nationkey")).alias("source"))
+    found = paths.reached(paths.both_ways(edges), markets.join(edges.select(F.col("b").alias("source")), "source", "left_semi"), 4)
+    found = paths.walked(found, found.select("source", F.col("node").alias("target")))
+    return found.select("source", "target", "hops", F.array_join("path", ">").alias("path"))
+
+
+PATHS = f"""WITH RECURSIVE {EDGES}, e AS (SELECT subject_id AS a, object_id AS b FROM edges UNION SELECT object_id, subject_id FROM edges),
+  reach AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS source, 'n' || CAST(n_nationkey AS VARCHAR) AS node, 0 AS hops FROM nation
+    UNION SELECT source, b, hops + 1 FROM reach JOIN e ON node = a WHERE hops < 4),
+  level AS (SELECT source, node, min(hops) AS hops FROM reach WHERE node IN (SELECT a FROM e) GROUP BY 1, 2),
+  up AS (SELECT l.source, l.node, l.hops, min(e.a) AS parent FROM level l JOIN e ON e.b = l.node JOIN level p ON p.source = l.source AND p.node = e.a AND p.hops = l.hops - 1 GROUP BY 1, 2, 3),
+  path AS (SELECT source, node AS target, hops, node AS path FROM level WHERE hops = 0
+    UNION ALL SELECT up.source, up.node, up.hops, path.path || '>' || up.node FROM path JOIN up ON up.source = path.source AND up.parent = path.target AND up.hops = path.hops + 1)
+  SELECT source, target, hops, path FROM path"""
+
+
+def competitor_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies that name each other as rivals, directly or through others, within a quarter; those alone are left out."""
+    o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    quarter = F.year("o_orderdate") * 10 + F.quarter("o_orderdate")
+    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(quarter.alias("quarter"), "o_custkey", "l_suppkey")
+    id_ = lambda c: F.concat_ws(":", _s("quarter"), F.lpad(_s(c), 9, "0"))
+    found = paths.clusters(rows.select(id_("o_custkey").alias("a"), id_("l_suppkey").alias("b")))
+    mutual = found.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
+    return found.join(mutual, "cluster").select("node", "cluster", "members")
+
+
+CLUSTERS = """WITH RECURSIVE e AS (SELECT DISTINCT y || ':' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS a, y || ':' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS b
+    FROM (SELECT CAST(year(o_orderdate) * 10 + quarter(o_orderdate) AS VARCHAR) AS y, o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)),
+  inner_e AS (SELECT a, b FROM e WHERE a IN (SELECT b FROM e) AND b IN (SELECT a FROM e)),
+  reach AS (SELECT a, b FROM inner_e UNION SELECT reach.a, inner_e.b FROM reach JOIN inner_e ON reach.b = inner_e.a),
+  mutual AS (SELECT x.a AS node, min(x.b) AS cluster FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+  sized AS (SELECT cluster, count(*) AS members FROM mutual GROUP BY 1 HAVING count(*) > 1)
+  SELECT node, mutual.cluster, members FROM mutual JOIN sized ON mutual.cluster = sized.cluster"""
 
 
 def graph_chains(spark: SparkSession, sf: str) -> DataFrame:
@@ -600,6 +640,8 @@ GRAPH_QUERIES = {
     "graph_filed_in": (graph_filed_in, FILED_IN),
     "graph_year_chain": (graph_year_chain, YEAR_CHAIN),
     "graph_ego": (graph_ego, EGO),
+    "graph_paths": (graph_paths, PATHS),
+    "competitor_clusters": (competitor_clusters, CLUSTERS),
     "graph_chains": (graph_chains, CHAINS),
     "graph_branches": (graph_branches, BRANCHES),
     "graph_cooccurrence": (graph_cooccurrence, COOCCURRENCE),
