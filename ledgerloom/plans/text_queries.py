@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, vectors
+from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir
 from ledgerloom.streaming import windows
@@ -210,6 +210,35 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search(e, _queries(e), "vec_id", "embedding", 10, where).select("query", "vec_id", "score")
 
 
+def _periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of equal word sets of each language's documents, a hundred ids being a period."""
+    docs = _docs(spark, sf).select("lang", F.expr("doc_id div 100").alias("period"), "doc_id", similar.word_set(F.col("text")).alias("w"))
+    return similar.classes(docs, "lang", "period", "doc_id", F.col("w"))
+
+
+def similar_links(spark: SparkSession, sf: str) -> DataFrame:
+    found = similar.links(_periods(spark, sf))
+    return found.select(F.col("owner").alias("lang"), "period", F.col("key_a").alias("earlier"), F.col("key_b").alias("later"), "copies_a", "copies_b", "n_a", "n_b", "shared")
+
+
+def similar_evolution(spark: SparkSession, sf: str) -> DataFrame:
+    sets = _periods(spark, sf)
+    return similar.evolution(sets, similar.links(sets)).select(F.col("owner").alias("lang"), "period", F.col("key").alias("doc_id"), "copies", "link")
+
+
+_SETS = r"""d AS (SELECT doc_id, lang, doc_id // 100 AS period, list_sort(list_distinct(list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM documents),
+  sets AS (SELECT lang, period, w, min(doc_id) AS doc_id, count(*) AS copies, CAST(len(w) AS INTEGER) AS n FROM d WHERE len(w) > 0 AND lang IS NOT NULL GROUP BY 1, 2, 3),
+  met AS (SELECT b.lang, b.period, a.doc_id AS earlier, b.doc_id AS later, a.copies AS copies_a, b.copies AS copies_b, a.n AS n_a, b.n AS n_b,
+    CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM sets a JOIN sets b ON a.lang = b.lang AND b.period = a.period + 1),
+  linked AS (SELECT * FROM met WHERE 100 * shared >= 80 * (n_a + n_b - shared))"""
+SIMILAR_SQL = f"WITH {_SETS} SELECT * FROM linked"
+EVOLUTION_SQL = f"""WITH {_SETS}, ends AS (SELECT lang, max(period) AS last FROM sets GROUP BY 1)
+  SELECT lang, period, doc_id, copies, CASE WHEN EXISTS (SELECT 1 FROM linked l WHERE l.lang = s.lang AND l.period = s.period AND l.later = s.doc_id) THEN 'PERSISTED_TO' ELSE 'EMERGED_IN' END AS link FROM sets s
+  UNION ALL SELECT s.lang, period + 1, doc_id, copies, 'RESOLVED_IN' FROM sets s JOIN ends ON s.lang = ends.lang
+  WHERE period < last AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.lang = s.lang AND l.period = s.period + 1 AND l.earlier = s.doc_id)"""
+
+
 def vector_ann(spark: SparkSession, sf: str) -> DataFrame:
     """About the ten nearest rows of every twentieth one, by an index that reads three quarters of its lists for a query.
 
@@ -328,6 +357,8 @@ TEXT = {
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
     "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
     "vector_ann": (vector_ann, None),
+    "similar_links": (similar_links, SIMILAR_SQL),
+    "similar_evolution": (similar_evolution, EVOLUTION_SQL),
     "vector_fetch": (vector_fetch, FETCH_SQL),
     "sentence_diff": (sentence_diff, None),
     "delta_stats": (delta_stats, None),
