@@ -55,8 +55,8 @@ def refers_to_company(text: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """has_company_coref, is_forward_looking and fl_indicators (the patterns that match) of a sentence."""
-    found = indicators(text, fixed.FORWARD_LOOKING)
-    return F.struct(refers_to_company(text).alias("has_company_coref"), text.rlike(any_of(fixed.FORWARD_LOOKING, "i")).alias("is_forward_looking"), found.alias("fl_indicators"))
+    of = lambda found: F.struct(refers_to_company(text).alias("has_company_coref"), (F.size(found) > 0).alias("is_forward_looking"), found.alias("fl_indicators"))
+    return let(indicators(text, fixed.FORWARD_LOOKING), of)
 
 
 # cleaning

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, similar, vectors
+from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, segment, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir
 from ledgerloom.streaming import windows
@@ -210,6 +210,59 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search(e, _queries(e), "vec_id", "embedding", 10, where).select("query", "vec_id", "score")
 
 
+def _abbreviated(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with common words of each language put as abbreviations."""
+    t = F.col("text")
+    for word, short in SHORT.items():
+        t = F.replace(t, F.lit(f" {word} "), F.lit(f" {short} "))
+    return _docs(spark, sf).select("doc_id", t.alias("text"))
+
+
+SHORT = {"the": "Corp.", "der": "z.B.", "les": "env.", "los": "Sr."}
+
+
+def sentence_end_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Abbreviations and sentence starters that the texts themselves teach, with their counts and scores."""
+    model = segment.learn(_abbreviated(spark, sf), "text")
+    score = F.round("score", 4).alias("score")
+    return model["abbreviations"].select(F.lit("abbreviation").alias("kind"), "word", F.col("stops").alias("n"), score).union(
+        model["starters"].select(F.lit("starter"), "word", F.col("starts"), score)
+    )
+
+
+def learnt_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of all texts, with ends as learnt."""
+    docs = _abbreviated(spark, sf)
+    return segment.sentences(docs, "doc_id", "text", segment.learn(docs, "text")).drop("seq")
+
+
+def _short_sql(c: str) -> str:
+    for word, short in SHORT.items():
+        c = f"replace({c}, ' {word} ', ' {short} ')"
+    return c
+
+
+_WORDS = rf"""toks AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array({_short_sql("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+    lambda t: regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[("''\[]+|[)"''\],;:]+$', '', 'g')) AS t FROM documents),
+  seen AS (SELECT regexp_replace(k, '\.$', '') AS word, suffix(k, '.') AS stop, regexp_matches(k, '[!?]$') AS mark, regexp_replace(x, '\.$', '') AS next
+    FROM (SELECT unnest(t) AS k, unnest(list_append(t[2:], NULL)) AS x FROM toks)),
+  counts AS (SELECT word, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE stop) AS DOUBLE) AS stops FROM seen GROUP BY 1),
+  tot AS (SELECT sum(n) AS a, sum(stops) AS p FROM counts),
+  cand AS (SELECT word, stops, n - stops AS bare, length(word) - length(replace(word, '.', '')) AS dots, length(replace(word, '.', '')) AS size
+    FROM counts WHERE stops > 0 AND regexp_matches(word, '\p{{L}}') AND NOT regexp_matches(word, '[0-9]')),
+  scored AS (SELECT word, stops, bare, 2 * (stops * (ln(0.99) - ln(p / a)) + bare * (ln(0.01) - ln(1 - p / a))) * exp(-size) * (dots + 1) * pow(CAST(size AS DOUBLE), -bare) AS score FROM cand, tot),
+  abbr AS (SELECT * FROM scored WHERE score >= 0.3),
+  ends AS (SELECT next FROM seen WHERE next IS NOT NULL AND (mark OR stop AND word NOT IN (SELECT word FROM abbr))),
+  st AS (SELECT next AS word, CAST(count(*) AS DOUBLE) AS ab FROM ends GROUP BY 1),
+  brk AS (SELECT sum(ab) AS s FROM st),
+  x AS (SELECT st.word, ab, n AS b, s, a FROM st JOIN counts ON st.word = counts.word, brk, tot WHERE regexp_matches(st.word, '\p{{L}}') AND ab * a > n * s),
+  ll AS (SELECT word, ab, -2 * (ab * ln(b / a) + (s - ab) * ln(1 - b / a) + (b - ab) * ln(b / a) + (a - s - b + ab) * ln(1 - b / a)
+    - ab * ln(ab / s) - CASE WHEN s = ab THEN 0 ELSE (s - ab) * ln(1 - ab / s) END
+    - CASE WHEN b = ab THEN 0 ELSE (b - ab) * ln((b - ab) / (a - s)) END - (a - s - b + ab) * ln(1 - (b - ab) / (a - s))) AS score FROM x)"""
+ENDS_SQL = f"""WITH {_WORDS} SELECT 'abbreviation' AS kind, word, stops AS n, round(score, 4) AS score FROM abbr
+  UNION ALL SELECT 'starter', word, ab, round(score, 4) FROM ll WHERE score >= 30"""
+
+
 def _periods(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of equal word sets of each language's documents, a hundred ids being a period."""
     docs = _docs(spark, sf).select("lang", F.expr("doc_id div 100").alias("period"), "doc_id", similar.word_set(F.col("text")).alias("w"))
@@ -357,6 +410,8 @@ TEXT = {
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
     "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
     "vector_ann": (vector_ann, None),
+    "sentence_end_model": (sentence_end_model, ENDS_SQL),
+    "learnt_sentences": (learnt_sentences, None),
     "similar_links": (similar_links, SIMILAR_SQL),
     "similar_evolution": (similar_evolution, EVOLUTION_SQL),
     "vector_fetch": (vector_fetch, FETCH_SQL),
