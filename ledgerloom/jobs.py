@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.operators import chat, diff, entities, glossary, graph, noise, normalise, vectors
+from ledgerloom.operators import chat, diff, entities, glossary, graph, names, noise, normalise, vectors
 from ledgerloom.shared import stage
 from ledgerloom.sources import filings, sinks
 
@@ -46,6 +46,16 @@ def gazetteer_extractor(gazetteer: DataFrame) -> Extractor:
     return extract
 
 
+def learnt_extractor(gazetteer: DataFrame) -> Extractor:
+    """Extraction by rules and a tagger that is fitted on the documents, as far as the gazetteer marks them."""
+
+    def extract(documents: DataFrame) -> DataFrame:
+        s = filings.sentences(documents).withColumnRenamed("accession_number", "accession")
+        return entities.extracted(s, tagger=names.learn(s, gazetteer))
+
+    return extract
+
+
 def run_kg_population(documents: DataFrame, target: str, extractor: Extractor, tickers: DataFrame | None = None, section: str | None = None, limit: int | None = None, dry_run: bool = False) -> DataFrame:
     """Extract, normalise and merge documents that the graph doesn't hold yet; the numbers of nodes and edges by kind.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import normalise
+from ledgerloom.operators import names, normalise
 from ledgerloom.shared import stage
 
 LONGEST = 5
@@ -16,13 +16,14 @@ DOC = ["cik", "accession", "section_type"]
 
 
 def spans(sentence: Column, longest: int = LONGEST) -> Column:
-    """Runs of one to longest words as structs (at, name), signs at their ends left out."""
+    """Runs of one to longest words as structs (at, name), signs at their ends left out; words that are signs alone begin and end none."""
 
     def runs(w: Column) -> Column:
         def of(n: int) -> Column:
             at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
             name = lambda i: F.regexp_replace(F.array_join(F.slice(w, i, n), " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
-            return F.when(F.size(w) >= n, F.transform(at, lambda i: F.struct(i.alias("at"), name(i).alias("name")))).otherwise(F.array().cast("array<struct<at: int, name: string>>"))
+            inner = F.filter(at, lambda i: F.get(w, i - 1).rlike(r"[\p{L}\p{N}]") & F.get(w, i + (n - 2)).rlike(r"[\p{L}\p{N}.]"))
+            return F.when(F.size(w) >= n, F.transform(inner, lambda i: F.struct(i.alias("at"), name(i).alias("name")))).otherwise(F.array().cast("array<struct<at: int, name: string>>"))
 
         return F.filter(F.concat(*[of(n) for n in range(longest, 0, -1)]), lambda s: s["name"].rlike(r"^\p{Lu}"))
 
@@ -30,15 +31,26 @@ def spans(sentence: Column, longest: int = LONGEST) -> Column:
 
 
 def named(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Sentence columns but text, at, name and label of the names of gazetteer(name, label) in sentences, whatever their case."""
-    known = gazetteer.select(F.lower("name").alias("_key"), "label").dropDuplicates(["_key"])
+    """Sentence columns but text, at, name and label of the names of gazetteer(name, label) in sentences, whatever their case.
+
+    A gazetteer of up to names.AUTOMATON_NAMES names goes to all tasks as one automaton; a larger
+    one is joined to all runs of words. Of several labels of a name the least counts.
+    """
+    if gazetteer.count() <= names.AUTOMATON_NAMES:
+        return names.by_gazetteer(sentences, names.gazetteer_of(gazetteer))
+    return joined(sentences, gazetteer)
+
+
+def joined(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """named() by a join of all runs of one to five words."""
+    known = gazetteer.groupBy(F.lower("name").alias("_key")).agg(F.min("label").alias("label"))
     keep = [c for c in sentences.columns if c != "text"]
     found = sentences.select(*keep, F.explode(spans(F.col("text"))).alias("s")).select(*keep, "s.*").withColumn("_key", F.lower("name"))
     return found.join(known, "_key").drop("_key")
 
 
-def extracted(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """cik, accession, section_type, nodes and relations, as the normaliser takes them.
+def extracted(sentences: DataFrame, gazetteer: DataFrame | None = None, tagger: names.Tagger | None = None) -> DataFrame:
+    """cik, accession, section_type, nodes and relations, as the normaliser takes them; names by a gazetteer or by a learnt tagger.
 
     sentences(cik, accession, section_type, company_name, seq, text, is_forward_looking). Names are
     taken once a document, at their first mention, the company's own left out; money amounts (of
@@ -46,17 +58,18 @@ def extracted(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     management discussions only.
     """
     base = [*DOC, "company_name", "seq"]
-    names = named(sentences.select(*base, "text"), gazetteer)
-    names = names.where((F.col("label") != "ORG") | ~text.is_self_reference(F.col("name"), F.col("company_name")))
+    own = sentences.select(*base, "text")
+    found = names.by_tagger(own, tagger) if tagger else named(own, gazetteer)
+    found = found.where((F.col("label") != "ORG") | ~text.is_self_reference(F.col("name"), F.col("company_name")))
     kind = lambda k: text.lookup({label: v[k] for label, v in KINDS.items()})[F.col("label")]
     blank = {k: F.lit(None).cast("string") for k in ("direction", "sentiment", "horizon", "text")}
-    names = names.select(*base, "at", kind(0).alias("type"), "name", kind(1).alias("relation"), F.lit(0).alias("part"), *[v.alias(k) for k, v in blank.items()])
+    found = found.select(*base, "at", kind(0).alias("type"), "name", kind(1).alias("relation"), F.lit(0).alias("part"), *[v.alias(k) for k, v in blank.items()])
     mda = sentences.where("section_type = 'mda'")
     amounts = mda.select(*base, "text", F.posexplode(text.metric_names(F.col("text"))).alias("at", "name")).where(F.length("name") > 3)
     amounts = amounts.select(*base, "at", F.lit("FinancialMetric").alias("type"), "name", F.lit("REPORTS").alias("relation"), F.lit(1).alias("part"),
                              text.direction(F.col("text")).alias("direction"), *[blank[k].alias(k) for k in ("sentiment", "horizon", "text")])
     # staged, since the two are short and their plans long
-    once = stage(names, "names").unionByName(stage(amounts, "amounts"))
+    once = stage(found, "names").unionByName(stage(amounts, "amounts"))
     rest = [c for c in once.columns if c not in (*DOC, "type")]
     once = once.withColumn("_key", F.lower("name")).groupBy(*DOC, "type", "_key").agg(F.min_by(F.struct(*rest), F.struct("seq", "part", "at")).alias("m")).select(*DOC, "type", "m.*")
     outlook = mda.where("is_forward_looking").select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
-from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, segment, similar, vectors
+from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, names, segment, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir
 from ledgerloom.streaming import windows
@@ -183,11 +183,30 @@ def metric_stubs(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.array_join(text.metric_names(F.col("text")), ";").alias("names"), F.array_join(text.amounts(F.col("text")), ";").alias("amounts"))
 
 
+def _gazetteer(docs: DataFrame) -> DataFrame:
+    """Frequent capitalised words as names."""
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{4,9})\b"), F.lit(1))).alias("name"))
+    return words.groupBy("name").agg(F.count("*").alias("n")).where("n >= 50").select("name", F.when(F.length("name") % 2 == 0, "ORG").otherwise("GPE").alias("label"))
+
+
+def learnt_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of all lines of texts by a tagger that learns from documents whose crc32 of the id isn't divisible by five, and how many the gazetteer has there too."""
+    docs = _docs(spark, sf)
+    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    lines = docs.select("doc_id", held, F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = lines.select("doc_id", "held_out", "line", "text")
+    known = _gazetteer(docs)
+    found = names.by_tagger(lines, names.learn(lines.where("NOT held_out"), known)).select("doc_id", "held_out", "line", "at", "name", "label", F.lit(1).alias("learnt"))
+    marked = entities.named(lines, known).select("doc_id", "held_out", "line", "at", "name", "label", F.lit(1).alias("marked"))
+    both = found.join(marked, ["doc_id", "held_out", "line", "at", "name", "label"], "full")
+    n = lambda c: F.count(c).alias(c)
+    return both.groupBy("doc_id", "held_out", "label").agg(n("learnt"), n("marked"), F.count_if(F.col("learnt") == F.col("marked")).alias("both"))
+
+
 def entity_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Raw records of documents whose gazetteer is the frequent capitalised words of all documents; a record's items as counts."""
     docs = _docs(spark, sf)
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{4,9})\b"), F.lit(1))).alias("name"))
-    known = words.groupBy("name").agg(F.count("*").alias("n")).where("n >= 50").select("name", F.when(F.length("name") % 2 == 0, "ORG").otherwise("GPE").alias("label"))
+    known = _gazetteer(docs)
     s = docs.select(F.col("source").alias("cik"), F.col("doc_id").alias("accession"), F.lit("mda").alias("section_type"), F.col("source").alias("company_name"), F.lit(0).alias("seq"), "text", F.lower("text").contains("the").alias("is_forward_looking"))
     out = entities.extracted(s.where("text IS NOT NULL"), known)
     kind = lambda t: F.size(F.filter("nodes", lambda n: n["type"] == t)).cast("long")
@@ -407,6 +426,7 @@ TEXT = {
     "word_counts": (word_counts, WORDS_SQL),
     "metric_stubs": (metric_stubs, None),
     "entity_extraction": (entity_extraction, None),
+    "learnt_names": (learnt_names, None),
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
     "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
     "vector_ann": (vector_ann, None),
