@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.shared import stage
 
 MENTION = "term string, alias string, definition string, expansion string, is_acronym boolean, tags array<string>"
 LEAST_WORDS = 8
@@ -43,29 +44,63 @@ def candidates(sentences: DataFrame) -> DataFrame:
     return sentences.where(F.col("word_count") >= LEAST_WORDS)
 
 
+#: What a store keeps, and by which key: facts with the place where each was first met.
+FACTS = {
+    "terms": ["key"], "aliases": ["key", "alias"], "scopes": ["key", "scope"], "tags": ["key", "tag"], "sources": ["key", "sentence_id"], "companies": ["key", "cik"],
+}
+FIRST = ["term", "definition", "expansion", "is_acronym"]
+
+
+def facts(found: DataFrame, *order: str) -> dict[str, DataFrame]:
+    """The facts that mentions give, a table a kind; combined() puts those of several runs together.
+
+    Mentions with one lower-case term are one entry; those with a null term give nothing.
+    """
+    seq = F.struct(*order, "place")
+    m = stage(found.withColumns({"key": F.lower(F.trim("term")), "seq": seq}).where("key IS NOT NULL"), "mentions")
+    set_at = lambda c: F.when(F.col(c).isNotNull(), F.col("seq"))
+    tags = m.select("key", F.posexplode("tags").alias("nth", "tag"), "seq")
+    rows = {
+        "terms": m.select("key", *FIRST, *(set_at(c).alias(f"{c}_seq") for c in FIRST)),
+        "aliases": m.select("key", "alias", "seq"),
+        "scopes": m.select("key", F.col("section_type").cast("string").alias("scope"), "seq"),
+        "tags": tags.select("key", "tag", F.struct("seq", "nth").alias("seq")),
+        "sources": m.select("key", "cik", "accession", "section_type", "sentence_id", "seq"),
+        "companies": m.select("key", "cik").distinct(),
+    }
+    return {name: combined(name, rows[name].where(F.col(keys[-1]).isNotNull() | F.lit(name == "sources"))) for name, keys in FACTS.items()}
+
+
+def combined(name: str, rows: DataFrame) -> DataFrame:
+    """Facts of one kind with the earliest of each key: the same for any order and number of runs."""
+    keys = FACTS[name]
+    if name == "companies":
+        return rows.select(keys).distinct()
+    if name == "terms":
+        return rows.groupBy("key").agg(*(F.min_by(c, f"{c}_seq").alias(c) for c in FIRST), *(F.min(f"{c}_seq").alias(f"{c}_seq") for c in FIRST))
+    rest = [c for c in rows.columns if c not in (*keys, "seq")]
+    least = rows.groupBy(*keys).agg(F.min("seq").alias("seq"), *(F.min_by(c, "seq").alias(c) for c in rest))
+    return least.select(rows.columns)
+
+
+def store_of(held: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables terms, aliases, scopes, tags and sources that facts make: terms with the numbers of companies and sources, aliases that differ from the term."""
+    count = lambda name, c, n: held[name].groupBy("key").agg(F.count(c).alias(n))
+    terms = held["terms"].select("key", *FIRST).join(count("companies", "cik", "frequency"), "key", "left").join(count("sources", "sentence_id", "n_sources"), "key", "left")
+    terms = terms.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("frequency", "n_sources")})
+    own = terms.select("key", F.col("term").alias("_term"))
+    aliases = held["aliases"].join(own, "key").where("alias <> _term").drop("_term")
+    return {"terms": terms, "aliases": aliases, **{name: held[name] for name in ("scopes", "tags", "sources")}}
+
+
 def merged(found: DataFrame, *order: str) -> dict[str, DataFrame]:
     """The store of mentions: tables terms, aliases, scopes, tags and sources, each by key.
 
-    Mentions with one lower-case term are one entry. The first in order gives the term; of
-    definition and expansion the first that isn't null counts; frequency is the number of distinct
-    companies; is_acronym is the first mention's. Aliases, scopes and tags come in the order in
-    which they are first met, sources once a sentence.
+    The first in order gives the term; of definition, expansion and is_acronym the first that isn't
+    null counts; frequency is the number of distinct companies. Aliases, scopes and tags come in the
+    order in which they are first met, sources once a sentence.
     """
-    seq = F.struct(*order, "place")
-    m = found.withColumns({"key": F.lower(F.trim("term")), "seq": seq}).where("key IS NOT NULL")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    terms = m.groupBy("key").agg(first("term"), first("definition"), first("expansion"), first("is_acronym"), F.countDistinct("cik").alias("frequency"), F.countDistinct("sentence_id").alias("n_sources"))
-
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        return rows.where(f"{name} IS NOT NULL").groupBy("key", name).agg(F.min("seq").alias("seq"))
-
-    of = terms.select("key", F.col("term").alias("_term"))
-    aliases = listed(m.select("key", "alias", "seq"), "alias").join(of, "key").where("alias <> _term").drop("_term")
-    tags = listed(m.select("key", F.posexplode("tags").alias("nth", "tag"), "seq").withColumn("seq", F.struct("seq", "nth")), "tag")
-    source = F.struct("cik", "accession", "section_type", "sentence_id")
-    sources = m.groupBy("key", "sentence_id").agg(F.min_by(source, "seq").alias("s"), F.min("seq").alias("seq")).select("key", "s.*", "seq")
-    scopes = listed(m.withColumn("scope", F.col("section_type").cast("string")).select("key", "scope", "seq"), "scope")
-    return {"terms": terms, "aliases": aliases, "scopes": scopes, "tags": tags, "sources": sources}
+    return store_of(facts(found, *order))
 
 
 def nested(store: dict[str, DataFrame], sources: bool = False) -> DataFrame:

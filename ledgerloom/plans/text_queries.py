@@ -16,6 +16,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, names, segment, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir
+from ledgerloom.sources import sinks
 from ledgerloom.streaming import windows
 
 WORDS = ["the", "that", "with", "from", "this"]
@@ -129,7 +130,20 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
-    out = glossary.nested(glossary.merged(_mentions(spark, sf), "accession"))
+    return _terms(glossary.merged(_mentions(spark, sf), "accession"))
+
+
+def glossary_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after three runs, over documents of odd ids, of even ones, and of odd ones again."""
+    found, path = _mentions(spark, sf), f"{shared_dir(spark)}/glossary_upsert-{uuid.uuid4().hex}"
+    odd = F.expr("accession % 2 = 1")
+    for half in (odd, ~odd, odd):
+        store = sinks.write_glossary(found.where(half), path, "accession")
+    return _terms(store)
+
+
+def _terms(store: dict[str, DataFrame]) -> DataFrame:
+    out = glossary.nested(store)
     return out.select("term", "definition", "frequency", "n_sources", F.array_join("scopes", ",").alias("scopes"), F.array_join("tags", ",").alias("tags"))
 
 
@@ -420,6 +434,7 @@ TEXT = {
     "slugify_names": (slugify_names, SLUG_SQL),
     "glossary_extract": (glossary_extract, GLOSSARY_SQL),
     "glossary_merge": (glossary_merge, MERGE_SQL),
+    "glossary_upsert": (glossary_upsert, MERGE_SQL),
     "domain_tags": (domain_tags, TAGS_SQL),
     "corpus_trend": (corpus_trend, TREND_SQL),
     "pct_histogram": (pct_histogram, HISTOGRAM_SQL),

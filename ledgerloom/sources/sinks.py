@@ -134,13 +134,19 @@ class GraphStore:
 
 
 def write_glossary(found: DataFrame, path: str, *order: str) -> dict[str, DataFrame]:
-    """Write the store of mentions as a table for each kind of fact."""
-    return {name: Table(found.sparkSession, f"{path}/{name}").write(df) for name, df in glossary.merged(found, *order).items()}
+    """Merge mentions into the store of earlier ones: facts are kept with the place where each was first met, so a run reads
+    new sentences and the buckets of their terms only, and one that is run again changes nothing. The store after it.
+    """
+    spark = found.sparkSession
+    for name, rows in glossary.facts(found, *order).items():
+        # a term's facts are in one bucket
+        Table(spark, f"{path}/{name}").merge(rows, ["key"], lambda both, name=name: glossary.combined(name, both))
+    return read_glossary(spark, path)
 
 
 def read_glossary(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    store = {name: Table(spark, f"{path}/{name}").read() for name in ("terms", "aliases", "scopes", "tags", "sources")}
-    return None if any(df is None for df in store.values()) else store
+    held = {name: Table(spark, f"{path}/{name}").read() for name in glossary.FACTS}
+    return None if any(df is None for df in held.values()) else glossary.store_of(held)
 
 
 def append_new(rows: DataFrame, path: str, *keys: str, partitions: tuple[str, ...] = ()) -> int:
