@@ -311,14 +311,19 @@ def percentages(text: Column) -> Column:
 
 
 def metric_names(text: Column) -> Column:
-    """For each money amount the three words before it, from at most 40 characters; revenue where there are none."""
+    """For each money amount the three words before it, from at most 40 characters; revenue where there are none.
+
+    No more than 40 amounts fit into 40 characters, so no more of what stands before is put together for each.
+    """
     pattern = "(?i)" + fixed.MONEY
 
     def names(v: Column) -> Column:
         parts, found = v["parts"], v["found"]
 
         def name(m: Column, i: Column) -> Column:
-            before = F.array_join(F.zip_with(F.slice(parts, 1, i + 1), F.slice(found, 1, i), lambda p, a: F.concat(p, F.coalesce(a, F.lit("")))), "")
+            start = F.greatest(i - 39, F.lit(1))
+            near = F.zip_with(F.slice(parts, start, i + 2 - start), F.slice(found, start, i + 1 - start), lambda p, a: F.concat(p, F.coalesce(a, F.lit(""))))
+            before = F.array_join(near, "")
             context = F.concat(F.right(before, F.lit(40)), m)
             words = F.filter(F.split(F.call_function("substring_index", context, F.trim(m), F.lit(1)), r"(?U)\s+"), lambda w: w != "")
             last = F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3)

@@ -192,9 +192,15 @@ WORDS_SQL = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n
 
 
 def metric_stubs(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of amounts, where each line end of a page stands for a dollar amount of its place."""
-    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.substring("url", 8, 90), F.lit(" rose to $1.5 million, net sales of $20 and $3,000.")).alias("text"))
-    return p.select("page_id", F.array_join(text.metric_names(F.col("text")), ";").alias("names"), F.array_join(text.amounts(F.col("text")), ";").alias("amounts"))
+    """Amounts of whole texts and the names before them, where common words stand for amounts that differ by the document."""
+    t, n = F.col("text"), F.pmod("doc_id", F.lit(997)).cast("string")
+    for word, unit in AMOUNTS.items():
+        t = F.replace(t, F.lit(f" {word} "), F.concat(F.lit(" $"), n, F.lit(f"{unit} ")))
+    rows = _docs(spark, sf).select("doc_id", t.alias("text"))
+    return rows.select("doc_id", F.array_join(text.metric_names(F.col("text")), ";").alias("names"), F.array_join(text.amounts(F.col("text")), ";").alias("amounts"))
+
+
+AMOUNTS = {"the": ".5 million", "der": ",000", "les": " billion", "los": ".25"}
 
 
 def _gazetteer(docs: DataFrame) -> DataFrame:
