@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
+from ledgerloom.sources import rtables
 from ledgerloom.functions.text import fiscal_year, item_category, item_code
 
 #: Header lines of a section file, in their order.
@@ -111,12 +112,18 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 def index_tables(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame | None:
     """Index tables of several files bound by column name, missing columns null; files that can't be read are left out.
 
-    Files ending in .parquet are read as such. None if no file can be read.
+    Files ending in .parquet are read as such, those ending in .rda, .RData or .rds as R's own. None if no file can be read.
     """
     tables = []
     for p in paths:
         try:
-            table = repaired(spark.read.parquet(p)) if p.endswith(".parquet") else delimited(spark, p, sep)
+            if p.lower().endswith(rtables.ENDINGS):
+                found = rtables.r_table(spark, p)
+                if found is None:
+                    continue
+                table = repaired(found.drop("source_file"))
+            else:
+                table = repaired(spark.read.parquet(p)) if p.endswith(".parquet") else delimited(spark, p, sep)
             tables.append(table.select([F.col(c).cast("string") for c in table.columns]))
         except AnalysisException:
             continue
