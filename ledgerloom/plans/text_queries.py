@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
-from ledgerloom.functions import text
+from ledgerloom.functions import tables, text
 from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, names, segment, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir
@@ -203,6 +203,36 @@ def metric_stubs(spark: SparkSession, sf: str) -> DataFrame:
 AMOUNTS = {"the": ".5 million", "der": ",000", "les": " billion", "los": ".25"}
 
 
+def sql_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of three words or more of all texts, by SQL alone."""
+    return tables.register(spark).sql("SELECT doc_id, s.* FROM {docs} AS d, LATERAL text_sentences(d.text) AS s", docs=_docs(spark, sf))
+
+
+SENTENCES_SQL = r"""WITH p AS (SELECT doc_id, unnest(l) AS p, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(
+    regexp_split_to_array(text, '\n{2,}'), lambda x: trim(x)), lambda x: length(x) >= 10) AS l FROM documents)),
+  s AS (SELECT doc_id, i, unnest(l) AS s, unnest(range(0, len(l))) AS j FROM (SELECT doc_id, i, list_filter(list_transform(
+    string_split(regexp_replace(p, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p)),
+  n AS (SELECT *, len(list_filter(regexp_split_to_array(s, '[ \t\n\r\f]+'), lambda w: w <> '')) AS n FROM s)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS seq, CAST(i AS INTEGER) AS paragraph_index,
+    CAST(j AS INTEGER) AS sentence_index, s AS sentence, n AS words FROM n WHERE n >= 3"""
+
+
+def sql_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts of whole texts, a row each, where common words stand for amounts that differ by the document; by SQL alone."""
+    return tables.register(spark).sql(f"SELECT doc_id, a.* FROM (SELECT doc_id, {_amounts_sql('STRING')} AS text FROM {{docs}}) AS d, LATERAL text_amounts(d.text) AS a", docs=_docs(spark, sf))
+
+
+def _amounts_sql(kind: str) -> str:
+    c = "text"
+    for word, unit in AMOUNTS.items():
+        c = f"replace({c}, ' {word} ', concat(' $', CAST(doc_id % 997 AS {kind}), '{unit} '))"
+    return c
+
+
+AMOUNTS_SQL = f"""SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS seq, trim(unnest(l)) AS amount
+  FROM (SELECT doc_id, regexp_extract_all({_amounts_sql('VARCHAR')}, '(?i){fixed.MONEY}') AS l FROM documents)"""
+
+
 def _gazetteer(docs: DataFrame) -> DataFrame:
     """Frequent capitalised words as names."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{4,9})\b"), F.lit(1))).alias("name"))
@@ -446,6 +476,8 @@ TEXT = {
     "pct_histogram": (pct_histogram, HISTOGRAM_SQL),
     "word_counts": (word_counts, WORDS_SQL),
     "metric_stubs": (metric_stubs, None),
+    "sql_sentences": (sql_sentences, SENTENCES_SQL),
+    "sql_amounts": (sql_amounts, AMOUNTS_SQL),
     "entity_extraction": (entity_extraction, None),
     "learnt_names": (learnt_names, None),
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
