@@ -619,7 +619,7 @@ def keyed_merge(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Company").alias("label"), _s("o_custkey").alias("node_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"),
         F.when(F.col("o_totalprice") >= 20_000, F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("seq"), F.pmod("o_orderkey", F.lit(3)).alias("batch"),
     )
-    store = sinks.GraphStore(spark, f"{shared_dir(spark)}/keyed_merge-{uuid.uuid4().hex}")
+    store = sinks.GraphStore(spark, f"{shared_dir(spark)}/keyed_merge-{uuid.uuid4().hex}", buckets=4)
     for batch in (2, 0, 2, 1):
         store.upsert_nodes(writes.where(F.col("batch") == batch).drop("batch"))
     return store.nodes().select("node_id", "status", "price")

@@ -138,7 +138,7 @@ def glossary_upsert(spark: SparkSession, sf: str) -> DataFrame:
     found, path = _mentions(spark, sf), f"{shared_dir(spark)}/glossary_upsert-{uuid.uuid4().hex}"
     odd = F.expr("accession % 2 = 1")
     for half in (odd, ~odd, odd):
-        store = sinks.write_glossary(found.where(half), path, "accession")
+        store = sinks.write_glossary(found.where(half), path, "accession", buckets=4)
     return _terms(store)
 
 

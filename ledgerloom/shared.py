@@ -137,7 +137,9 @@ class Table:
         return self.read(version)
 
     def bucket(self, *keys: Column | str) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        """The bucket of a row's keys: of as many as the table has been dealt to, whatever the number that it was opened with."""
+        held = self._list(max(self.versions(), default=None))
+        return F.pmod(F.xxhash64(*keys), F.lit(held["buckets"] if held else self.buckets)).cast("int")
 
     def merge(self, rows: DataFrame, keys: list[str], combine: Callable[[DataFrame], DataFrame], held: int | None = 2) -> DataFrame:
         """Put rows into the buckets of their keys: combine gets those buckets' rows, old and new, and returns what they hold then.
@@ -146,7 +148,8 @@ class Table:
         is run again changes nothing. Buckets without new rows are neither read nor written, and
         where two merge at once the second fails. A table written whole is dealt to buckets first.
         """
-        rows = stage(rows.withColumn(BUCKET, self.bucket(*keys)), "writes")
+        bucket = self.bucket(*keys)
+        rows = stage(rows.withColumn(BUCKET, bucket), "writes")
         last, version = max(self.versions(), default=None), self._next()
         old = self._list(last)
         touched = {r[0] for r in rows.select(BUCKET).distinct().collect()}
@@ -157,10 +160,10 @@ class Table:
         both = rows.drop(BUCKET) if before is None else before.unionByName(rows.drop(BUCKET), allowMissingColumns=True)
         merged = combine(both)
         # a bucket's rows go to as many files as they need
-        merged.withColumn(BUCKET, self.bucket(*keys)).hint("rebalance", BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/d={version}")
+        merged.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/d={version}")
         new = {c.rpartition("=")[2]: version for c in children(self.spark, f"{self.path}/d={version}") if c.startswith(BUCKET)}
         kept = {b: v for b, v in kept.items() if int(b) not in touched} | new
-        put_text(self.spark, f"{self.path}/v={version}/_buckets", json.dumps({"schema": merged.schema.jsonValue(), "held": kept}))
+        put_text(self.spark, f"{self.path}/v={version}/_buckets", json.dumps({"buckets": old["buckets"] if old else self.buckets, "schema": merged.schema.jsonValue(), "held": kept}))
         put_text(self.spark, f"{self.path}/v={version}/_SUCCESS", "")
         self._forget(held)
         return self.read(version)

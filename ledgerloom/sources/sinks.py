@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed
 from ledgerloom.functions import text
 from ledgerloom.operators import glossary, graph
-from ledgerloom.shared import Table, children, delete, exists, get_text, put_text
+from ledgerloom.shared import BUCKETS, Table, children, delete, exists, get_text, put_text
 
 ORDER = "_seq"
 
@@ -35,9 +35,9 @@ class GraphStore:
     Readers see nodes and edges as of the last commit, which is one file for both tables.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        self.node_table, self.edge_table = Table(spark, f"{path}/nodes"), Table(spark, f"{path}/edges")
+        self.node_table, self.edge_table = Table(spark, f"{path}/nodes", buckets), Table(spark, f"{path}/edges", buckets)
 
     def _commits(self) -> list[int]:
         return sorted(int(c[2:]) for c in children(self.spark, f"{self.path}/commits") if c.startswith("c="))
@@ -133,14 +133,14 @@ class GraphStore:
         return self.nodes(), self.edges()
 
 
-def write_glossary(found: DataFrame, path: str, *order: str) -> dict[str, DataFrame]:
+def write_glossary(found: DataFrame, path: str, *order: str, buckets: int = BUCKETS) -> dict[str, DataFrame]:
     """Merge mentions into the store of earlier ones: facts are kept with the place where each was first met, so a run reads
     new sentences and the buckets of their terms only, and one that is run again changes nothing. The store after it.
     """
     spark = found.sparkSession
     for name, rows in glossary.facts(found, *order).items():
         # a term's facts are in one bucket
-        Table(spark, f"{path}/{name}").merge(rows, ["key"], lambda both, name=name: glossary.combined(name, both))
+        Table(spark, f"{path}/{name}", buckets).merge(rows, ["key"], lambda both, name=name: glossary.combined(name, both))
     return read_glossary(spark, path)
 
 

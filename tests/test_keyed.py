@@ -41,6 +41,16 @@ def test_one_row_rewrites_one_bucket(spark, tmp_path):
     assert left == {"d=1", "d=2", "d=3"} and len(os.listdir(tmp_path / "t" / "d=1")) < 2 * 8 + 2
 
 
+def test_the_number_of_buckets_stays_as_it_was_dealt(spark, tmp_path):
+    last = lambda both: graph.replace_rows(both, ["k"], "at")
+    rows = lambda at: spark.range(60).selectExpr("id AS k", f"{at} AS at")
+    Table(spark, str(tmp_path / "t"), buckets=5).merge(rows(1), ["k"], last)
+    other = Table(spark, str(tmp_path / "t"), buckets=9)
+    assert sorted(tuple(r) for r in other.merge(rows(2).where("k < 30"), ["k"], last).collect()) == [(k, 2 if k < 30 else 1) for k in range(60)]
+    one = spark.range(1).select(other.bucket(F.lit(7).cast("long"))).first()[0]
+    assert other.read(buckets=[one]).where("k = 7").count() == 1
+
+
 def test_a_merge_that_failed_is_not_read(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"))
     once = lambda both: both.distinct()
