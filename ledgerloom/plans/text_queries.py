@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import tables, text
-from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, names, segment, similar, vectors
+from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, latent, names, segment, similar, vectors
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
-from ledgerloom.shared import shared_dir
+from ledgerloom.shared import shared_dir, stage
 from ledgerloom.sources import sinks
 from ledgerloom.streaming import windows
 
@@ -279,6 +279,22 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search(e, _queries(e), "vec_id", "embedding", 10, where).select("query", "vec_id", "score")
 
 
+def latent_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents nearest to each of those whose id is divisible by 20, in a space of 24 directions that all texts teach."""
+    docs = _docs(spark, sf)
+    vector = stage(latent.space(docs, "doc_id", "text", 24).embed(docs, "doc_id", "text"), "latent")
+    return vectors.search(vector, vector.where("doc_id % 20 = 0"), "doc_id", "vector", 10)
+
+
+def glossary_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The five glossary entries nearest to each document whose id is divisible by 20, in a space that the entries teach."""
+    terms = glossary.merged(_mentions(spark, sf), "accession")["terms"]
+    entries = stage(terms.select("key", glossary.entry_text(terms).alias("entry")), "entries")
+    asked = _docs(spark, sf).where("doc_id % 20 = 0").select("doc_id", "text")
+    found = latent.lookup(latent.space(entries, "key", "entry", 24), entries, "key", "entry", asked, "doc_id", "text")
+    return found.select("doc_id", F.col("key").alias("term"), "score", "rank")
+
+
 def _abbreviated(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts with common words of each language put as abbreviations."""
     t = F.col("text")
@@ -483,6 +499,8 @@ TEXT = {
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
     "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
     "vector_ann": (vector_ann, None),
+    "latent_topk": (latent_topk, None),
+    "glossary_lookup": (glossary_lookup, None),
     "sentence_end_model": (sentence_end_model, ENDS_SQL),
     "learnt_sentences": (learnt_sentences, None),
     "similar_links": (similar_links, SIMILAR_SQL),
