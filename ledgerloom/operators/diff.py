@@ -2,51 +2,110 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.shared import scratch, stage
 
 KEEP, TOP, SHOWN = 3, 5, 600
-SCHEMA = "block_idx int, type string, text string, count int"
 
 
-def block_rows(previous: list[str], latest: list[str]) -> Iterator[tuple]:
-    """Blocks in order; of an equal run of more than 2 * KEEP + 1 only its ends are shown."""
-    matcher = difflib.SequenceMatcher(None, previous, latest, autojunk=False)
-    for tag, a0, a1, b0, b1 in matcher.get_opcodes():
-        if tag != "equal":
-            yield from (("removed", s, None) for s in previous[a0:a1])
-            yield from (("added", s, None) for s in latest[b0:b1])
-        elif b1 - b0 <= 2 * KEEP + 1:
-            yield from (("context", s, None) for s in latest[b0:b1])
-        else:
-            yield from (("context", s, None) for s in latest[b0 : b0 + KEEP])
-            yield "collapsed", None, b1 - b0 - 2 * KEEP
-            yield from (("context", s, None) for s in latest[b1 - KEEP : b1])
+def _runs(lines: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Longest runs of equal lines of each pair: keys, i and j where a run begins, its length n."""
+    side = lambda name, at: lines[name].select(*keys, F.col("_at").alias(at), "_line")
+    equal = side("previous", "i").join(side("latest", "j"), [*keys, "_line"]).select(*keys, "i", "j")
+    # equal lines on one diagonal that follow one another are a run
+    within = Window.partitionBy(*keys, F.col("j") - F.col("i")).orderBy("i")
+    equal = equal.withColumn("_d", F.col("j") - F.col("i")).withColumn("_run", F.col("i") - F.row_number().over(within))
+    return equal.groupBy(*keys, "_d", "_run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").cast("int").alias("n")).drop("_d", "_run")
 
 
-def blocks(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Blocks of each row of pairs(keys, previous, latest); a row is a pair of filings, so rows are independent.
+def matched(lines: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Runs of equal lines that a pair keeps: keys, i, j, n.
 
-    A task holds the blocks of some pairs at a time. The comparison takes time quadratic in the
-    sentences of one pair in the worst case.
+    The longest run of a box is taken, of equally long ones that with the least i, then j; it leaves
+    a box before it and one after it, to which other runs are cut, and so on. A round takes one run
+    of each box at once. Before that boxes are parted wherever all runs on one side end before all
+    on the other begin, so a run that no other crosses takes no round of its own, and pairs need as
+    many rounds as their runs are entangled, not as they have runs.
     """
+    box = [*keys, "_a", "_b"]
+    cut, taken = scratch(lines["latest"].sparkSession, "diff"), []
+    zero = F.lit(0).cast("int")
+    left = cut(_parted(_runs(lines, keys).withColumns({"_a": zero, "_b": zero}), box))
+    while not left.isEmpty():
+        best = left.groupBy(box).agg(F.max_by(F.struct("i", "j", "n"), F.struct("n", -F.col("i"), -F.col("j"))).alias("best"))
+        best = cut(best.select(*box, "best.*"), keep=True)
+        taken.append(best.select(*keys, "i", "j", "n"))
+        rest = left.join(best.select(*box, F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("n").alias("_n")), box)
+        before = F.least("n", F.col("_i") - F.col("i"), F.col("_j") - F.col("j"))
+        skip = F.greatest(zero, F.col("_i") + F.col("_n") - F.col("i"), F.col("_j") + F.col("_n") - F.col("j"))
+        parts = F.array(
+            F.struct("_a", "_b", "i", "j", before.alias("n")),
+            F.struct((F.col("_i") + F.col("_n")).alias("_a"), (F.col("_j") + F.col("_n")).alias("_b"), (F.col("i") + skip).alias("i"), (F.col("j") + skip).alias("j"), (F.col("n") - skip).alias("n")),
+        )
+        rest = rest.select(*keys, F.explode(F.filter(parts, lambda p: p["n"] > 0)).alias("p")).select(*keys, "p.*")
+        left = cut(_parted(rest, box))
+    none = left.select(*keys, "i", "j", "n").where("false")
+    return reduce(DataFrame.union, taken, none)
+
+
+def _parted(runs: DataFrame, box: list[str]) -> DataFrame:
+    """Runs with boxes parted where no run crosses; a box is named by its first run's beginning."""
+    order = [F.col("i"), F.col("j")]
+    before = Window.partitionBy(box).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(box).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = (F.max(F.col("i") + F.col("n")).over(before) <= F.col("i")) & (F.max(F.col("j") + F.col("n")).over(before) <= F.min("j").over(after))
+    runs = runs.withColumn("_cut", F.coalesce(whole, F.lit(True)).cast("int"))
+    upto = Window.partitionBy(box).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.last(F.when(F.col("_cut") == 1, F.struct("i", "j")), True).over(upto)
+    runs = runs.withColumn("_start", start)
+    return runs.drop("_a", "_b", "_cut").withColumns({"_a": F.col("_start.i"), "_b": F.col("_start.j")}).drop("_start")
+
+
+def blocks(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Blocks of each row of pairs(keys, previous, latest): context, collapsed, removed and added lines in order, numbered from 0.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at : at + 64]
-                given = zip(*[part[k] for k in keys], part["previous"], part["latest"])
-                rows = [(*k, i, *r) for *k, a, b in given for i, r in enumerate(block_rows(list(a), list(b)))]
-                yield pd.DataFrame(rows, columns=[*keys, "block_idx", "type", "text", "count"]).astype({"count": "Int32", "block_idx": "int32"})
+    keys name a pair; of rows with the same keys one stays, and null keys are left out. Between runs
+    kept all removed lines come before all added ones; of an equal run of more than 2 * KEEP + 1
+    lines only its ends are shown, with a row for what is collapsed. Null sequences are empty, and a
+    pair without lines has no blocks. Null lines are equal to one another.
 
-    types = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.select(*keys, "previous", "latest").mapInPandas(run, f"{types}, {SCHEMA}")
+    Lines are rows, joined on a hash of 128 bits of each; work grows with the equal lines of pairs:
+    a line that both have often counts as often as the product. A task sorts the lines of one pair
+    at most, without their comparison.
+    """
+    names, keys = keys, [f"_k{n}" for n in range(len(keys))]
+    pairs = pairs.select(*(F.col(name).alias(k) for name, k in zip(names, keys)), "previous", "latest")
+    pairs = stage(pairs.dropna(subset=keys).dropDuplicates(keys), "pairs")
+    line = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.reverse("text"))).alias("_line")
+    told = {side: pairs.select(*keys, F.posexplode(side).alias("_at", "text")) for side in ("previous", "latest")}
+    found = stage(matched({side: t.select(*keys, "_at", line) for side, t in told.items()}, keys), "matched")
+    spans = found.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("int"), F.col("n") - 1)))
+    at = {"previous": F.col("i") + F.col("_of"), "latest": F.col("j") + F.col("_of")}
+
+    def placed(side: str) -> DataFrame:
+        """Lines of a side with their place in their run, and the number of lines in runs before them."""
+        t = told[side].join(spans.select(*keys, at[side].alias("_at"), "_of", "n"), [*keys, "_at"], "left")
+        earlier = Window.partitionBy(keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        return t.withColumn("_before", F.count("n").over(earlier))
+
+    kind = lambda name, order: [F.lit(name).alias("type"), F.lit(order).alias("_kind")]
+    none = F.lit(None).cast("int").alias("count")
+    old, new = placed("previous").where("n IS NULL"), placed("latest")
+    removed = old.select(*keys, "_before", "_at", *kind("removed", 0), "text", none)
+    added = new.where("n IS NULL").select(*keys, "_before", "_at", *kind("added", 1), "text", none)
+    middle = (F.col("n") > 2 * KEEP + 1) & (F.col("_of") >= KEEP) & (F.col("_of") < F.col("n") - KEEP)
+    same = new.where(F.col("n").isNotNull() & (~middle | (F.col("_of") == KEEP))).select(
+        *keys, "_before", "_at", F.when(middle, "collapsed").otherwise("context").alias("type"), F.lit(2).alias("_kind"),
+        F.when(~middle, F.col("text")).alias("text"), F.when(middle, F.col("n") - 2 * KEEP).cast("int").alias("count"),
+    )
+    place = Window.partitionBy(keys).orderBy("_before", "_kind", "_at")
+    rows = removed.union(added).union(same).withColumn("block_idx", (F.row_number().over(place) - 1).cast("int"))
+    return rows.select(*(F.col(k).alias(name) for name, k in zip(names, keys)), "block_idx", "type", "text", "count")
 
 
 def adjacent(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -104,7 +163,7 @@ def payload(pairs: DataFrame, filings: DataFrame, sentences: DataFrame) -> DataF
         known = known.join(f, side).join(lists.withColumnsRenamed({"accession": side, "said": f"_{side}"}), side, "left")
     keyed = known.select("latest", "previous", F.coalesce("_previous", none).alias("b"), F.coalesce("_latest", none).alias("a"))
     keyed = keyed.select(F.col("latest").alias("l"), F.col("previous").alias("p"), F.col("b").alias("previous"), F.col("a").alias("latest"))
-    found = with_severity(blocks(keyed, "l", "p"))
+    found = stage(with_severity(blocks(keyed, "l", "p")), "blocks")
     top = top_changes(found, "l", "p").groupBy("l", "p").agg(F.array_sort(F.collect_list(F.struct("rank", "severity", "type", "text", "why"))).alias("top_changes"))
     every = found.groupBy("l", "p").agg(F.array_sort(F.collect_list(F.struct("block_idx", "type", "text", "count", "severity"))).alias("diff_blocks"))
     out = known.select(F.col("latest").alias("l"), F.col("previous").alias("p"), "latest_filing", "previous_filing")

@@ -417,7 +417,7 @@ def sentence_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def delta_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Stats and gravest change of each pair of neighbouring documents."""
-    found = sentence_diff(spark, sf)
+    found = stage(sentence_diff(spark, sf), "blocks")
     top = diff.top_changes(found, "doc_id", most=1).select("doc_id", F.col("type").alias("top_type"), "why")
     return diff.stats(found, "doc_id").join(top, "doc_id", "left")
 

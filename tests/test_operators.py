@@ -167,8 +167,10 @@ def test_filters_and_hits(spark):
     assert len(v) == 8 and sum(abs(x) for x in v) == 1
 
 
-def test_diff():
-    kinds = lambda a, b: [(t, x, n) for t, x, n in diff.block_rows(a, b)]
+def test_diff(spark):
+    def kinds(a, b):
+        return [tuple(r) for r in diff.blocks(spark.createDataFrame([(1, a, b)], "k int, previous array<string>, latest array<string>"), "k").orderBy("block_idx").select("type", "text", "count").collect()]
+
     assert kinds(["1", "2", "3"], ["1", "2x", "3", "4"]) == [("context", "1", None), ("removed", "2", None), ("added", "2x", None), ("context", "3", None), ("added", "4", None)]
     assert len(kinds(list("abcdefg"), list("abcdefg"))) == 7
     assert [(t, n) for t, _, n in kinds(list("abcdefgh"), list("abcdefgh"))] == [("context", None)] * 3 + [("collapsed", 2)] + [("context", None)] * 3

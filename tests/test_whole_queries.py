@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
-from ledgerloom.operators.diff import block_rows
+from tests.brute_diff import block_rows
 from ledgerloom.plans import catalog, text_queries
 
 SF = "/root/testdata/sf0.001"
