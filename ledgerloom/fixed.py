@@ -207,3 +207,8 @@ COMPETITOR_NOISE_PATTERNS = [
     r"(?i)^[A-Z][a-z]+'s$", r"(?i)^[Tt]he\s.*(exchange|commission|authority|bureau|authority|agency|board)$", r"^[A-Z]{1,2}$",
     r"[a-z]\d[a-z]?$", r"(?s).{120,}",
 ]
+
+# Numbers of nodes that are told of, tries of a model, and seconds before the second try.
+MILESTONES = (1000, 5000, 10000, 50000, 100000, 500000)
+MODEL_TRIES = 5
+MODEL_WAIT = 5.0

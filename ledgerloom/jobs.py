@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import chat, diff, entities, glossary, graph, names, noise, normalise, vectors
 from ledgerloom.shared import stage
 from ledgerloom.sources import filings, sinks
+from ledgerloom.streaming import metrics
 
 Extractor = Callable[[DataFrame], DataFrame]
 DEFAULT_COMPANIES, MOST_COMPANIES = 300, 2000
@@ -56,12 +58,14 @@ def learnt_extractor(gazetteer: DataFrame) -> Extractor:
     return extract
 
 
-def run_kg_population(documents: DataFrame, target: str, extractor: Extractor, tickers: DataFrame | None = None, section: str | None = None, limit: int | None = None, dry_run: bool = False) -> DataFrame:
+def run_kg_population(documents: DataFrame, target: str, extractor: Extractor, tickers: DataFrame | None = None, section: str | None = None, limit: int | None = None, dry_run: bool = False, report: Callable[[dict], None] | None = None) -> DataFrame:
     """Extract, normalise and merge documents that the graph doesn't hold yet; the numbers of nodes and edges by kind.
 
     A document is done once its Section node is in the graph, so a job that stops is run again. A
-    limit counts documents that aren't done.
+    limit counts documents that aren't done. report gets documents, nodes, edges, seconds and
+    rate of documents, counted while the rows are written.
     """
+    began = time.monotonic()
     store = sinks.GraphStore(documents.sparkSession, target)
     d = documents.where(F.col("section_type") == section) if section else documents
     done = store.nodes()
@@ -74,9 +78,15 @@ def run_kg_population(documents: DataFrame, target: str, extractor: Extractor, t
     )
     raw = stage(extractor(d), "records")
     whole = meta.join(raw, normalise.DOCUMENT, "left")
-    nodes, edges = (stage(df, name) for df, name in zip(normalise.normalise(whole, tickers, "ner"), ("nodes", "edges")))
+    whole, n_documents = metrics.observed(whole, documents=F.count("*"))
+    whole = stage(whole, "documents")
+    parts = [metrics.observed(df, **{name: F.count("*")}) for df, name in zip(normalise.normalise(whole, tickers, "ner"), ("nodes", "edges"))]
+    nodes, edges = (stage(df, name) for (df, _), name in zip(parts, ("nodes", "edges")))
     if not dry_run:
         store.write_documents(nodes, edges)
+    if report:
+        figures = n_documents.get | parts[0][1].get | parts[1][1].get
+        report(metrics.report(figures, time.monotonic() - began, "documents"))
     return sinks.dry_run(nodes, edges)
 
 

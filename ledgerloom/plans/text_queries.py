@@ -17,7 +17,7 @@ from ledgerloom.operators import ann, chat, diff, entities, glossary, graph, lat
 from ledgerloom.plans.graph_queries import _sql_any, _sql_in
 from ledgerloom.shared import shared_dir, stage
 from ledgerloom.sources import sinks
-from ledgerloom.streaming import windows
+from ledgerloom.streaming import metrics, windows
 
 WORDS = ["the", "that", "with", "from", "this"]
 #: Common words between explicit classes, which both engines read alike in any language.
@@ -279,6 +279,20 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search(e, _queries(e), "vec_id", "embedding", 10, where).select("query", "vec_id", "score")
 
 
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of a run that writes the lines of all documents, taken while it writes."""
+    lines = _docs(spark, sf).select("doc_id", "lang", F.explode(_lines(F.col("text"))).alias("line"))
+    n = F.count("*")
+    lines, seen = metrics.observed(lines, lines=n, characters=F.sum(F.length("line")), without_lang=n - F.count("lang"), last=F.max("doc_id"))
+    stage(lines, "lines")
+    return spark.createDataFrame(sorted(seen.get.items()), "metric string, value long")
+
+
+RUN_METRICS_SQL = """WITH l AS (SELECT doc_id, lang, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
+  f AS (SELECT count(*) AS lines, sum(length(line)) AS characters, count(*) - count(lang) AS without_lang, max(doc_id) AS last FROM l WHERE line <> '')
+  SELECT metric, CAST(value AS BIGINT) AS value FROM (SELECT unnest(['characters', 'last', 'lines', 'without_lang']) AS metric, unnest([characters, last, lines, without_lang]) AS value FROM f)"""
+
+
 def latent_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten documents nearest to each of those whose id is divisible by 20, in a space of 24 directions that all texts teach."""
     docs = _docs(spark, sf)
@@ -499,6 +513,7 @@ TEXT = {
     "vector_topk": (vector_topk, TOPK_SQL.format("")),
     "vector_topk_filtered": (vector_topk_filtered, TOPK_SQL.format(" AND e.label IN (1, 2)")),
     "vector_ann": (vector_ann, None),
+    "run_metrics": (run_metrics, RUN_METRICS_SQL),
     "latent_topk": (latent_topk, None),
     "glossary_lookup": (glossary_lookup, None),
     "sentence_end_model": (sentence_end_model, ENDS_SQL),

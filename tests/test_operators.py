@@ -265,7 +265,10 @@ def test_from_files_to_graph_and_delta(spark, tmp_path):
     table = filings.tickers(spark, str(tmp_path / "t.csv"))
     plan = jobs.run_kg_population(docs, f"{out}/graph", extractor, table, dry_run=True)
     assert {r["of"]: r["n"] for r in plan.where("kind = 'node'").collect()}["Competitor"] == 2 and sinks.GraphStore(spark, f"{out}/graph").nodes() is None
-    jobs.run_kg_population(docs, f"{out}/graph", extractor, table)
+    told = []
+    jobs.run_kg_population(docs, f"{out}/graph", extractor, table, report=told.append)
+    totals = {r["kind"]: r["n"] for r in plan.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    assert [(t["documents"], t["nodes"], t["edges"]) for t in told] == [(2, totals["node"], totals["edge"])] and told[0]["rate"] > 0
     store = sinks.GraphStore(spark, f"{out}/graph")
     nodes, edges = store.nodes(), store.edges()
     assert nodes.where("label = 'Competitor'").first()["node_id"] == "comp_55" and nodes.where("label = 'FiscalYear'").count() == 35
