@@ -79,7 +79,6 @@ def run_kg_population(documents: DataFrame, target: str, extractor: Extractor, t
     raw = stage(extractor(d), "records")
     whole = meta.join(raw, normalise.DOCUMENT, "left")
     whole, n_documents = metrics.observed(whole, documents=F.count("*"))
-    whole = stage(whole, "documents")
     parts = [metrics.observed(df, **{name: F.count("*")}) for df, name in zip(normalise.normalise(whole, tickers, "ner"), ("nodes", "edges"))]
     nodes, edges = (stage(df, name) for (df, _), name in zip(parts, ("nodes", "edges")))
     if not dry_run:

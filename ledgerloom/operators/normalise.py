@@ -167,23 +167,26 @@ def resolved(documents: DataFrame, first: DataFrame) -> DataFrame:
     """
     doc = ["_cik", "_accession", "_section_type"]
     d = documents.select(*[F.col(c).cast("string").alias(f"_{c}") for c in DOCUMENT], F.lower(F.coalesce("company_name", F.lit(""))).alias("company"), F.col("fiscal_year").alias("_year"), "relations")
-    rel = d.select(*doc, "_year", "company", F.posexplode("relations").alias("pos", "r")).where(F.col("r.relation").isin(*fixed.RELATIONS))
-    rel = rel.select(*doc, "_year", "company", "pos", F.col("r.relation").alias("relation_type"), *[F.lower(F.coalesce(f"r.{e}_title", F.lit(""))).alias(e) for e in ("subject", "object")])
-    company = d.select(*doc, F.col("company").alias("key"), F.col("_cik").alias("node_id"), F.lit(-1).alias("pos"))
-    index = first.select(*doc, "key", "node_id", "pos").unionByName(company)
-    index = index.groupBy(*doc, "key").agg(F.max_by("node_id", "pos").alias("found"), F.min("pos").alias("at"))
-    names = rel.select(*doc, "company", F.explode(F.array("subject", "object")).alias("name")).distinct().where("name <> ''")
-    exact = names.join(index.withColumnRenamed("key", "name"), [*doc, "name"], "left")
-    by_company = F.when(F.col("company").contains(F.col("name")) | F.col("name").contains(F.col("company")), F.col("_cik"))
-    exact = exact.select(*doc, "name", F.coalesce("found", by_company).alias("node_id"))
-    open_ = exact.where("node_id IS NULL").select(*doc, "name", F.substring("name", 1, 1).alias("c"))
-    keys = index.select(*doc, "key", "found", "at", F.substring("key", 1, 1).alias("c"))
-    prefix = open_.join(keys, [*doc, "c"]).where(F.col("key").startswith(F.substring("name", 1, 20)))
-    prefix = prefix.groupBy(*doc, "name").agg(F.min_by("found", "at").alias("node_id"))
-    ids = exact.where("node_id IS NOT NULL").unionByName(prefix)
-    for end in ("subject", "object"):
-        rel = rel.join(ids.withColumnsRenamed({"name": end, "node_id": f"{end}_id"}), [*doc, end])
-    return rel.select(*doc, "_year", "pos", "subject_id", "relation_type", "object_id")
+    known = F.filter("relations", lambda r: r["relation"].isin(*fixed.RELATIONS))
+    d = d.withColumn("relations", F.coalesce(known, F.array().cast(RELATIONS_SCHEMA))).where(F.size("relations") > 0)
+    index = first.groupBy(*doc).agg(F.collect_list(F.struct("pos", "key", "node_id")).alias("keys"))
+    # a document's names and relations are one row: names are looked up in it
+    company = F.struct(F.lit(-1).alias("pos"), F.col("company").alias("key"), F.col("_cik").alias("node_id"))
+    d = d.join(index, doc, "left").withColumn("keys", F.concat(F.coalesce("keys", F.array()), F.array(company)))
+    of = lambda name: F.array_max(F.filter("keys", lambda k: (k["key"] == name) & k["node_id"].isNotNull()))["node_id"]
+
+    def found(name: Column) -> Column:
+        by_company = F.when(F.col("company").contains(name) | name.contains(F.col("company")), F.col("_cik"))
+        near = F.array_min(F.filter("keys", lambda k: (F.substring(k["key"], 1, 1) == F.substring(name, 1, 1)) & k["key"].startswith(F.substring(name, 1, 20))))["key"]
+        return F.when(name != "", F.coalesce(of(name), by_company, of(near)))
+
+    end = lambda r, e: F.lower(F.coalesce(r[f"{e}_title"], F.lit("")))
+    # each different name once
+    names = F.array_distinct(F.flatten(F.transform("relations", lambda r: F.array(end(r, "subject"), end(r, "object")))))
+    d = d.withColumn("names", names).withColumn("ids", F.transform("names", found))
+    id_of = lambda r, e: F.get(F.col("ids"), F.array_position("names", end(r, e)).cast("int") - 1)
+    rel = d.select(*doc, "_year", F.posexplode(F.transform("relations", lambda r: F.struct(id_of(r, "subject").alias("subject_id"), r["relation"].alias("relation_type"), id_of(r, "object").alias("object_id")))).alias("pos", "r"))
+    return rel.select(*doc, "_year", "pos", "r.*").where("subject_id IS NOT NULL AND object_id IS NOT NULL")
 
 
 def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: str = "llm") -> tuple[DataFrame, DataFrame]:
@@ -194,6 +197,8 @@ def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: st
     accession and place. Null arrays have no items; raw types and relations that aren't known are
     ignored; FILED_IN is made for years of the chain alone.
     """
+    items = [c for c in ("nodes", "relations") if c in documents.columns]
+    documents = stage(documents.select(*META, *items), "records")  # read by six branches below
     mentions = typed_nodes(documents, tickers)
     first = stage(_first_mentions(mentions), "mentions")  # read by five branches below
     order = lambda a, pos: F.struct(F.col(a).alias("accession"), F.col(pos).cast("int").alias("pos")).alias("seq")
