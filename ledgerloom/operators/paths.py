@@ -13,49 +13,87 @@ from pyspark.sql import functions as F
 
 from ledgerloom.shared import scratch, stage
 
+#: Sources that share a row of a round.
+BITS = 32
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges that can be walked in either direction."""
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def reached(edges: DataFrame, sources: DataFrame, most: int, wanted: DataFrame | None = None) -> DataFrame:
+def reached(edges: DataFrame, sources: DataFrame, most: int, wanted: DataFrame | None = None, undirected: bool = False) -> DataFrame:
     """source, node, hops and parent of the nodes that each source(source) reaches in at most so many hops, itself included.
 
     hops is the least number; parent is the least node from which it is reached so. Only nodes that
     the last round has reached are joined to the edges, and only new ones are kept. With
-    wanted(source, target) a source whose targets are all reached goes no further.
+    wanted(source, target) a source whose targets are all reached goes no further. Nodes are numbered
+    in their order and BITS sources are bits of one row, so a round handles each edge once for all of them.
     """
-    cut = scratch(edges.sparkSession, "reached")
-    e = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), keep=True)
-    kind = e.schema["a"].dataType
-    start = sources.where("source IS NOT NULL").select("source").distinct()
-    levels = [cut(start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent")), keep=True)]
-    for k in range(1, most + 1):
-        seen, last = reduce(DataFrame.union, levels), levels[-1]
+    spark = edges.sparkSession
+    cut = scratch(spark, "reached")
+    start = sources.where("source IS NOT NULL").select(F.col("source").alias("node")).distinct()
+    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
+    # partitions of a sorted table and the rows in them are counted upwards: ids in the order of the nodes
+    nodes = cut(ends.union(start).distinct().orderBy("node").select("node", F.monotonically_increasing_id().alias("id")), keep=True)
+    for c in "ab":
+        edges = edges.join(nodes.withColumnsRenamed({"node": c, "id": f"_{c}"}), c)
+    e = edges.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    e = cut((both_ways(e) if undirected else e).distinct(), keep=True)
+    nth = start.join(nodes, "node").orderBy("id").select("node", "id", F.monotonically_increasing_id().alias("nth"))
+    bit = F.expr(f"shiftleft(1L, CAST(nth % {BITS} AS INT))")
+    nth = cut(nth.withColumns({"block": F.floor(F.col("nth") / BITS).cast("long"), "mask": bit}), keep=True)
+    if wanted is not None:
+        of = nth.select(F.col("node").alias("source"), "block", "mask")
+        ids = nodes.select(F.col("node").alias("target"), F.col("id").alias("node"))
+        wanted = cut(wanted.join(of, "source").join(ids, "target", "left").select("node", "block", "mask"), keep=True)
+    last = seen = cut(nth.groupBy(F.col("id").alias("node"), "block").agg(F.bit_or("mask").alias("mask")), keep=True)
+    levels = []
+    for _ in range(most):
         if wanted is not None:
-            open_ = wanted.join(seen.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti")
-            last = last.join(open_.select("source"), "source", "left_semi")
-        step = last.join(e, last["node"] == e["a"]).groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        new = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        new = cut(new.select("source", "node", F.lit(k).alias("hops"), "parent"), keep=True)
+            met = wanted.join(seen.withColumnRenamed("mask", "_met"), ["node", "block"], "left").where(F.coalesce(F.col("mask").bitwiseAND(F.col("_met")), F.lit(0)) == 0)
+            open_ = met.groupBy("block").agg(F.bit_or("mask").alias("_open"))
+            last = last.join(open_, "block").select("node", "block", F.col("mask").bitwiseAND(F.col("_open")).alias("mask")).where("mask <> 0")
+        step = last.join(e, last["node"] == e["a"]).select(F.col("b").alias("node"), "block", "a", "mask")
+        new = step.join(seen.withColumnRenamed("mask", "_seen"), ["node", "block"], "left")
+        new = new.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))).where("mask <> 0")
+        new = new.groupBy("node", "block").agg(F.bit_or("mask").alias("mask"), *(F.min(F.expr(f"CASE WHEN (mask & {1 << j}L) <> 0 THEN a END")).alias(f"p{j}") for j in range(BITS)))
+        new = cut(new.select("node", "block", "mask", F.array(*(f"p{j}" for j in range(BITS))).alias("parents")), keep=True)
         if new.isEmpty():
             break
         levels.append(new)
-    return reduce(DataFrame.union, levels)
-
-
-def walked(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """source, target, hops and path of pairs(source, target): parents followed from the target to the source, a round a hop."""
+        last = new.select("node", "block", "mask")
+        seen = cut(seen.union(last).groupBy("node", "block").agg(F.bit_or("mask").alias("mask")))
+    name = lambda c: nodes.select(F.col("node").alias(c), F.col("id").alias(f"_{c}"))
+    found = nth.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(None).cast(nodes.schema["node"].dataType).alias("parent"))
+    if levels:
+        rows = reduce(DataFrame.union, (x.select("node", "block", F.lit(k).alias("hops"), F.posexplode("parents").alias("at", "_parent")) for k, x in enumerate(levels, 1)))
+        rows = rows.where("_parent IS NOT NULL").select(F.col("node").alias("_node"), (F.col("block") * BITS + F.col("at")).alias("nth"), "hops", "_parent")
+        rows = rows.join(nth.select(F.col("node").alias("source"), "nth"), "nth").join(name("node"), "_node").join(name("parent"), "_parent")
+        found = found.union(rows.select("source", "node", "hops", "parent"))
+    return cut(found, keep=True)
+
+
+def walked(found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """source, target, hops and path of pairs(source, target), or of all that are found: parents followed from the target to the source.
+
+    A round a hop, over the paths that haven't come to their source yet.
+    """
     cut = scratch(found.sparkSession, "walked")
-    start = pairs.select("source", "target").distinct().join(found.withColumnRenamed("node", "target"), ["source", "target"])
-    now = cut(start.select("source", "target", "hops", F.array("target").alias("path"), F.col("parent").alias("at")))
-    most = now.agg(F.max("hops")).first()[0] or 0
-    back = found.select("source", F.col("node").alias("at"), F.col("parent").alias("next"))
-    for _ in range(most):
-        path = F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path"))
-        now = cut(now.join(back, ["source", "at"], "left").select("source", "target", "hops", path.alias("path"), F.col("next").alias("at")))
-    return now.select("source", "target", "hops", "path")
+    start = found.withColumnRenamed("node", "target")
+    if pairs is not None:
+        start = pairs.select("source", "target").distinct().join(start, ["source", "target"])
+    back = found.where("hops > 0").select("source", F.col("node").alias("at"), F.col("parent").alias("next"))
+    now, ended = start.select("source", "target", "hops", F.array("target").alias("path"), F.col("parent").alias("at")), []
+    while True:
+        now = cut(now, keep=True)
+        path = F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path"))
+        ended.append(now.where("at IS NULL OR at = source").select("source", "target", "hops", path.alias("path")))
+        left = now.where("at <> source")
+        if left.isEmpty():
+            return reduce(DataFrame.union, ended)
+        now = left.join(back, ["source", "at"]).select("source", "target", "hops", F.concat(F.array("at"), "path").alias("path"), F.col("next").alias("at"))
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:

@@ -58,6 +58,19 @@ def test_no_pairs_and_no_edges(spark):
     assert paths.shortest(frame(spark, []), spark.createDataFrame([("a", "b")], "source string, target string")).count() == 0
 
 
+def test_many_sources_share_a_row_of_a_round(spark, monkeypatch):
+    monkeypatch.setattr(paths, "BITS", 4)
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(35)]
+    sources = [f"n{k:02}" for k in range(0, 25, 2)] + ["zz"]
+    df = paths.reached(frame(spark, edges), spark.createDataFrame([(s,) for s in sources], "source string"), 4, undirected=True)
+    both = [*edges, *((b, a) for a, b in edges)]
+    want = {(s, n, h, search(both, s)[1].get(n)) for s in sources for n, h in search(both, s)[0].items() if h <= 4}
+    assert {tuple(r) for r in df.collect()} == want and df.count() == len(want)
+    got = {(r["source"], r["target"]): r["path"] for r in paths.walked(df).collect()}
+    assert got == {(s, t): p for s, t, _, p in brute(both, [w[:2] for w in want], 4)}
+
+
 def mutual(edges):
     nodes = {x for e in edges for x in e}
     reach = {n: set(search(edges, n)[0]) for n in nodes}
