@@ -375,3 +375,20 @@ def test_new_rows_and_conversations_in_a_stream(spark, tmp_path):
     windows.conversation_state(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c2").trigger(once=True).start(f"{tmp_path}/o2").awaitTermination(60)
     got = {(r["conversation"], r["turn"]): (r["held"], r["company"]) for r in spark.read.parquet(f"{tmp_path}/o2").collect()}
     assert got["x", 1] == (2, None) and got["x", 10] == (8, "Acme") and got["y", 0] == (1, None) and len(got) == 12
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_companies_are_resolved_by_equal_substrings(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "BROADCAST_TERMS", most)
+    names = ["Acme Holdings", "ACME", "Straße AG", "aaaa", "", None, "Zeta acme Zeta"]
+    rows = [(str(k), f"T{k}", n) for k, n in enumerate(names)]
+    asked = ["acme", "Acme H", "t3", "aa", "", "ß", "zeta acme zeta and more", "nobody", None, "holdings"]
+    c = spark.createDataFrame(rows, "cik string, ticker string, name string")
+    out = chat.resolved_companies(spark.createDataFrame([(t, None) for t in asked], "term string, cik string"), c)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = set()
+    for t in asked:
+        hits = [(len(n) if n is not None else -1, k, n) for k, tick, n in rows if t is not None and (tick.lower() == t.lower() or n is not None and t.lower() in n.lower())]
+        want.add((t, *(min(hits)[1:] if hits else (None, None))))
+    assert {tuple(r) for r in out.collect()} == want
