@@ -3,6 +3,7 @@
 import datetime
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,22 @@ def test_search_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, vectors.search(e, e.where("vec_id < 40"), "vec_id", "embedding", 5).collect())) == want and len(want) == 200
 
 
+@pytest.mark.parametrize("scores", [1024, 4096])
+def test_search_by_parts_of_the_queries_keeps_ties(spark, monkeypatch, scores):
+    monkeypatch.setattr(vectors, "SCORES", scores)
+    rng = np.random.default_rng(3)
+    m = rng.integers(-1, 2, (3000, 4)).astype(float)  # few directions, so most scores are ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    got = {}
+    for q, i, _, rank in vectors.search(df, df.where("id < 9"), "id", "v", 10).collect():
+        got.setdefault(q, []).append((rank, i))
+    length = np.sqrt((m * m).sum(axis=1))
+    ok = length > 0
+    for q in range(9):
+        s = np.where(ok, np.round(m @ m[q] / np.where(ok, length, 1) / (length[q] or 1), 9), -9)
+        assert [i for _, i in sorted(got.get(q, []))] == (list(np.lexsort((np.arange(3000), -s))[:10]) if ok[q] else [])
+
+
 def test_filters_and_hits(spark):
     tree = vectors.filters(company=" acme ", years=(2020, 2022), section="management_discussion", forward=True)
     rows = [("a", "ACME", 2021, "mda", True, [1.0, 0.0]), ("b", "ACME", 2019, "mda", True, [1.0, 0.0]), ("c", "X", 2021, "mda", True, [1.0, 0.0]), ("d", "ACME", 2022, "mda", True, [0.0, 1.0])]
