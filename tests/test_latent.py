@@ -52,6 +52,22 @@ def test_space_is_that_of_the_whole_matrix(spark, monkeypatch, most):
     assert np.allclose(x @ x.T, want @ want.T, atol=1e-6)
 
 
+@pytest.mark.parametrize("most", [0, 6, 11])
+def test_terms_of_few_texts_are_joined_and_the_others_sent(spark, monkeypatch, most):
+    monkeypatch.setattr(latent, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(latent, "WORDS", 3 * most)
+    monkeypatch.setattr(latent, "PART", 16)
+    texts = invented(60)
+    df = spark.createDataFrame(texts, "term long, w string").repartition(4)
+    held = latent.space(df, "term", "w", 5)
+    _, _, a = matrix(texts)
+    _, s, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(held.strengths, s[:5], rtol=1e-6)
+    got = {r[0]: r[1] for r in held.embed(df, "term", "w").collect()}
+    x, want = np.array([got[i] for i, _ in texts]), a @ right[:5].T
+    assert np.allclose(x @ x.T, want @ want.T, atol=1e-6)
+
+
 def test_rank_and_emptiness(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "a b")], "k long, t string")
     assert np.allclose(latent.space(df, "k", "t", 4).strengths, [3**0.5])
