@@ -409,3 +409,17 @@ def test_companies_are_resolved_by_equal_substrings(spark, monkeypatch, most):
         hits = [(len(n) if n is not None else -1, k, n) for k, tick, n in rows if t is not None and (tick.lower() == t.lower() or n is not None and t.lower() in n.lower())]
         want.add((t, *(min(hits)[1:] if hits else (None, None))))
     assert {tuple(r) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("group", [64, 128, 1 << 15])
+def test_sharing_by_pairs_of_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(graph, "GROUP", group)
+    monkeypatch.setattr(graph, "HELD", 3)
+    rng = np.random.default_rng(2)
+    edges = [(int(a) * 10**12 - 5, f"o{b}") for a, b in rng.integers(0, [400, 90], (500, 2))]
+    of = {}
+    for a, b in edges:
+        of.setdefault(a, set()).add(b)
+    want = {a: n for a in of if (n := sum(b > a and bool(of[a] & of[b]) for b in of))}
+    df = spark.createDataFrame([*edges, *edges[:9], (7, None), (None, "o1")], "subject long, object string")
+    assert {r["subject"]: r["sharing"] for r in graph.sharing(df).collect()} == want
