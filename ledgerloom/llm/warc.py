@@ -90,19 +90,22 @@ def write_archive(pages: DataFrame, least: int = 0, date: str | None = None) ->
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """The records as they were: header, http (head), payload (whole, for revisits too), block (as stored in a WARC file).
+    """The records as they were: header, http (head), payload (whole, for revisits too), block (as stored in a WARC file), size and sha1 of the payload.
 
-    A payload that doesn't match its address, or the SHA-1 in a header, stops the read.
+    A payload that doesn't match its address, or the SHA-1 in a header, stops the read. size and sha1
+    are taken where the payload is read: who wants no more than these moves no payloads.
     """
     heads = spark.read.schema("page_id long, header string, http string, address string, revisit boolean").parquet(f"{folder}/headers")
     held = spark.read.schema("address string, payload binary").parquet(f"{folder}/payloads")
     fault = F.raise_error(F.concat(F.lit("a payload doesn't match its address "), F.col("address"))).cast("binary")
     held = held.select("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(fault).alias("payload"))
+    held = held.select("address", "payload", F.octet_length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"))
     block = F.concat(F.col("http").cast("binary"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")))
     said = F.regexp_extract("header", "(?m)^WARC-Payload-Digest: sha1:(\\w+)", 1)
     fault = F.raise_error(F.concat(F.lit("a payload doesn't match its header: "), said)).cast("binary")
-    both = heads.join(held, "address").withColumn("payload", F.when(base32_sha1(F.col("payload")) == said, F.col("payload")).otherwise(fault))
-    return both.select("header", "http", "payload", block.alias("block"))
+    same = F.col("sha1") == said
+    both = heads.join(held, "address").withColumns({"payload": F.when(same, F.col("payload")).otherwise(fault), "sha1": F.when(same, F.col("sha1")).otherwise(fault.cast("string"))})
+    return both.select("header", "http", "payload", block.alias("block"), F.when(F.col("sha1").isNotNull(), F.col("size")).alias("size"), "sha1")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -115,8 +118,8 @@ def fields(records: DataFrame) -> DataFrame:
     field = lambda pattern: F.nullif(F.regexp_extract("header", pattern, 1), F.lit(""))
     return records.select(
         F.nullif(field("(?m)^WARC-Record-ID: <urn:page:([^:>]*):"), F.lit("null")).cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        field("(?m)^WARC-Payload-Digest: sha1:(\\w+)").alias("payload_digest"),
+        F.col("size").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
         field("(?m)^WARC-Type: (\\w+)").alias("record_type"),
         field("(?m)^WARC-Refers-To: <urn:page:([^:>]*):").cast("long").alias("refers_to"),
     )

@@ -159,3 +159,22 @@ def test_archive(spark, least):
 def test_archive_query(spark):
     rows = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in warc.op8_content_addressed_warc(spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_reading_what_headers_say_shuffles_no_payload(spark):
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(9)], "page_id long, url string, html string")
+    records = warc.read_archive(spark, warc.write_archive(pages))
+    said = warc.fields(records)
+    plan = spark._jvm.PythonSQLUtils.explainString(said._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"(?:Exchange|Join)[^\n]*\n(?:Input|Left keys|Output)[^\n]*", plan)
+    assert moved and not any("payload" in m for m in moved)
+
+
+def test_a_payload_that_was_changed_stops_the_read(spark):
+    pages = spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")
+    folder = warc.write_archive(pages)
+    address = spark.read.parquet(f"{folder}/payloads").first()["address"]
+    spark.createDataFrame([(address, b"abd")], "address string, payload binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+    for c in ("payload_bytes", "payload_digest"):
+        with pytest.raises(Exception, match="match its address"):
+            warc.fields(warc.read_archive(spark, folder)).select(c).collect()
