@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
@@ -48,24 +48,62 @@ def _or(*options: Column | str) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in some], last)
 
 
-def typed_nodes(documents: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
-    """Every mention of a known type: document columns, pos, label, node_id, key (its name in the index), properties.
+#: Types whose nodes are numbered in their document.
+NUMBERED = ["RiskFactor", "Mitigation", "ManagementOutlook"]
 
-    tickers(ticker, cik) resolves competitors by the first word of their name. Repeated mentions of
-    one node are still several rows.
+
+def _rivals(documents: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Documents, staged, with rivals: a map from the tickers that begin their competitors' names to ciks."""
+    documents = stage(documents.withColumn("_row", F.monotonically_increasing_id()), "records")
+    known = tickers.select(F.upper("ticker").alias("_ticker"), text.cik(F.col("cik")).alias("_cik")).groupBy("_ticker").agg(F.max("_cik").alias("_cik"))
+    named = F.transform(F.filter("nodes", lambda n: n["type"] == "Competitor"), _ticker)
+    found = documents.select("_row", F.explode(F.array_distinct(named)).alias("_ticker")).join(known, "_ticker")
+    found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_ticker", "_cik"))).alias("rivals"))
+    return documents.join(found, "_row", "left").drop("_row")
+
+
+def _ticker(n: Column) -> Column:
+    """The first word of a node's name."""
+    return F.get(F.split(F.upper(F.trim(n["name"])), r"\s+"), F.lit(0))
+
+
+def mentioned(documents: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """Documents with mentions: an array, in order, of the first mention of each node of a known type.
+
+    A mention has pos (the raw node's place), label, node_id, key (its name in the index) and rival_cik.
+    tickers(ticker, cik) resolves competitors by the first word of their name. All is done inside a
+    document's row, so nothing is shuffled but tickers.
     """
-    d = documents.select(*META, F.posexplode("nodes").alias("pos", "n"))
-    n = {k: F.col(f"n.{k}") for k in NODE}
-    own = [F.col(c).cast("string") for c in DOCUMENT]
-    place = Window.partitionBy(*DOCUMENT, "n.type").orderBy("pos")
-    d = d.withColumn("seq", F.when(n["type"].isin("RiskFactor", "Mitigation", "ManagementOutlook"), F.row_number().over(place)))
     if tickers is not None:
-        known = tickers.select(F.upper("ticker").alias("_ticker"), text.cik(F.col("cik")).alias("_cik")).groupBy("_ticker").agg(F.max("_cik").alias("rival_cik"))
-        first = F.get(F.split(F.upper(F.trim(n["name"])), r"\s+"), F.lit(0))
-        d = d.withColumn("_ticker", F.when(n["type"] == "Competitor", first)).join(known, "_ticker", "left")
-    else:
-        d = d.withColumn("rival_cik", F.lit(None).cast("string"))
-    cik, accession, year, seq = own[0], own[1], F.col("fiscal_year"), F.col("seq")
+        documents = _rivals(documents, tickers)
+    # lets, as what is referred to in a lambda would be found again for each node
+    places = F.struct(*(F.array_compact(F.transform("nodes", lambda n, i: F.when(n["type"] == t, i))).alias(t) for t in NUMBERED))  # noqa: B023
+    nothing = F.lit(None).cast("string")
+
+    def one(n: Column, i: Column, at: Column) -> Column:
+        seq = F.coalesce(*[F.when(n["type"] == t, F.array_position(at[t], i)) for t in NUMBERED])
+        rival = F.when(n["type"] == "Competitor", F.col("rivals")[_ticker(n)]) if tickers is not None else nothing
+        rules = _rules(n, seq, rival)
+        pick = lambda k: reduce(lambda c, t: c.when(n["type"] == t, rules[t][k]), rules, F)
+        return F.struct(i.alias("pos"), n["type"].alias("label"), pick(0).alias("node_id"), pick(1).alias("key"), rival.alias("rival_cik"))
+
+    # a node without an identifier is one of its own
+    known = text.let(places, lambda at: F.filter(F.transform("nodes", lambda n, i: one(n, i, at)), lambda m: m["label"].isin(*TYPES)))
+    name = lambda m: F.coalesce(m["node_id"], F.lit("\0"))
+    first = text.let(known, lambda ms: text.let(F.transform(ms, name), lambda ids: F.filter(ms, lambda m, i: F.array_position(ids, name(m)) == i + 1)))
+    return documents.withColumn("mentions", first).drop("rivals")
+
+
+#: Types that are known.
+TYPES = [
+    "RiskFactor", "RiskDriver", "RiskConsequence", "Mitigation", "BusinessSegment", "Product", "GeographicMarket", "CustomerSegment", "Competitor", "Regulation",
+    "FinancialMetric", "Driver", "MacroFactor", "ManagementOutlook",
+]
+
+
+def _rules(n: Column, seq: Column, rival_cik: Column) -> dict[str, tuple[Column, Column, Column]]:
+    """For each type: identifier, name in the index, name shown."""
+    cik, accession, year = F.col("cik").cast("string"), F.col("accession").cast("string"), F.col("fiscal_year")
     of = lambda prefix, name: F.concat(F.lit(prefix), text.slugify(name))
     in_year = lambda kind, name: F.concat(F.format_string(f"%s_%d_{kind}_", cik, year), text.slugify(name))
     plain = lambda default: F.coalesce(n["name"], F.lit(default))
@@ -73,13 +111,12 @@ def typed_nodes(documents: DataFrame, tickers: DataFrame | None = None) -> DataF
     risk = F.coalesce(n["title"], F.lit("Untitled Risk"))
     driver, consequence = _or(n["title"], n["name"], "Unknown Driver"), _or(n["title"], n["name"], "Unknown Consequence")
     mitigation = _or(n["description"], n["title"], "")
-    iso = _or(n["iso_code"], text.market_code(F.coalesce(n["name"], F.lit(""))))
+    iso = _iso(n)
     segment = _or(n["name"], n["label"], "Unknown")
     outlook = _or(n["text"], n["name"], n["description"], "")
     mitigation_id = F.format_string("mit_%s_%s_%04d", cik, accession, seq)
     rival = plain("Unknown Competitor")
-    # type: identifier, name in the index, name shown
-    rules = {
+    return {
         "RiskFactor": (F.format_string("%s_%s_risk_%04d", cik, accession, seq), F.lower(risk), risk),
         "RiskDriver": (of("rd_", driver), F.lower(driver), driver),
         "RiskConsequence": (of("rc_", consequence), F.lower(consequence), consequence),
@@ -88,19 +125,31 @@ def typed_nodes(documents: DataFrame, tickers: DataFrame | None = None) -> DataF
         "Product": (in_year("prod", plain("Unknown Product")), F.lower(plain("Unknown Product")), plain("Unknown Product")),
         "GeographicMarket": (F.concat(F.lit("geo_"), F.lower(iso)), F.lower(plain("")), _or(n["name"], iso)),
         "CustomerSegment": (of("cs_", segment), F.lower(segment), segment),
-        "Competitor": (F.coalesce(F.concat(F.lit("comp_"), "rival_cik"), of("comp_", rival)), F.lower(rival), rival),
+        "Competitor": (F.coalesce(F.concat(F.lit("comp_"), rival_cik), of("comp_", rival)), F.lower(rival), rival),
         "Regulation": (of("reg_", plain("Unknown Regulation")), F.lower(plain("Unknown Regulation")), plain("Unknown Regulation")),
         "FinancialMetric": (F.concat(cik, F.lit("_"), accession, F.lit("_metric_"), text.slugify(plain("Unknown Metric"))), F.lower(plain("Unknown Metric")), plain("Unknown Metric")),
         "Driver": (of("drv_", plain("Unknown Driver")), F.lower(plain("Unknown Driver")), plain("Unknown Driver")),
         "MacroFactor": (of("macro_", plain("Unknown Factor")), F.lower(plain("Unknown Factor")), plain("Unknown Factor")),
         "ManagementOutlook": (F.format_string("%s_%s_outlook_%04d", cik, accession, seq), F.lower(F.substring(outlook, 1, 40)), outlook),
     }
-    pick = lambda k: F.coalesce(*[F.when(n["type"] == t, r[k]) for t, r in rules.items()])
+
+
+def _iso(n: Column) -> Column:
+    return _or(n["iso_code"], text.market_code(F.coalesce(n["name"], F.lit(""))))
+
+
+def typed_nodes(mentions: DataFrame) -> DataFrame:
+    """A row each of mentioned()'s mentions: document columns, pos, label, node_id, key, properties."""
+    d = mentions.select(*META, F.explode(F.transform("mentions", lambda m: F.struct(m.alias("m"), F.get("nodes", m["pos"]).alias("n")))).alias("x")).select(*META, "x.m.*", "x.n")
+    n = {k: F.col(f"n.{k}") for k in NODE}
+    own = [F.col(c).cast("string") for c in DOCUMENT]
+    cik, accession, year, iso = own[0], own[1], F.col("fiscal_year"), _iso(n)
+    shown = {t: r[2] for t, r in _rules(n, F.lit(None), F.col("rival_cik")).items()}
     only = lambda value, *types: F.when(n["type"].isin(*types), value)
     described = F.coalesce(n["description"], F.lit(""))
     filed = ("RiskFactor", "Mitigation", "FinancialMetric", "ManagementOutlook")
     props = {
-        "name": pick(2),
+        "name": F.coalesce(*[F.when(n["type"] == t, c) for t, c in shown.items()]),
         "description": F.when(n["type"] == "RiskFactor", described).otherwise(only(n["description"], "BusinessSegment")),
         "category": only(n["category"], "RiskFactor", "Product"),
         "is_new": only(F.coalesce(n["is_new"], F.lit(False)), "RiskFactor"),
@@ -128,9 +177,8 @@ def typed_nodes(documents: DataFrame, tickers: DataFrame | None = None) -> DataF
         "jurisdiction": only(n["jurisdiction"], "Regulation"),
     }
     missing = {k: F.lit(None).cast(v) for k, v in PROPERTIES.items() if k not in props}
-    known = d.where(n["type"].isin(*rules))
-    return known.select(
-        *[c.alias(f"_{k}") for k, c in zip(DOCUMENT, own)], F.col("fiscal_year").alias("_year"), "pos", n["type"].alias("label"), pick(0).alias("node_id"), pick(1).alias("key"),
+    return d.select(
+        *[c.alias(f"_{k}") for k, c in zip(DOCUMENT, own)], F.col("fiscal_year").alias("_year"), "pos", "label", "node_id", "key",
         *[(props | missing)[k].cast(v).alias(k) for k, v in PROPERTIES.items()],
     )
 
@@ -151,34 +199,28 @@ def base_nodes(documents: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _first_mentions(mentions: DataFrame) -> DataFrame:
-    """Of the mentions of one node in a document the first."""
-    keys = ["_cik", "_accession", "_section_type", "node_id"]
-    rest = [c for c in mentions.columns if c not in keys]
-    return mentions.groupBy(*keys).agg(F.min_by(F.struct(*rest), "pos").alias("m")).select(*keys, "m.*")
-
-
-def resolved(documents: DataFrame, first: DataFrame) -> DataFrame:
-    """Relations with both ends resolved: document columns, pos, subject_id, relation_type, object_id.
+def resolved(mentions: DataFrame) -> DataFrame:
+    """Relations of mentioned() with both ends resolved: document columns, pos, subject_id, relation_type, object_id.
 
     A name is the node of that name in its document; or the company where one name holds the other;
     or the first node in order whose name starts with the name's first 20 characters. Relations of
     unknown type or with an end that stays open are dropped.
     """
     doc = ["_cik", "_accession", "_section_type"]
-    d = documents.select(*[F.col(c).cast("string").alias(f"_{c}") for c in DOCUMENT], F.lower(F.coalesce("company_name", F.lit(""))).alias("company"), F.col("fiscal_year").alias("_year"), "relations")
-    known = F.filter("relations", lambda r: r["relation"].isin(*fixed.RELATIONS))
-    d = d.withColumn("relations", F.coalesce(known, F.array().cast(RELATIONS_SCHEMA))).where(F.size("relations") > 0)
-    index = first.groupBy(*doc).agg(F.collect_list(F.struct("pos", "key", "node_id")).alias("keys"))
-    # a document's names and relations are one row: names are looked up in it
-    company = F.struct(F.lit(-1).alias("pos"), F.col("company").alias("key"), F.col("_cik").alias("node_id"))
-    d = d.join(index, doc, "left").withColumn("keys", F.concat(F.coalesce("keys", F.array()), F.array(company)))
-    of = lambda name: F.array_max(F.filter("keys", lambda k: (k["key"] == name) & k["node_id"].isNotNull()))["node_id"]
+    m = mentions.select(
+        *[F.col(c).cast("string").alias(f"_{c}") for c in DOCUMENT], F.lower(F.coalesce("company_name", F.lit(""))).alias("company"), F.col("fiscal_year").alias("_year"),
+        F.filter("relations", lambda r: r["relation"].isin(*fixed.RELATIONS)).alias("relations"), F.col("mentions.key").alias("_keys"), F.col("mentions.node_id").alias("_ids"),
+    ).where("size(relations) > 0")
+    # the company comes before all nodes; of equal names the last counts
+    d = m.withColumns({"keys": F.concat(F.array("company"), F.coalesce("_keys", F.array())), "node_ids": F.concat(F.array("_cik"), F.coalesce("_ids", F.array()))})
+    last = F.reverse(F.zip_with("keys", "node_ids", lambda k, i: F.when(i.isNotNull(), k)))
+    d = d.withColumns({"last_keys": last, "last_ids": F.reverse("node_ids")})
+    of = lambda name: F.get("last_ids", F.array_position("last_keys", name).cast("int") - 1)
 
     def found(name: Column) -> Column:
         by_company = F.when(F.col("company").contains(name) | name.contains(F.col("company")), F.col("_cik"))
-        near = F.array_min(F.filter("keys", lambda k: (F.substring(k["key"], 1, 1) == F.substring(name, 1, 1)) & k["key"].startswith(F.substring(name, 1, 20))))["key"]
-        return F.when(name != "", F.coalesce(of(name), by_company, of(near)))
+        near = F.get(F.filter("keys", lambda k: (F.substring(k, 1, 1) == F.substring(name, 1, 1)) & k.startswith(F.substring(name, 1, 20))), F.lit(0))
+        return F.when(name != "", F.coalesce(of(name), by_company, text.let(near, of)))
 
     end = lambda r, e: F.lower(F.coalesce(r[f"{e}_title"], F.lit("")))
     # each different name once
@@ -198,9 +240,9 @@ def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: st
     ignored; FILED_IN is made for years of the chain alone.
     """
     items = [c for c in ("nodes", "relations") if c in documents.columns]
-    documents = stage(documents.select(*META, *items), "records")  # read by six branches below
-    mentions = typed_nodes(documents, tickers)
-    first = stage(_first_mentions(mentions), "mentions")  # read by five branches below
+    absent = {c: F.lit(None).cast(t) for c, t in (("nodes", NODES_SCHEMA), ("relations", RELATIONS_SCHEMA)) if c not in items}
+    documents = stage(mentioned(documents.select(*META, *items).withColumns(absent), tickers), "mentions")  # read by all branches below
+    first = typed_nodes(documents)
     order = lambda a, pos: F.struct(F.col(a).alias("accession"), F.col(pos).cast("int").alias("pos")).alias("seq")
     props = ["node_id", "label", *PROPERTIES]
     nodes = base_nodes(documents).select(*props, order("_order", "pos")).unionByName(first.select(*props, order("_accession", "pos")))
@@ -210,12 +252,15 @@ def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: st
     section = text.section_id(F.col("_cik"), F.col("_accession"), F.col("_section_type"))
     edge = lambda df, a, r, b, pos=F.lit(-1): df.select("_cik", "_accession", "_section_type", "_year", pos.alias("pos"), a.alias("subject_id"), F.lit(r).alias("relation_type"), b.alias("object_id"))
     implied = {"RiskFactor": "HAS_RISK", "FinancialMetric": "REPORTS", "ManagementOutlook": "HAS_OUTLOOK"}
+    of = F.explode(F.arrays_zip(*(F.col(f"mentions.{c}").alias(c) for c in ("pos", "label", "node_id")))).alias("m")
+    met = documents.select(s("cik").alias("_cik"), s("accession").alias("_accession"), F.col("section_type").cast("string").alias("_section_type"), F.col("fiscal_year").alias("_year"), of)
+    met = met.select("_cik", "_accession", "_section_type", "_year", "m.*")
     parts = [
         edge(doc, F.col("_accession"), "FILED_BY", F.col("_cik")),
         edge(doc, F.col("_accession"), "HAS_SECTION", section),
         edge(doc.where(F.col("_year").between(fixed.FIRST_YEAR, fixed.LAST_YEAR)), F.col("_accession"), "FILED_IN", F.format_string("fy_%d", "_year")),
-        *[edge(first.where(F.col("label") == label), F.col("_cik"), r, F.col("node_id"), F.col("pos")) for label, r in implied.items()],
-        resolved(documents, first).withColumn("pos", F.col("pos") + 1_000_000).select("_cik", "_accession", "_section_type", "_year", "pos", "subject_id", "relation_type", "object_id"),
+        *[edge(met.where(F.col("label") == label), F.col("_cik"), r, F.col("node_id"), F.col("pos")) for label, r in implied.items()],
+        resolved(documents).withColumn("pos", F.col("pos") + 1_000_000).select("_cik", "_accession", "_section_type", "_year", "pos", "subject_id", "relation_type", "object_id"),
     ]
     edges = reduce(DataFrame.unionByName, parts)
     return nodes, edges.select(

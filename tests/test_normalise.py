@@ -142,3 +142,13 @@ def test_empty(spark):
     docs = normalise.parsed(spark.createDataFrame([], META + ", raw string"))
     nodes, edges = normalise.normalise(docs)
     assert nodes.count() == 0 and edges.count() == 0
+
+
+def test_mentions_are_made_inside_a_documents_row(spark):
+    record = {"nodes": [{"type": "RiskFactor", "title": "A"}, {"type": "Competitor", "name": "Beta"}, {"type": "Other"}, {"type": "Competitor", "name": "beta"}, {"type": "RiskFactor", "title": "A"}]}
+    docs = normalise.parsed(spark.createDataFrame([("1", "a", "mda", "T", "Acme", "10-K", None, 2020, 9, json.dumps(record))], META + ", raw string"))
+    found = normalise.mentioned(docs)
+    assert [(m["pos"], m["node_id"]) for m in found.first()["mentions"]] == [(0, "1_a_risk_0001"), (1, "comp_beta"), (4, "1_a_risk_0002")]
+    nodes, edges = normalise.normalise(docs)
+    for df in (found, nodes, edges):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
