@@ -21,7 +21,7 @@ from ledgerloom.shared import Table, stage
 SAMPLE, MOST_LISTS = 50_000, 4_096
 #: Codes of a part of a vector, and dimensions of a part at least.
 CODES, PART = 256, 4
-#: Rows of a list, and queries of a list, that one task compares.
+#: Rows of a group of lists, and queries, that one task compares.
 ROWS, QUERIES = 50_000, 2_000
 #: Lists that a query reads, as a share of all, and candidates with exact scores, as a multiple of k.
 SHARE, EXACT = 0.25, 8
@@ -57,6 +57,18 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[at : at + 4096] @ centres.T - half, axis=1) for at in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
+def grouped(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """Lists that follow one another, put together to groups of ROWS rows at most: each group's end, and blocks that its rows are dealt to (1 but for a list of more)."""
+    ends, rows = [], []
+    for at, n in enumerate(sizes, 1):
+        if ends and rows[-1] + n <= ROWS:
+            ends[-1], rows[-1] = at, rows[-1] + n
+        else:
+            ends.append(at)
+            rows.append(n)
+    return ends, [max(1, -(-n // ROWS)) for n in rows]
+
+
 @dataclasses.dataclass
 class Model:
     """Centres of the lists; for each part of a vector its dimensions and the centres of what the lists leave over."""
@@ -155,9 +167,9 @@ class Index:
         """query, id, score and rank of about the k nearest rows of each query, ties by id.
 
         A query reads share of the lists, the nearest ones, and gets exact scores for its exact * k
-        best rows there. A list's rows and its queries are dealt to blocks, so a list that holds much
-        of the table is no one task's; a block keeps exact * k rows a query. Queries without a
-        usable vector find nothing.
+        best rows there. Lists are put together to groups of ROWS rows, and a list of more is dealt to
+        blocks, so a list that holds much of the table is no one task's; a group keeps exact * k rows
+        a query, however many lists it has. Queries without a usable vector find nothing.
         """
         model, out = self.model(), f"query long, {'id'} long, score double, rank int"
         if model is None:
@@ -165,44 +177,61 @@ class Index:
         shared, width, n_lists = self.spark.sparkContext.broadcast(model), model.centres.shape[1], len(model.centres)
         probes = max(1, min(n_lists, int(np.ceil(share * n_lists))))
 
+        base = self.table.read()
+        # a row a list, of which there are MOST_LISTS at most
+        sizes = {r["list"]: r["count"] for r in base.groupBy("list").count().collect()}
+        ends, blocks = grouped([sizes.get(i, 0) for i in range(n_lists)])
+
         def probed(batches):
             for b in batches:
                 x = unit(b.column(1), width)
                 ok = np.flatnonzero(np.isfinite(x).all(axis=1))
                 m = shared.value
                 of = np.argsort((m.centres**2).sum(axis=1) / 2 - x[ok] @ m.centres.T, axis=1, kind="stable")[:, :probes]
-                each = np.repeat(ok, probes)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array(of.ravel().astype(np.int32))], names=["query", "q", "list"])
+                asked = np.zeros((len(ok), n_lists), bool)
+                np.put_along_axis(asked, of, True, axis=1)
+                for g, (start, end) in enumerate(zip([0, *ends], ends)):
+                    own = np.flatnonzero(asked[:, start:end].any(axis=1))
+                    bits = pa.array([r.tobytes() for r in np.packbits(asked[own, start:end], axis=1)], pa.binary())
+                    rows = pa.array(ok[own])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.full(len(own), g, np.int32)), bits], names=["query", "q", "g", "lists"])
 
         wanted = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q")).where("query IS NOT NULL AND q IS NOT NULL")
-        asked = stage(wanted.dropDuplicates(["query"]).mapInArrow(probed, "query long, q array<double>, list int"), "probes")
-        base = self.table.read()
-        # a row for each list: how many blocks its rows and its queries are dealt to
-        sizes = base.groupBy("list").agg(F.count("*").alias("rows")).join(asked.groupBy("list").agg(F.count("*").alias("queries")), "list")
-        blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int").alias(f"{n}_blocks")
-        sizes = stage(sizes.select("list", blocks("rows", ROWS), blocks("queries", QUERIES)), "blocks")
-        dealt = lambda df, own, n, other, m: df.join(F.broadcast(sizes), "list").withColumn(own, F.pmod(F.xxhash64("id" if own == "i" else "query"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-        left = dealt(base.select("id", "list", "codes"), "i", "rows_blocks", "j", "queries_blocks").select("list", "i", "j", "id", "codes")
-        right = dealt(asked, "j", "queries_blocks", "i", "rows_blocks").select("list", "i", "j", "query", "q")
+        wanted = stage(wanted.dropDuplicates(["query"]), "queries")
+        n_blocks = -(-max(wanted.count(), 1) // QUERIES)
+        group_of = F.array(*(F.lit(int(g)) for g in np.searchsorted(ends, np.arange(n_lists), side="right")))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+        n_rows = lambda: F.get(F.array(*(F.lit(n) for n in blocks)), F.col("g"))
+        left = base.select("id", "list", "codes", F.get(group_of, F.col("list")).alias("g")).withColumn("i", deal("id", n_rows())).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        right = wanted.mapInArrow(probed, "query long, q array<double>, g int, lists binary")
+        right = right.withColumn("j", deal("query", F.lit(n_blocks))).withColumn("i", F.explode(F.sequence(F.lit(0), n_rows() - 1)))
         most = exact * k
 
         def best(of, rows: pa.Table, asked: pa.Table) -> pa.Table:
             found = []
             if rows.num_rows and asked.num_rows:
+                start = ([0, *ends])[of[0].as_py()]
+                rows = rows.sort_by("list")
                 codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-                ids, x = rows.column("id").to_numpy(), unit(asked.column("q").combine_chunks(), width)
+                ids, lists, x = rows.column("id").to_numpy(), rows.column("list").to_numpy(), unit(asked.column("q").combine_chunks(), width)
+                bits = np.unpackbits(np.array([np.frombuffer(v, np.uint8) for v in asked.column("lists").to_pylist()]), axis=1).astype(bool)
+                held, at_row = np.unique(lists, return_index=True)
                 for at in range(0, len(x), 64):
-                    s = shared.value.scores(x[at : at + 64], of[0].as_py(), codes)
+                    s = np.full((len(x[at : at + 64]), len(ids)), -np.inf)
+                    for one, a, b in zip(held, at_row, [*at_row[1:], len(ids)]):
+                        q = np.flatnonzero(bits[at : at + 64, one - start])
+                        s[q, a:b] = shared.value.scores(x[at + q], one, codes[a:b])
                     top = np.argpartition(-s, min(most, s.shape[1]) - 1, axis=1)[:, :most]
-                    q = np.repeat(asked.column("query").to_numpy()[at : at + 64], top.shape[1])
-                    found.append((q, ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
-            q, i, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            return pa.table({"query": q, "id": i, "list": pa.array(np.full(len(q), of[0].as_py()), pa.int32()), "near": s})
+                    near, q = np.take_along_axis(s, top, 1), np.repeat(asked.column("query").to_numpy()[at : at + 64], top.shape[1])
+                    read = np.isfinite(near.ravel())
+                    found.append((q[read], ids[top].ravel()[read], lists[top].ravel()[read], near.ravel()[read]))
+            q, i, of, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
+            return pa.table({"query": q, "id": i, "list": of, "near": s})
 
-        some = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(best, "query long, id long, list int, near double")
+        some = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(best, "query long, id long, list int, near double")
         place = lambda *by: F.row_number().over(Window.partitionBy("query").orderBy(*by))
         some = some.withColumn("place", place(F.desc("near"), "id")).where(F.col("place") <= most).select("query", "id", "list")
-        whole = some.join(base.select("id", "list", "v"), ["list", "id"]).join(wanted.dropDuplicates(["query"]), "query")
+        whole = some.join(base.select("id", "list", "v"), ["list", "id"]).join(wanted, "query")
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         v = F.col("v").cast("array<double>")
         scored = whole.select("query", "id", (dot("q", v) / F.sqrt(dot("q", "q") * dot(v, v))).alias("s"))

@@ -1,5 +1,7 @@
 """The approximate index against exact search."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -61,3 +63,15 @@ def test_unit_of_sliced_columns():
     got = vectors.unit(column.slice(1), 2)
     assert np.isnan(got[[0, 1, 2, 4]]).any(axis=1).all() and got[3].tolist() == [0, 1]
     assert vectors.unit(column, 2)[0].tolist() == [0.6, 0.8]
+
+
+def test_lists_are_put_together_so_that_candidates_dont_grow_with_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 30)
+    assert ann.grouped([10, 20, 1, 0, 70, 5, 5]) == ([2, 4, 5, 7], [1, 1, 3, 1])
+    monkeypatch.undo()
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index = ann.Index(spark, str(tmp_path / "i")).build(e, "vec_id", "embedding", 50)
+    found = index.search(e.where("vec_id < 20"), "vec_id", "embedding", 1, share=1.0, exact=1)
+    # a row a query from the one group of 50 lists, not one from each list
+    kept = found._jdf.queryExecution().toString()
+    assert found.count() == 20 and re.search(r"CoGroup\w* \[g#\d+, i#\d+, j#\d+\]", kept)
