@@ -36,10 +36,13 @@ def classes(items: DataFrame, owner: str, period: str, key: str, words: Column)
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest words of each set, as many as a set of that similarity must share one of, with their places by rarity."""
-    word = sets.select("c", "owner", "period", "n", F.explode("w").alias("word"))
+    # a set's words travel with its number alone, what else is known of it meets the prefixes
+    word = sets.select("c", F.explode("w").alias("word"))
     rare = word.groupBy("word").agg(F.count("*").alias("sets"))
-    place = F.row_number().over(Window.partitionBy("c").orderBy("sets", "word"))
-    return word.join(rare, "word").withColumn("p", place).where(f"p <= n - ({percent} * n + 99) div 100 + 1").drop("sets")
+    own = Window.partitionBy("c")
+    placed = word.join(rare, "word").withColumns({"p": F.row_number().over(own.orderBy("sets", "word")), "n": F.count("*").over(own)})
+    placed = placed.where(f"p <= n - ({percent} * n + 99) div 100 + 1").select("c", "word", "p")
+    return placed.join(sets.select("c", "owner", "period", "n"), "c")
 
 
 def links(sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -54,9 +57,11 @@ def links(sets: DataFrame, percent: int = 80) -> DataFrame:
     b = rows.select("owner", "period", "word", *(F.col(c).alias(f"{c}_b") for c in ("c", "n", "p")))
     need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND 1 + least(n_a - p_a, n_b - p_b) >= {need}"
-    met = a.join(b, ["owner", "period", "word"]).where(fits).select("owner", "period", "c_a", "c_b").distinct()
+    met = stage(a.join(b, ["owner", "period", "word"]).where(fits).select("owner", "period", "c_a", "c_b").distinct(), "met")
+    # only sets that met move once more
+    some = stage(sets.join(met.select(F.explode(F.array("c_a", "c_b")).alias("c")).distinct(), "c", "left_semi"), "sets")
     for side in "ab":
-        met = met.join(sets.select(*(F.col(c).alias(f"{c}_{side}") for c in SIDE)), f"c_{side}")
+        met = met.join(some.select(*(F.col(c).alias(f"{c}_{side}") for c in SIDE)), f"c_{side}")
     met = met.withColumn("shared", F.size(F.array_intersect("w_a", "w_b"))).where(f"100 * shared >= {percent} * (n_a + n_b - shared)")
     return met.select("owner", "period", *(f"{c}_{side}" for side in "ab" for c in SIDE if c != "w"), "shared")
 

@@ -59,3 +59,13 @@ def test_nothing(spark):
     sets = classes(spark, [])
     found = similar.links(sets)
     assert found.count() == 0 and similar.evolution(sets, found).count() == 0
+
+
+def test_sets_move_to_their_links_only_where_they_met(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(similar, "stage", lambda df, tag, f=similar.stage: staged.setdefault(tag, f(df, tag)))
+    rows = [(k, "x", k // 10, " ".join(f"w{k}_{i}" for i in range(9))) for k in range(18)] + [(18, "x", 1, " ".join(f"w0_{i}" for i in range(9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, period long, text string")
+    found = similar.links(similar.classes(docs, "lang", "period", "doc_id", similar.word_set(F.col("text"))))
+    assert [(r["key_a"], r["key_b"], r["shared"]) for r in found.collect()] == [(0, 18, 9)]
+    assert staged["sets"].count() == 2 and staged["prefixes"].count() == 19 * 2
