@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom import jobs
 from ledgerloom.operators import entities, names
@@ -91,3 +92,11 @@ def test_query_on_held_out_documents(spark):
     rows = [r for r in QUERIES["learnt_names"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     learnt, marked, both = (sum(r[c] for r in rows) for c in ("learnt", "marked", "both"))
     assert marked > 20 and 2 * both / (learnt + marked) > 0.9
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(names, "HELD", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["abcd", None, "efgh", "x" * 25, "", "y", "z" * 9])], names=["k", "text"])
+    cut = names.parts(batch)
+    assert [p.column(0).to_pylist() for p in cut] == [[0, 1, 2], [3, 4, 5], [6]] and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert names.parts(batch.slice(0, 0)) == []
