@@ -138,7 +138,9 @@ def write_glossary(found: DataFrame, path: str, *order: str, buckets: int = BUCK
     new sentences and the buckets of their terms only, and one that is run again changes nothing. The store after it.
     """
     spark = found.sparkSession
-    for name, rows in glossary.facts(found, *order).items():
+    for name, rows in glossary.told(found, *order).items():
+        # most sentences give a term once, so sources are put together by the merge alone
+        rows = rows if name == "sources" else glossary.combined(name, rows)
         # a term's facts are in one bucket
         Table(spark, f"{path}/{name}", buckets).merge(rows, ["key"], lambda both, name=name: glossary.combined(name, both))
     return read_glossary(spark, path)
