@@ -36,11 +36,17 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def occurrences(df: DataFrame, text: str) -> DataFrame:
-    """word, stop, mark and next of every token: its kind without the last full stop, whether it has one, or ends with ! or ?, and the next token's word."""
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), lambda t: t != "")
-    pairs = texts.let(F.transform(tokens, kind), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("k"), F.get(t, i + 1).alias("n"))))
-    rows = df.select(F.explode(pairs).alias("x")).select(F.col("x.k").alias("k"), F.col("x.n").alias("n"))
-    return rows.select(_bare(F.col("k")).alias("word"), F.col("k").endswith(".").alias("stop"), F.col("k").rlike("[!?]$").alias("mark"), _bare(F.col("n")).alias("next"))
+    """word, stop, mark, next and n: how often a token's kind without the last full stop is met, whether it has one, or ends with ! or ?, and the next token's word, null but after such ends.
+
+    Tokens are counted as they are written; only those that differ are looked at, and only those with a possible end go with the next.
+    """
+    tokens = df.select(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), "").alias("t"))
+    rows = tokens.select(F.inline(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t"))))).toDF("k", "x")
+    rows = rows.select("k", F.when(texts.holds_any(F.col("k"), ".!?"), F.col("x")).alias("x")).groupBy("k", "x").agg(F.count("*").alias("n"))
+    rows = rows.select(kind(F.col("k")).alias("k"), kind(F.col("x")).alias("x"), "n")
+    stop, mark = F.col("k").endswith("."), F.col("k").rlike("[!?]$")
+    rows = rows.select(_bare(F.col("k")).alias("word"), stop.alias("stop"), mark.alias("mark"), F.when(stop | mark, _bare(F.col("x"))).alias("next"), "n")
+    return rows.groupBy("word", "stop", "mark", "next").agg(F.sum("n").alias("n"))
 
 
 def _together(a: str, b: str, ab: str, n: float) -> Column:
@@ -59,8 +65,9 @@ def learn(df: DataFrame, text: str) -> dict[str, DataFrame]:
     chance, a collocation is an abbreviation and the word met after it more often than by chance.
     Null and empty texts have no tokens; a corpus without full stops teaches nothing.
     """
-    seen = occurrences(df, text)
-    counts = stage(seen.groupBy("word").agg(F.count("*").cast("double").alias("n"), F.count_if("stop").cast("double").alias("stops")), "word_counts")
+    seen = stage(occurrences(df, text), "occurrences")
+    times = lambda c="n": F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    counts = stage(seen.groupBy("word").agg(times().alias("n"), times(F.when(F.col("stop"), F.col("n"))).alias("stops")), "word_counts")
     n, stops = counts.agg(F.sum("n"), F.sum("stops")).first()
     n, stops = float(n or 0), float(stops or 0)
     inner = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
@@ -75,13 +82,13 @@ def learn(df: DataFrame, text: str) -> dict[str, DataFrame]:
 
     followed = seen.where("next IS NOT NULL")
     ends = followed.where("mark").unionByName(followed.where("stop AND NOT mark").join(near, "word", "left_anti"))
-    starts = stage(ends.groupBy(F.col("next").alias("word")).agg(F.count("*").cast("double").alias("starts")), "starts")
+    starts = stage(ends.groupBy(F.col("next").alias("word")).agg(times().alias("starts")), "starts")
     breaks = float(starts.agg(F.sum("starts")).first()[0] or 0)
     both = starts.join(counts, "word").where(F.col("word").rlike(r"\p{L}"))
     score = _together(f"{breaks}D", "n", "starts", f"{n}D")
     starters = both.where(f"starts * {n}D > n * {breaks}D").withColumn("score", score).where(F.col("score") >= STARTER)
 
-    pair = followed.where("stop").join(near, "word", "left_semi").groupBy("word", "next").agg(F.count("*").cast("double").alias("times"))
+    pair = followed.where("stop").join(near, "word", "left_semi").groupBy("word", "next").agg(times().alias("times"))
     pair = pair.where("times > 1").join(counts.select("word", F.col("n").alias("a")), "word").join(counts.select(F.col("word").alias("next"), F.col("n").alias("b")), "next")
     pair = pair.where(f"times * {n}D > a * b").withColumn("score", _together("a", "b", "times", f"{n}D")).where(F.col("score") >= COLLOCATION)
     return {

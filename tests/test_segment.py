@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql.functions import udf
+
 from ledgerloom.functions import text as texts
 from ledgerloom.operators import segment
 from ledgerloom.plans.catalog import QUERIES
@@ -131,3 +133,20 @@ def test_query_against_a_plain_version(spark):
     for r in QUERIES["learnt_sentences"](spark, folder).orderBy("paragraph_index", "sentence_index").collect():
         found[r["doc_id"]].append((r["paragraph_index"], r["sentence_index"], r["text"]))
     assert {k: v for k, t in docs.items() if (v := brute(t, model))} == found and "corp" in model[0]
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(t):
+        read.add(1)
+        return t
+
+    docs = ["Sales of Acme Corp. grew. The end came! No. 5 of env. 3?", None, "", 'He said "no." Then (he) left, z.B. here. "']
+    df = spark.createDataFrame([(t,) for t in docs], "t string").coalesce(1)
+    model = segment.learn(df.select(udf(told, "string")("t").alias("t")), "t")
+    assert read.value == len(docs)
+    got = {(r["word"], r["stop"], r["mark"], r["next"]): r["n"] for r in segment.occurrences(df, "t").collect()}
+    assert sum(got.values()) == sum(len((t or "").split()) for t in docs) and got["", False, False, None] == 1
+    assert got["corp", True, False, "grew"] == 1 and got["the", False, False, None] == 1 and got["no", True, False, "5"] == 1
+    assert set(model) == {"abbreviations", "starters", "collocations"}
