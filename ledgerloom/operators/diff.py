@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
@@ -74,38 +74,45 @@ def blocks(pairs: DataFrame, *keys: str) -> DataFrame:
     lines only its ends are shown, with a row for what is collapsed. Null sequences are empty, and a
     pair without lines has no blocks. Null lines are equal to one another.
 
-    Lines are rows, joined on a hash of 128 bits of each; work grows with the equal lines of pairs:
-    a line that both have often counts as often as the product. A task sorts the lines of one pair
-    at most, without their comparison.
+    Lines' hashes of 128 bits are rows and joined; work grows with the equal lines of pairs: a line
+    that both have often counts as often as the product. Only a pair's runs go back to its lines,
+    which stay in its row, so a task holds the lines of one pair.
     """
     names, keys = keys, [f"_k{n}" for n in range(len(keys))]
-    pairs = pairs.select(*(F.col(name).alias(k) for name, k in zip(names, keys)), "previous", "latest")
-    pairs = stage(pairs.dropna(subset=keys).dropDuplicates(keys), "pairs")
+    pairs = pairs.select(*(F.col(name).alias(k) for name, k in zip(names, keys)), "previous", "latest").dropna(subset=keys)
+    pairs = stage(pairs.withColumn("_row", F.monotonically_increasing_id()), "pairs")
     line = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.reverse("text"))).alias("_line")
-    told = {side: pairs.select(*keys, F.posexplode(side).alias("_at", "text")) for side in ("previous", "latest")}
-    found = stage(matched({side: t.select(*keys, "_at", line) for side, t in told.items()}, keys), "matched")
-    spans = found.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("int"), F.col("n") - 1)))
-    at = {"previous": F.col("i") + F.col("_of"), "latest": F.col("j") + F.col("_of")}
-
-    def placed(side: str) -> DataFrame:
-        """Lines of a side with their place in their run, and the number of lines in runs before them."""
-        t = told[side].join(spans.select(*keys, at[side].alias("_at"), "_of", "n"), [*keys, "_at"], "left")
-        earlier = Window.partitionBy(keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        return t.withColumn("_before", F.count("n").over(earlier))
-
-    kind = lambda name, order: [F.lit(name).alias("type"), F.lit(order).alias("_kind")]
-    none = F.lit(None).cast("int").alias("count")
-    old, new = placed("previous").where("n IS NULL"), placed("latest")
-    removed = old.select(*keys, "_before", "_at", *kind("removed", 0), "text", none)
-    added = new.where("n IS NULL").select(*keys, "_before", "_at", *kind("added", 1), "text", none)
-    middle = (F.col("n") > 2 * KEEP + 1) & (F.col("_of") >= KEEP) & (F.col("_of") < F.col("n") - KEEP)
-    same = new.where(F.col("n").isNotNull() & (~middle | (F.col("_of") == KEEP))).select(
-        *keys, "_before", "_at", F.when(middle, "collapsed").otherwise("context").alias("type"), F.lit(2).alias("_kind"),
-        F.when(~middle, F.col("text")).alias("text"), F.when(middle, F.col("n") - 2 * KEEP).cast("int").alias("count"),
-    )
-    place = Window.partitionBy(keys).orderBy("_before", "_kind", "_at")
-    rows = removed.union(added).union(same).withColumn("block_idx", (F.row_number().over(place) - 1).cast("int"))
-    return rows.select(*(F.col(k).alias(name) for name, k in zip(names, keys)), "block_idx", "type", "text", "count")
+    told = {side: pairs.select("_row", F.posexplode(side).alias("_at", "text")).select("_row", "_at", line) for side in ("previous", "latest")}
+    runs = matched(told, ["_row"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("_runs"))
+    one = pairs.groupBy(*keys).agg(F.min("_row").alias("_row")).select("_row").join(runs, "_row", "left")
+    rows = pairs.join(one, "_row").select(*(F.col(k).alias(name) for name, k in zip(names, keys)), F.posexplode(_shown()).alias("block_idx", "_block"))
+    return rows.select(*names, "block_idx", "_block.*")
+
+
+def _shown() -> Column:
+    """The blocks of a row's previous and latest lines, given its runs in order: type, text and count."""
+    kind = lambda name: lambda x: F.struct(F.lit(name).alias("type"), x.alias("text"), F.lit(None).cast("int").alias("count"))
+    none = F.array().cast("array<string>")
+    row = F.struct(F.coalesce("previous", none).alias("old"), F.coalesce("latest", none).alias("new"), F.coalesce("_runs", F.array().cast("array<struct<i:int,j:int,n:int>>")).alias("runs"))
+
+    def between(v: Column) -> Column:
+        old, new, runs = v["old"], v["new"], v["runs"]
+        end = F.struct(F.size(old).alias("i"), F.size(new).alias("j"), F.lit(0).alias("n"))
+
+        def part(r: Column, k: Column) -> Column:
+            """Lines between the run before and a run, and what is shown of that run."""
+            a, b = (F.coalesce(F.get(runs, k - 1)[at] + F.get(runs, k - 1)["n"], F.lit(0)) for at in "ij")
+            same = lambda start, n: F.transform(F.slice(new, start + 1, n), kind("context"))
+            hidden = F.struct(F.lit("collapsed").alias("type"), F.lit(None).cast("string").alias("text"), (r["n"] - 2 * KEEP).alias("count"))
+            ends = F.concat(same(r["j"], F.lit(KEEP)), F.array(hidden), same(r["j"] + r["n"] - KEEP, F.lit(KEEP)))
+            return F.concat(
+                F.transform(F.slice(old, a + 1, r["i"] - a), kind("removed")), F.transform(F.slice(new, b + 1, r["j"] - b), kind("added")),
+                F.when(r["n"] > 2 * KEEP + 1, ends).otherwise(same(r["j"], r["n"])),
+            )
+
+        return F.flatten(F.transform(F.concat(runs, F.array(end)), part))
+
+    return text.let(row, between)
 
 
 def adjacent(rows: DataFrame, group: str, order: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from ledgerloom import fixed
+from ledgerloom.functions import text
 from ledgerloom.operators import diff
 from tests.brute_diff import block_rows
 
@@ -59,3 +63,24 @@ def test_runs_that_nothing_crosses_take_one_round(spark, monkeypatch):
     monkeypatch.setattr(diff, "_parted", lambda *given: rounds.append(1) or plain(*given))
     check(spark, [([f"{k}" for k in range(400)], [f"{k}{'x' * (k % 2)}" for k in range(400)])])
     assert len(rounds) == 2
+
+
+def test_lines_stay_in_the_row_of_their_pair(spark):
+    df = spark.createDataFrame([(1, "p", ["a", "b"], ["b", "c"]), (1, "p", ["a", "b"], ["b", "c"]), (None, "p", ["a"], None), (2, "p", None, ["x"])], PAIR)
+    found = diff.blocks(df, "i", "n")
+    rows = [tuple(r) for r in found.orderBy("i", "block_idx").collect()]
+    assert rows == [(1, "p", 0, "removed", "a", None), (1, "p", 1, "context", "b", None), (1, "p", 2, "added", "c", None), (2, "p", 0, "added", "x", None)]
+    # lines are dealt once, with their pair; no rows of lines are put in order
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate posexplode") == 1
+
+
+def test_severity_searches_only_texts_that_hold_letters_of_a_pattern(spark):
+    assert text.literals([r"going[\s\-]concern", r"\bcovenants?\b|data\s+breach"]) == ["concern", "covenant", "breach"]
+    assert text.literals(["(a|b)"]) is None and text.literals(["a.c"]) is None and text.literals(["x*y"]) is None and text.literals(["s?"]) is None
+    said = ["Going-Concern", "concern", "a covenant", "covenanted", "Data \t BREACH", "data-breach", "uncertainty", "Market\nrisk", "market", "", None]
+    for patterns in (fixed.HIGH_SEVERITY, fixed.MEDIUM_SEVERITY, *([p] for p, _ in fixed.REASONS)):
+        assert text.literals(patterns)
+        df = spark.createDataFrame([(t,) for t in said], "t string").withColumn("t", F.lower("t"))
+        for r in df.select(text.matches_any(F.col("t"), patterns).alias("a"), F.col("t").rlike(text.any_of(patterns)).alias("b")).collect():
+            assert r["a"] == r["b"]
