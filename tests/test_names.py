@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +101,26 @@ def test_batches_are_cut_by_bytes(monkeypatch):
     cut = names.parts(batch)
     assert [p.column(0).to_pylist() for p in cut] == [[0, 1, 2], [3, 4, 5], [6]] and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
     assert names.parts(batch.slice(0, 0)) == []
+
+
+def test_sentences_one_by_one_and_together_get_the_same_labels():
+    rng = random.Random(3)
+    labels = ["O", "B-GPE", "I-GPE", "B-ORG", "I-ORG"]
+    steps = names.steps_of(labels)
+    # whole numbers, so that scores are often equal
+    weights = np.array([[rng.randrange(-2, 3) for _ in labels] for _ in range(names.PLACES)], float)
+    tagger = names.Tagger(labels, weights, steps)
+    texts = [[rng.choice(["Acme", "of", "Rome", "x1", "Ünder", "ABC"]) for _ in range(rng.randrange(12))] for _ in range(3 * names.FEW)]
+    together = tagger.best(texts)
+    assert together == [tagger.best([t])[0] for t in texts] and len({len(t) for t in texts}) > 5
+    for said in ("a\x1cb c\x85d e f  g\x0bh", "", None, " \n", "x\n\ty"):
+        assert names.words_of(said) == [w for w in re.split("[ \t\n\x0b\f\r]+", said or "") if w]
+    assert [names.shape(w) for w in ("abc", "Abc", "ABC", "A", "aBc", "Åb", "x-1", "A.B.")] == ["x", "Xx", "X", "X", "xXx", "Xx", "x-d", "X.X."]
+
+
+def test_a_long_sentence_is_not_tagged_word_by_word_with_arrays(monkeypatch):
+    tagger = names.Tagger(["O", "B-ORG", "I-ORG"], np.zeros((names.PLACES, 3)), names.steps_of(["O", "B-ORG", "I-ORG"]))
+    calls = []
+    monkeypatch.setattr(names, "features", lambda words, f=names.features: calls.append(len(words)) or f(words))
+    assert tagger.best([["a", "b"] * 5000]) == [[0] * 10000]
+    assert calls == [3]
