@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
+from ledgerloom.functions import text
 from tests.brute_diff import block_rows
 from ledgerloom.plans import catalog, text_queries
 
@@ -202,3 +203,19 @@ def test_character_references(spark):
     want = [s if s in ("&#1114112;",) else html.unescape(s) for s in samples]
     assert got[1:] == want[1:] and got[0] == "&lt; AB é&nope; a & b &#0; &#55296; '\xa0|"
     assert text_queries.TERM.count("(") == 3
+
+
+def test_metric_names_look_back_no_further_than_they_need(spark):
+    texts = ["", None, "no amount", "".join(f"{'w ' * (n // 2)}{'x' * (n % 2)}$1 million" for n in (0, 1, 38, 39, 40, 41, 90, 3)), "a b $1 c $2 d $3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    names = text.metric_names(F.col("t"))
+    for r in df.select("t", names.alias("names")).collect():
+        want = None if r["t"] is None else []
+        for m in re.finditer(fixed.MONEY, r["t"] or "", re.I):
+            context = r["t"][: m.start()][-40:] + m[0]
+            words = context.split(m[0].strip())[0].split()[-3:]
+            want.append(re.sub(r"^[.,;:()]+|[.,;:()]+$", "", " ".join(words)) or "revenue")
+        assert r["names"] == want
+    # texts without a dollar aren't searched, and long gaps between amounts aren't put together with those before
+    plan = df.select(names.alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and ">= 40" in plan
