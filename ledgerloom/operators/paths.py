@@ -106,6 +106,11 @@ def shortest(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     return walked(reached(edges, pairs.select("source"), most, pairs), pairs)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and never sent whole: rounds are many, and each would send its tables over the driver."""
+    return df.hint("merge")
+
+
 def _least(edges: DataFrame, cut) -> DataFrame:
     """node, least: the smallest node from which each node of the edges can be reached, itself included.
 
@@ -115,10 +120,10 @@ def _least(edges: DataFrame, cut) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = cut(nodes.select("node", F.col("node").alias("least")), keep=True)
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("least").alias("before"))
-        new = labels.join(near, labels["node"] == near["b"], "left").select("node", F.col("least").alias("old"), F.least("least", "before").alias("to"))
+        near = edges.join(_dealt(labels.withColumnRenamed("node", "a")), "a").groupBy("b").agg(F.min("least").alias("before"))
+        new = labels.join(_dealt(near), labels["node"] == near["b"], "left").select("node", F.col("least").alias("old"), F.least("least", "before").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("least").alias("jumped"))
-        new = cut(new.join(jump, "to").select("node", "old", F.least("to", "jumped").alias("least")), keep=True)
+        new = cut(new.join(_dealt(jump), "to").select("node", "old", F.least("to", "jumped").alias("least")), keep=True)
         labels = new.select("node", "least")
         if new.where("old <> least").isEmpty():
             return labels
@@ -129,7 +134,7 @@ def _trimmed(edges: DataFrame, cut) -> DataFrame:
     n = edges.count()
     while n:
         starts, ends = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
-        edges = cut(edges.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), keep=True)
+        edges = cut(edges.join(_dealt(starts), "b", "left_semi").join(_dealt(ends), "a", "left_semi").select("a", "b"), keep=True)
         n, before = edges.count(), n
         if n == before:
             break
@@ -153,16 +158,16 @@ def clusters(edges: DataFrame) -> DataFrame:
             break
         label = _least(left, cut)
         of = {c: label.select(F.col("node").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab"}
-        inside = cut(left.join(of["a"], "a").join(of["b"], "b").where("of_a = of_b").select("a", "b", F.col("of_a").alias("of")), keep=True)
+        inside = cut(left.join(_dealt(of["a"]), "a").join(_dealt(of["b"]), "b").where("of_a = of_b").select("a", "b", F.col("of_a").alias("of")), keep=True)
         back = _least(inside.select(F.col("b").alias("a"), F.col("a").alias("b")), cut)
-        own = label.join(back.withColumnRenamed("least", "reaches"), "node").where("least = reaches").select("node", F.col("least").alias("cluster"))
+        own = label.join(_dealt(back.withColumnRenamed("least", "reaches")), "node").where("least = reaches").select("node", F.col("least").alias("cluster"))
         # the smallest node of a label may have no edge inside it; it is alone then
         found.append(cut(own, keep=True))
         roots = label.where("node = least").select("node").union(found[-1].select("node")).distinct()
         for c in "ab":
-            inside = inside.join(roots.withColumnRenamed("node", c), c, "left_anti")
+            inside = inside.join(_dealt(roots.withColumnRenamed("node", c)), c, "left_anti")
         left = cut(inside.select("a", "b"), keep=True)
     nodes = whole.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if not found:
         return nodes.select("node", F.col("node").alias("cluster"))
-    return nodes.join(reduce(DataFrame.union, found), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+    return nodes.join(_dealt(reduce(DataFrame.union, found)), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))

@@ -95,3 +95,16 @@ def test_clusters_of_chains_cycles_and_random_graphs(spark):
 def test_clusters_of_nothing(spark):
     assert paths.clusters(frame(spark, [])).count() == 0
     assert [tuple(r) for r in paths.clusters(frame(spark, [("a", "b")])).orderBy("node").collect()] == [("a", "a"), ("b", "b")]
+
+
+def test_rounds_of_clusters_send_no_table_over_the_driver(spark, monkeypatch):
+    plans = []
+
+    def recorded(*args, of=paths.scratch):
+        cut = of(*args)
+        return lambda df, **kept: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, **kept)
+
+    monkeypatch.setattr(paths, "scratch", recorded)
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "a int, b int")
+    assert sorted(map(tuple, paths.clusters(edges).collect())) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
