@@ -98,32 +98,47 @@ def learn(df: DataFrame, text: str) -> dict[str, DataFrame]:
     }
 
 
+def _between(parts: Column) -> Column:
+    """j, last and first of each end between parts j and j + 1 of a paragraph: the last token before it, the first after it.
+
+    A part that another follows ends with its last token, and one that follows another begins with its first.
+    """
+    last = lambda x: F.regexp_extract(F.substring_index(x, " ", -1), r"(\S+)$", 1)
+    first = lambda x: F.regexp_extract(F.substring_index(x, " ", 1), r"^(\S+)", 1)
+    pair = lambda x, j: F.struct(j.alias("j"), last(x).alias("last"), first(F.get(parts, j + 1)).alias("first"))
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), pair)
+
+
 def sentences(df: DataFrame, key: str, text: str, model: dict[str, DataFrame], least: int = 3) -> DataFrame:
     """key, seq, paragraph_index, sentence_index, text and word_count of each sentence of least words or more.
 
     Ends are those of the plain rule, but for ends after an abbreviation, or after a single letter
     with a full stop, unless a starter follows, and for those within a collocation. Parts that are
     put together again have a blank between them. Rows that repeat a key are texts of their own.
+
+    A paragraph's parts stay in its row: only the words round its ends are looked up, and the ends taken back come to the row.
     """
-    ids = stage(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("row")), "texts")
-    parts = ids.select("key", "row", F.posexplode(texts.paragraphs(F.col("t"))).alias("paragraph_index", "p"))
-    cut = F.filter(F.transform(F.split("p", texts.SENTENCE_END), lambda x: F.trim(x)), lambda s: s != "")
-    parts = stage(parts.select("key", "row", "paragraph_index", F.posexplode(cut).alias("j", "part")), "parts")
-    order = Window.partitionBy("row", "paragraph_index").orderBy("j")
-    last, first = F.regexp_extract("part", r"(\S+)\s*$", 1), F.regexp_extract("part", r"^\s*(\S+)", 1)
-    at = parts.select("row", "paragraph_index", "j", kind(last).alias("k"), F.lead(_bare(kind(first))).over(order).alias("next"))
-    at = at.where("next IS NOT NULL AND k LIKE '%.'").withColumn("word", _bare(F.col("k")))
+    ids = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
+    rows = ids.select("key", "row", F.posexplode(texts.paragraphs(F.col("t"))).alias("paragraph_index", "p"))
+    rows = rows.select("key", "row", "paragraph_index", F.split("p", texts.SENTENCE_END).alias("parts"))
+    rows = stage(rows.withColumns({"ends": _between(F.col("parts")), "id": F.monotonically_increasing_id()}), "parts")
+    at = rows.select("id", F.inline("ends")).where(F.col("last").endswith("."))
+    at = at.select("id", "j", _bare(kind(F.col("last"))).alias("word"), _bare(kind(F.col("first"))).alias("next"))
     flag = lambda name: F.lit(True).alias(name)
     at = at.join(_small(model["abbreviations"].select("word", flag("short"))), "word", "left")
+    at = at.where(F.col("short").isNotNull() | F.col("word").rlike(r"^\p{L}$"))
     at = at.join(_small(model["starters"].select(F.col("word").alias("next"), flag("starts"))), "next", "left")
     at = at.join(_small(model["collocations"].select("word", "next", flag("pair"))), ["word", "next"], "left")
-    held = (F.col("short").isNotNull() | F.col("word").rlike(r"^\p{L}$")) & (F.col("starts").isNull() | F.col("pair").isNotNull())
-    held = at.where(held).select("row", "paragraph_index", "j", flag("held"))
-    rows = parts.join(held, ["row", "paragraph_index", "j"], "left")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("sentence_index", F.coalesce(F.sum(F.when(F.col("held").isNull(), 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "part"))), lambda x: x["part"]), " ")
-    out = rows.groupBy("key", "row", "paragraph_index", "sentence_index").agg(whole.alias("text"))
-    out = out.withColumn("word_count", texts.word_count(F.col("text"))).where(F.col("word_count") >= least)
+    held = at.where(F.col("starts").isNull() | F.col("pair").isNotNull()).groupBy("id").agg(F.collect_list("j").alias("held"))
+    rows = rows.drop("ends").join(held, "id", "left")
+    # the last part of each sentence; F.array() holds no j
+    upto = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("held", F.array().cast("array<int>")))
+    rows = rows.select("key", "row", "paragraph_index", "parts", upto.alias("upto"))
+    before = lambda k: F.coalesce(F.get("upto", k - 1) + 1, F.lit(0))
+    whole = F.transform("upto", lambda j, k: F.array_join(F.slice("parts", before(k) + 1, j - before(k) + 1), " "))
+    # counted before the rows are parted, else the filter counts again
+    counted = F.transform(whole, lambda s: F.struct(s.alias("text"), texts.word_count(s).alias("word_count")))
+    out = rows.select("key", "row", "paragraph_index", F.posexplode(counted).alias("sentence_index", "s"))
+    out = out.select("key", "row", "paragraph_index", "sentence_index", "s.*").where(F.col("word_count") >= least)
     seq = F.row_number().over(Window.partitionBy("row").orderBy("paragraph_index", "sentence_index")) - 1
     return out.select(F.col("key").alias(key), seq.alias("seq"), "paragraph_index", "sentence_index", "text", "word_count")

@@ -150,3 +150,16 @@ def test_texts_are_read_once(spark):
     assert sum(got.values()) == sum(len((t or "").split()) for t in docs) and got["", False, False, None] == 1
     assert got["corp", True, False, "grew"] == 1 and got["the", False, False, None] == 1 and got["no", True, False, "5"] == 1
     assert set(model) == {"abbreviations", "starters", "collocations"}
+
+
+def test_paragraphs_stay_in_their_row(spark, monkeypatch):
+    staged, put = [], segment.stage
+    docs = [" ".join(d) for d in invented(3, 60)] + ["\tDr.\nMi said\tno.\n The\tco Inc.\x0b Ba left (Dr. Ko).  So e.g.\r\n\nThe Dr. Pal. A.\tB. Ends. here", "\n. One two three. \n\n\n Is it? Dr.  However Mi is it! "]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, t string")
+    model = segment.learn(df, "t")
+    monkeypatch.setattr(segment, "stage", lambda rows, tag: staged.append(tag) or put(rows, tag))
+    found = segment.sentences(df, "k", "t", model)
+    assert len(staged) == 1 and "Window" not in found.drop("seq")._jdf.queryExecution().optimizedPlan().toString()
+    want = brute_model(docs)
+    rows = sorted((r["k"], r["seq"], r["paragraph_index"], r["sentence_index"], r["text"]) for r in found.collect())
+    assert rows == [(k, n, *s) for k, t in enumerate(docs) for n, s in enumerate(brute(t, want))]
