@@ -2,14 +2,16 @@
 
 import datetime
 import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import fixed, jobs
+from ledgerloom import fixed, jobs, shared
 from ledgerloom.functions import text
 from ledgerloom.operators import chat, diff, glossary, graph, noise, vectors
+from ledgerloom.plans import graph_queries
 from ledgerloom.shared import Table
 from ledgerloom.sources import filings, sinks
 from ledgerloom.streaming import windows
@@ -423,3 +425,31 @@ def test_sharing_by_pairs_of_groups(spark, monkeypatch, group):
     want = {a: n for a in of if (n := sum(b > a and bool(of[a] & of[b]) for b in of))}
     df = spark.createDataFrame([*edges, *edges[:9], (7, None), (None, "o1")], "subject long, object string")
     assert {r["subject"]: r["sharing"] for r in graph.sharing(df).collect()} == want
+
+
+def test_ego_rows_of_a_task_are_bounded(spark, monkeypatch):
+    rng = random.Random(4)
+    name = lambda: rng.choice([None, "a", *(f"n{rng.randrange(60)}" for _ in range(8))])
+    rows = [(name(), rng.choice(["R", "Q"]), name()) for _ in range(150)] * 2
+    edges = spark.createDataFrame(rows, "subject_id string, relation_type string, object_id string")
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    near = {"a"}
+    for hops in (1, 2, 3):
+        for most in (graph.BROADCAST_NODES, 0):
+            monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+            found = graph.ego(edges, "a", hops)
+            assert sorted(map(str, found.collect())) == sorted(str(r) for r in edges.distinct().collect() if {r[0], r[2]} & near)
+            assert found.rdd.getNumPartitions() == len(rows) / 10
+        near |= {x for s, _, o in rows if {s, o} & near for x in (s, o) if x is not None}
+    assert graph.ego(edges, "nowhere", 3).count() == 0
+
+
+def test_edges_of_the_tables_whatever_the_rows_of_a_task(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(str, graph_queries.graph_edges(spark, folder).collect()))
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    dealt = graph_queries.graph_edges(spark, folder)
+    assert sorted(map(str, dealt.collect())) == whole and len(set(whole)) == len(whole)
+    sections = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert dealt.rdd.getNumPartitions() == 2 * -(-sections // 500)
+    assert sorted(map(str, graph_queries.market_edges(spark, folder).collect())) == [x for x in whole if "OPERATES_IN" in x]
