@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
@@ -219,3 +221,14 @@ def test_metric_names_look_back_no_further_than_they_need(spark):
     # texts without a dollar aren't searched, and long gaps between amounts aren't put together with those before
     plan = df.select(names.alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" in plan and ">= 40" in plan
+
+
+@pytest.mark.parametrize("ciks", [[20, 21, 77777, 77780], [20, 77778], []])
+def test_a_stranger_stays_one_where_a_company_has_its_number(spark, tmp_path, ciks):
+    rows = [(k, f"Customer#{k:09d}", "BUILDING") for k in ciks] + [(40, "Nobody & Co", None)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["company_resolution"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["company_resolution"]).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want) and ("nobody", "77777", None) in want
