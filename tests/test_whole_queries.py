@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import text
+from ledgerloom.operators import graph
 from tests.brute_diff import block_rows
 from ledgerloom.plans import catalog, text_queries
 
@@ -232,3 +234,20 @@ def test_a_stranger_stays_one_where_a_company_has_its_number(spark, tmp_path, ci
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     want = con.execute(catalog.ORACLES["company_resolution"]).fetchall()
     assert Counter(map(tuple, got)) == Counter(want) and ("nobody", "77777", None) in want
+
+
+def test_an_object_goes_to_pairs_of_groups_as_one_row_a_group(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST", 64)
+    monkeypatch.setattr(graph, "GROUPS", 4)
+    monkeypatch.setattr(graph, "MARKS", 512)
+    rng = random.Random(8)
+    # objects that all, many, few and two subjects have; some edges twice
+    found = [(s, 0) for s in range(0, 300)] + [(rng.randrange(300), 1) for _ in range(200)] + [(rng.randrange(900), rng.randrange(2, 200)) for _ in range(1500)]
+    rows = spark.createDataFrame([*found, *found[:400], (None, 1), (5, None)], "subject long, object long")
+    assert {r["subject"]: r["sharing"] for r in graph.sharing(rows).collect()} == sharing(set(found))
+    batches = [pa.RecordBatch.from_pydict({"nth": [s for s, o in part], "h": [o for s, o in part]}) for part in (found[:900], found[900:])]
+    sets = [(g, h, c) for b in graph._sets(batches, 64) for g, h, c in zip(*b.to_pydict().values())]
+    want = defaultdict(set)
+    for s, o in found:
+        want[s // 64, o].add(s % 64)
+    assert len(sets) == len(want) and all(c == sorted(want[g, h]) for g, h, c in sets)
