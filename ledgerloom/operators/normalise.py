@@ -206,11 +206,17 @@ def resolved(mentions: DataFrame) -> DataFrame:
     or the first node in order whose name starts with the name's first 20 characters. Relations of
     unknown type or with an end that stays open are dropped.
     """
+    rel = _ends(mentions).select("_cik", "_accession", "_section_type", "_year", F.posexplode("found").alias("pos", "r"))
+    return rel.select("_cik", "_accession", "_section_type", "_year", "pos", "r.*").where("subject_id IS NOT NULL AND object_id IS NOT NULL")
+
+
+def _ends(mentions: DataFrame) -> DataFrame:
+    """Document columns, mentions, and found: the relations of known type in order, with the ends that are resolved."""
     doc = ["_cik", "_accession", "_section_type"]
     m = mentions.select(
         *[F.col(c).cast("string").alias(f"_{c}") for c in DOCUMENT], F.lower(F.coalesce("company_name", F.lit(""))).alias("company"), F.col("fiscal_year").alias("_year"),
-        F.filter("relations", lambda r: r["relation"].isin(*fixed.RELATIONS)).alias("relations"), F.col("mentions.key").alias("_keys"), F.col("mentions.node_id").alias("_ids"),
-    ).where("size(relations) > 0")
+        F.coalesce(F.filter("relations", lambda r: r["relation"].isin(*fixed.RELATIONS)), F.array()).alias("relations"), F.col("mentions.key").alias("_keys"), F.col("mentions.node_id").alias("_ids"), "mentions",
+    )
     # the company comes before all nodes; of equal names the last counts
     d = m.withColumns({"keys": F.concat(F.array("company"), F.coalesce("_keys", F.array())), "node_ids": F.concat(F.array("_cik"), F.coalesce("_ids", F.array()))})
     last = F.reverse(F.zip_with("keys", "node_ids", lambda k, i: F.when(i.isNotNull(), k)))
@@ -227,8 +233,54 @@ def resolved(mentions: DataFrame) -> DataFrame:
     names = F.array_distinct(F.flatten(F.transform("relations", lambda r: F.array(end(r, "subject"), end(r, "object")))))
     d = d.withColumn("names", names).withColumn("ids", F.transform("names", found))
     id_of = lambda r, e: F.get(F.col("ids"), F.array_position("names", end(r, e)).cast("int") - 1)
-    rel = d.select(*doc, "_year", F.posexplode(F.transform("relations", lambda r: F.struct(id_of(r, "subject").alias("subject_id"), r["relation"].alias("relation_type"), id_of(r, "object").alias("object_id")))).alias("pos", "r"))
-    return rel.select(*doc, "_year", "pos", "r.*").where("subject_id IS NOT NULL AND object_id IS NOT NULL")
+    found = F.transform("relations", lambda r: F.struct(id_of(r, "subject").alias("subject_id"), r["relation"].alias("relation_type"), id_of(r, "object").alias("object_id")))
+    return d.select(*doc, "_year", "mentions", found.alias("found"))
+
+
+def _whole(documents: DataFrame) -> DataFrame:
+    """Documents with nodes and relations, null where they are absent."""
+    items = [c for c in ("nodes", "relations") if c in documents.columns]
+    absent = {c: F.lit(None).cast(t) for c, t in (("nodes", NODES_SCHEMA), ("relations", RELATIONS_SCHEMA)) if c not in items}
+    return documents.select(*META, *items).withColumns(absent)
+
+
+def _written(mentions: DataFrame) -> DataFrame:
+    """Document columns and writes: an array of pos, subject_id, relation_type and object_id of a document's edges, made inside its row."""
+    d = _ends(mentions)
+    cik, accession, year = F.col("_cik"), F.col("_accession"), F.col("_year")
+    write = lambda a, r, b, pos=F.lit(-1): F.struct(pos.cast("int").alias("pos"), a.alias("subject_id"), r.alias("relation_type"), b.alias("object_id"))
+    own = F.array_compact(F.array(
+        write(accession, F.lit("FILED_BY"), cik), write(accession, F.lit("HAS_SECTION"), text.section_id(cik, accession, F.col("_section_type"))),
+        F.when(year.between(fixed.FIRST_YEAR, fixed.LAST_YEAR), write(accession, F.lit("FILED_IN"), F.format_string("fy_%d", year))),
+    ))
+    relation = lambda m: reduce(lambda c, x: c.when(m["label"] == x[0], x[1]), IMPLIED.items(), F)
+    implied = F.transform(F.filter("mentions", lambda m: m["label"].isin(*IMPLIED)), lambda m: write(cik, relation(m), m["node_id"], m["pos"]))
+    told = F.transform("found", lambda r, i: write(r["subject_id"], r["relation_type"], r["object_id"], i + 1_000_000))
+    told = F.filter(told, lambda w: w["subject_id"].isNotNull() & w["object_id"].isNotNull())
+    return d.select("_cik", "_accession", "_section_type", "_year", F.concat(own, F.coalesce(implied, F.array()), told).alias("writes"))
+
+
+#: Relations of a company to nodes of a label, whether the record tells them or not.
+IMPLIED = {"RiskFactor": "HAS_RISK", "FinancialMetric": "REPORTS", "ManagementOutlook": "HAS_OUTLOOK"}
+#: Relations that start at a company or its filing, whose edges are as many as its filings make; those of other subjects are dealt to DEALS parts.
+OWNED, DEALS = ["FILED_BY", "HAS_SECTION", "FILED_IN", *(r for r, (label, _) in fixed.RELATIONS.items() if label in ("Company", "Filing"))], 64
+
+
+def merged_edges(documents: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """The edges of normalise(), one each key triple, with the filing_ref and as_of_year of its last write.
+
+    A document's edges go to their subject's task as one row for each subject, so its filing and the
+    subject aren't shuffled with every edge, and nothing is staged.
+    """
+    deal = lambda w: F.when(w["relation_type"].isin(*OWNED), F.lit(0)).otherwise(F.pmod(F.xxhash64(w["object_id"]), F.lit(DEALS))).cast("int")
+    home = lambda w: F.struct(w["subject_id"].alias("subject_id"), deal(w).alias("deal"))
+    d = _written(mentioned(_whole(documents), tickers)).select("_accession", "_year", "writes").withColumn("homes", F.array_distinct(F.transform("writes", home)))
+    edges = lambda h: F.transform(F.filter("writes", lambda w: home(w).eqNullSafe(h)), lambda w: F.struct(w["relation_type"].alias("relation_type"), w["object_id"].alias("object_id"), w["pos"].alias("pos")))
+    rows = d.select("_accession", "_year", F.explode(F.transform("homes", lambda h: F.struct(h.alias("h"), edges(h).alias("edges")))).alias("x"))
+    rows = rows.select("x.h.*", "_accession", "_year", "x.edges").repartition("subject_id", "deal")
+    writes = rows.select("subject_id", "deal", "_accession", "_year", F.explode("edges").alias("e")).select("subject_id", "deal", "e.*", "_accession", "_year")
+    last = writes.groupBy("subject_id", "deal", "relation_type", "object_id").agg(F.max(F.struct("_accession", "pos", "_year")).alias("l"))
+    return last.select("subject_id", "relation_type", "object_id", F.col("l._accession").alias("filing_ref"), F.col("l._year").cast("long").alias("as_of_year"))
 
 
 def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: str = "llm") -> tuple[DataFrame, DataFrame]:
@@ -239,30 +291,13 @@ def normalise(documents: DataFrame, tickers: DataFrame | None = None, method: st
     accession and place. Null arrays have no items; raw types and relations that aren't known are
     ignored; FILED_IN is made for years of the chain alone.
     """
-    items = [c for c in ("nodes", "relations") if c in documents.columns]
-    absent = {c: F.lit(None).cast(t) for c, t in (("nodes", NODES_SCHEMA), ("relations", RELATIONS_SCHEMA)) if c not in items}
-    documents = stage(mentioned(documents.select(*META, *items).withColumns(absent), tickers), "mentions")  # read by all branches below
+    documents = stage(mentioned(_whole(documents), tickers), "mentions")  # read by all branches below
     first = typed_nodes(documents)
     order = lambda a, pos: F.struct(F.col(a).alias("accession"), F.col(pos).cast("int").alias("pos")).alias("seq")
     props = ["node_id", "label", *PROPERTIES]
     nodes = base_nodes(documents).select(*props, order("_order", "pos")).unionByName(first.select(*props, order("_accession", "pos")))
 
-    s = lambda c: F.col(c).cast("string")
-    doc = documents.select(s("cik").alias("_cik"), s("accession").alias("_accession"), F.col("section_type").alias("_section_type"), F.col("fiscal_year").alias("_year"))
-    section = text.section_id(F.col("_cik"), F.col("_accession"), F.col("_section_type"))
-    edge = lambda df, a, r, b, pos=F.lit(-1): df.select("_cik", "_accession", "_section_type", "_year", pos.alias("pos"), a.alias("subject_id"), F.lit(r).alias("relation_type"), b.alias("object_id"))
-    implied = {"RiskFactor": "HAS_RISK", "FinancialMetric": "REPORTS", "ManagementOutlook": "HAS_OUTLOOK"}
-    of = F.explode(F.arrays_zip(*(F.col(f"mentions.{c}").alias(c) for c in ("pos", "label", "node_id")))).alias("m")
-    met = documents.select(s("cik").alias("_cik"), s("accession").alias("_accession"), F.col("section_type").cast("string").alias("_section_type"), F.col("fiscal_year").alias("_year"), of)
-    met = met.select("_cik", "_accession", "_section_type", "_year", "m.*")
-    parts = [
-        edge(doc, F.col("_accession"), "FILED_BY", F.col("_cik")),
-        edge(doc, F.col("_accession"), "HAS_SECTION", section),
-        edge(doc.where(F.col("_year").between(fixed.FIRST_YEAR, fixed.LAST_YEAR)), F.col("_accession"), "FILED_IN", F.format_string("fy_%d", "_year")),
-        *[edge(met.where(F.col("label") == label), F.col("_cik"), r, F.col("node_id"), F.col("pos")) for label, r in implied.items()],
-        resolved(documents).withColumn("pos", F.col("pos") + 1_000_000).select("_cik", "_accession", "_section_type", "_year", "pos", "subject_id", "relation_type", "object_id"),
-    ]
-    edges = reduce(DataFrame.unionByName, parts)
+    edges = _written(documents).select("_accession", "_section_type", "_year", F.explode("writes").alias("w")).select("_accession", "_section_type", "_year", "w.*")
     return nodes, edges.select(
         "subject_id", "relation_type", "object_id", F.col("_year").cast("long").alias("as_of_year"), F.col("_accession").alias("filing_ref"),
         F.lit(fixed.CONFIDENCE).alias("confidence"), F.format_string("%s_%s_000", "_accession", "_section_type").alias("sentence_id"),

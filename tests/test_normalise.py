@@ -152,3 +152,26 @@ def test_mentions_are_made_inside_a_documents_row(spark):
     nodes, edges = normalise.normalise(docs)
     for df in (found, nodes, edges):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_merged_by_subjects_rows_as_by_keys(spark):
+    node = lambda **k: {f: k.get(f) for f in normalise.NODE}
+    tells = lambda *r: dict(zip(normalise.RELATION, r))
+    nodes = [node(type="RiskFactor", title="Flood"), node(type="RiskDriver", title="Rain"), node(type="RiskConsequence", name="Loss"), node(type="Competitor", name="TSN Foods"), node(type="FinancialMetric", name="Sales")]
+    relations = [tells("Company", "Ann", "HAS_RISK", "RiskFactor", "flood"), tells("RiskFactor", "Flood", "CAUSED_BY", None, "rain"), tells("RiskDriver", "Rain", "MAY_RESULT_IN", None, "Loss"),
+                 tells("RiskDriver", "rain", "MAY_RESULT_IN", None, "loss"), tells(None, "Ann", "COMPETES_WITH", None, "tsn foods"), tells(None, "Ann", "COMPETES_WITH", None, "nobody"), tells(None, "x", "unknown", None, "y")]
+    rows = [(cik, acc, part, None, "Ann", None, None, year, 0, n, r)
+            for cik, acc, part, year in [("1", "5", "a", 2001), ("1", "5", "b", 2001), ("1", "10", "a", 1800), ("5", "1", "a", 2002), ("2", "7", "a", None), (None, "8", "a", 2004)]
+            for n, r in [(nodes, relations)]]
+    rows += [("3", "9", "a", None, None, None, None, 2006, 0, None, relations), ("3", "9", "b", None, "Bob", None, None, 2006, 0, nodes, None), ("3", None, "b", None, "Bob", None, None, 2006, 0, [], [])]
+    docs = spark.createDataFrame(rows, f"{META}, nodes {normalise.NODES_SCHEMA}, relations {normalise.RELATIONS_SCHEMA}")
+    tickers = spark.createDataFrame(list(TICKERS.items()), "ticker string, cik string")
+    for t in (None, tickers):
+        writes = normalise.normalise(docs, t)[1]
+        want = graph.merge_edges(writes.select(*graph.EDGE, "filing_ref", "as_of_year", "seq"), graph.EDGE, "seq").select(*graph.EDGE, "filing_ref", "as_of_year")
+        merged = normalise.merged_edges(docs, t)
+        assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and merged.schema == want.schema
+    # rows of subjects are all that is shuffled, and one scan makes all edges
+    plan = normalise.merged_edges(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1
+    assert writes._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
