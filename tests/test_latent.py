@@ -4,9 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerloom.operators import latent
+from ledgerloom.operators import latent, vectors
 from ledgerloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,27 @@ def test_glossary_lookup(spark):
     got = QUERIES["glossary_lookup"](spark, SF).collect()
     assert got and all(-1.001 <= r["score"] <= 1.001 and 1 <= r["rank"] <= 5 and r["doc_id"] % 20 == 0 for r in got)
     assert max(Counter(r["doc_id"] for r in got).values()) <= 5
+
+
+@pytest.mark.parametrize("few", [0, 8, 10**6])
+def test_search_ranks_few_scores_by_themselves(spark, monkeypatch, few):
+    monkeypatch.setattr(vectors, "FEW", few)
+    rng = np.random.default_rng(4)
+    m = rng.integers(-2, 3, (3000, 3)).astype(float)  # many ties, some without length
+    rows = [(k, None if k % 50 == 3 else v) for k, v in enumerate(m.tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    got = {}
+    for r in vectors.search(df, df.where("id % 20 = 0"), "id", "v", 7).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["id"], r["score"]))
+    length = np.linalg.norm(m, axis=1)
+    ok = [k for k, v in rows if v and length[k]]
+    unit = vectors.unit(pa.array([v for _, v in rows], pa.list_(pa.float64())), 3)
+    for q in (k for k in ok if k % 20 == 0):
+        s = unit[[q]] @ unit.T
+        scores = [round(float(x), 3) for _, x in got[q]]
+        assert len(scores) == 7 and np.allclose(scores, sorted((float(s[0, k]) for k in ok), reverse=True)[:7], atol=1e-3)
+    assert set(got) == {k for k in ok if k % 20 == 0} and not {k for v in got.values() for k, _ in v} - set(ok)
+    # a later block's few hits change their rows alone, ties by id
+    s, n = np.array([[3.0, 1.0], [2.0, -np.inf]]), np.array([[5, 9], [4, 0]])
+    vectors._ranked(s, n, np.array([0, 0, 1]), np.array([1.0, 3.0, 2.0]), np.array([2, 6, 1]))
+    assert s.tolist() == [[3.0, 3.0], [2.0, 2.0]] and n.tolist() == [[5, 6], [1, 4]]
